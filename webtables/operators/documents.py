@@ -132,7 +132,7 @@ def split_by_heading(
     staged = df.select(*keep, heading_pieces(text, heading).alias("_p"))
     opens = f"(?m)\\A({heading})$"
     headed = staged.filter((F.size("_p") > 1) | F.element_at("_p", 1).rlike(opens))
-    rows = headed.select(*keep, F.inline(_cut(F.col("_p"))))
+    rows = headed.select(*keep, F.inline_outer(_cut(F.col("_p")))).filter("idx is not null")
     rows = rows.withColumn("_h", F.regexp_extract("text", opens, 1))
     kept = rows.filter((F.col("_h") != "") | (F.col("end") > min_preface))
     name = F.when(F.col("_h") == "", F.lit(PREFACE_NAME)).otherwise(trim_control(F.col("_h")))
@@ -149,7 +149,7 @@ def split_by_chunk(
     df: DataFrame, text: str = "text", size: int = 6000, slack: int = 1500, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Fixed chunks: ``idx, name, start, end, text`` with empty names; the slices concatenate to the text."""
-    cut = df.select(*keep, F.inline(_cut(chunk_pieces(text, size, slack))))
+    cut = df.select(*keep, F.inline_outer(_cut(chunk_pieces(text, size, slack)))).filter("idx is not null")
     return cut.select(*keep, "idx", F.lit("").alias("name"), "start", "end", "text")
 
 
@@ -176,7 +176,7 @@ def split_documents(
         .when(F.col("mode") == "heading", F.col("_by_heading"))
         .otherwise(chunk_pieces("_t", size, slack))
     )
-    rows = staged.filter(F.length("_t") > 0).select(*keep, "mode", F.inline(_cut(chosen)))
+    rows = staged.filter(F.length("_t") > 0).select(*keep, "mode", F.inline_outer(_cut(chosen))).filter("idx is not null")
     title = F.regexp_extract(F.col("text"), f"(?m)\\A({heading})$", 1)
     rows = rows.withColumn("_h", F.when(F.col("mode") == "heading", title).otherwise(F.lit("")))
     preface = (F.col("mode") == "heading") & (F.col("idx") == 0) & (F.col("_h") == "")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from webtables.functions._cols import ColumnLike, as_col
 from webtables.functions.text import collapse_ws, title_key
 from webtables.functions.urls import abs_url, fill_fields, host_of, trailing_id
-from webtables.operators.nodes import Step, extract_joined, rows, select, shred, value_of, within
+from webtables.operators.nodes import (
+    Step, any_of, chain, extract_joined, rows, select, shred, value_of, within,
+)
+from webtables.session import settle
 
 # --------------------------------------------------------------------------- JSON bodies
 
@@ -69,7 +72,7 @@ def _scalar(v: Column) -> Column:
 def json_rows(df: DataFrame, body: str, path: Sequence[str | int], name: str = "item") -> DataFrame:
     """One row per value of a path, numbered by ``pos``; ``item`` is JSON text for nested values."""
     values = F.transform(json_values(body, path), lambda v: F.coalesce(_scalar(v), F.to_json(v)))
-    return df.select("*", F.posexplode(values).alias("pos", name))
+    return df.select("*", F.posexplode_outer(values).alias("pos", name)).filter("pos is not null")
 
 
 def json_first(body: ColumnLike, path: Sequence[str | int]) -> Column:
@@ -116,8 +119,8 @@ def json_descend(df: DataFrame, body: str, name: str, depth: int = 12, value: st
         folded["found"],
         lambda x: F.struct(x["at"].alias("at"), F.coalesce(_scalar(x["v"]), F.to_json(x["v"])).alias(value)),
     )
-    exploded = df.select("*", F.posexplode(F.array_sort(listed)).alias("pos", "_hit"))
-    return exploded.select(*df.columns, "pos", F.col(f"_hit.{value}").alias(value))
+    exploded = df.select("*", F.posexplode_outer(F.array_sort(listed)).alias("pos", "_hit"))
+    return exploded.filter("pos is not null").select(*df.columns, "pos", F.col(f"_hit.{value}").alias(value))
 
 
 # --------------------------------------------------------------------------- regex rows
@@ -133,7 +136,7 @@ def regex_rows(df: DataFrame, text: str, pattern: str, groups: int, limit: int |
     if limit is not None:
         zipped = F.slice(zipped, 1, limit)
     listed = F.transform(zipped, lambda x: F.array(*[x[f"g{g}"] for g in range(groups + 1)]))
-    return df.select("*", F.posexplode(listed).alias("pos", "groups"))
+    return df.select("*", F.posexplode_outer(listed).alias("pos", "groups")).filter("pos is not null")
 
 
 def fill_groups(template: str, groups: ColumnLike, count: int) -> Column:
@@ -185,17 +188,17 @@ def extract_records(
     texts = sorted(tags) if "text" in kinds else ()
     markup = sorted(tags) if kinds & {"html", "innerhtml", "outerhtml"} else ()
     nodes = shred(pages, page_id, html, text_for=texts, html_for=markup, keep=[url])
-    found = rows(nodes, container, child)
+    tests = [child.test(), *[s.test() for s in container]]
+    tests += [s.test() for f in inner.values() for s in f.steps]
+    nodes = settle(nodes.filter(any_of(tests)))
+    found = rows(nodes, container, child, settled=True)
     own = [value_of(f.kind).alias(n) for n, f in fields.items() if not f.steps]
     out = found.select("page_id", F.col("scope_pre"), F.col("pre").alias("row_pre"), F.col("post").alias("row_post"),
                        F.col(url).alias("_url"), *own)
     if inner:
         listed = None
         for name, field in inner.items():
-            some = field.steps[0].test()
-            for s in field.steps[1:]:
-                some = some | s.test()
-            inside = within(found.drop("scope_pre"), nodes, some)
+            inside = within(found.drop("scope_pre"), nodes, any_of([s.test() for s in field.steps]))
             hits = extract_joined(select(inside, field.steps, ("scope_pre",)), field.kind, ("page_id", "scope_pre"))
             part = hits.select("page_id", F.col("scope_pre").alias("row_pre"), F.lit(name).alias("field"), "value")
             listed = part if listed is None else listed.unionByName(part)
@@ -247,28 +250,16 @@ def extract_many(
     matched = nodes.join(steps.withColumnRenamed("tag", "rule_tag"), "site").filter(
         fits & F.coalesce(attr_ok, F.lit(False))
     )
-    matched = matched.withColumn("hit", F.col("step") == 0)
     rounds = rules.agg(F.max("step")).first()[0] or 0
-    keys = ["page_id", "field"]
-    before = Window.partitionBy(*keys).orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
-    for i in range(1, rounds + 1):
-        above = F.col("hit") & (F.col("step") == i - 1)
-        reach = F.max(F.when(above, F.col("post"))).over(before)
-        # a direct child needs its own parent among the nodes of the step before
-        family = Window.partitionBy(*keys, F.when(F.col("step") == i - 1, F.col("pre")).otherwise(F.col("parent")))
-        child = F.max(F.when(above, 1)).over(family)
-        now = F.when(F.col("child"), child == 1).otherwise(reach >= F.col("pre"))
-        matched = matched.withColumn(
-            "hit", F.when(F.col("step") == i, F.coalesce(now, F.lit(False))).otherwise(F.col("hit"))
-        )
-    final = matched.filter(F.col("hit") & (F.col("step") == F.col("last_step")))
+    done = chain(matched, ["page_id", "field"], rounds, [F.col("child")] * (rounds + 1))
+    final = done.filter(F.col("_hit") & (F.col("step") == F.col("last_step")))
     parts = F.transform("own_text_parts", lambda p: p["txt"])
     value = (
         F.when(F.lower("kind") == "text", collapse_ws("text"))
         .when(F.lower("kind") == "owntext", collapse_ws(F.array_join(parts, "")))
         .otherwise(F.coalesce(F.try_element_at("attrs", F.lower("kind")), F.lit("")))
     )
-    final = final.select("page_id", "site", "field", "pre", "post", value.alias("v"))
+    final = settle(final.select("page_id", "site", "field", "pre", "post", value.alias("v")))
     records = final.filter("field = 'row'").select("page_id", "site", F.col("pre").alias("row_pre"),
                                                    F.col("post").alias("row_post"))
     inside = final.filter("field <> 'row' and v <> ''").drop("site").join(records, "page_id")

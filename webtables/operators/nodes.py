@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from webtables.operators import _pairing
 from webtables.operators._pairing import PAIR_FIELDS, PAIRS_TYPE, pair_marks
+from webtables.session import settle
 from webtables.functions.text import collapse_ws, decode_entities, squash_line, tidy
 
 cloudpickle.register_pickle_by_value(_pairing)  # executors need no copy of this package
@@ -98,6 +99,10 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     staged = pages.select(F.col(page_id).alias("page_id"), *keep, tokens.alias("tokens"))
     staged = staged.withColumn("codes", _codes(F.col("tokens")))
     staged = staged.withColumn("texts", _texts(F.col("tokens"), F.col("codes")))
+    # the one-row inline keeps the arrays evaluated once: as plain projections they would be inlined into
+    # the lambdas below and recomputed for every node
+    once = F.inline(F.array(F.struct("tokens", "codes", "texts")))
+    staged = staged.select("page_id", *keep, once)
     return staged.withColumn("pairs", F.pandas_udf(pair_marks, PAIRS_TYPE)(F.col("codes")))
 
 
@@ -173,8 +178,10 @@ def shred(
 
     zipped = F.arrays_zip(*[pairs[f].alias(f) for f in PAIR_FIELDS[:-1]])
     nodes = parsed.select("page_id", *keep, F.transform(zipped, node).alias("nodes"))
-    nodes = nodes.select("page_id", *keep, F.inline("nodes"))
-    attrs = _attributes(_mark_only(F.col("mark")))
+    # outer: a plain inline would evaluate the whole array a second time to filter out empty ones
+    nodes = nodes.select("page_id", *keep, F.inline_outer("nodes")).filter("pre is not null")
+    nodes = nodes.withColumn("_attrs", _attributes(_mark_only(F.col("mark"))))
+    attrs = F.col("_attrs")
     ids = F.filter(attrs, lambda a: a["name"] == "id")
     classes = F.filter(attrs, lambda a: a["name"] == "class")
     words = F.filter(F.split(F.array_join(F.transform(classes, lambda a: a["raw"]), " "), "\\s+"), lambda w: w != "")
@@ -244,31 +251,51 @@ def attribute_test(found: Column, op: str | None, value: str | None) -> Column:
     return F.coalesce(tests[op], F.lit(False))
 
 
+def any_of(tests: Sequence[Column]) -> Column:
+    some = tests[0]
+    for t in tests[1:]:
+        some = some | t
+    return some
+
+
+def chain(roles: DataFrame, keys: Sequence[str], rounds: int, child: Sequence[Column | bool]) -> DataFrame:
+    """Follow selector steps over rows of (node, step): keep a row iff its chain of steps holds.
+
+    A descendant step needs an earlier hit whose interval reaches this node (running maximum, strictly
+    earlier nodes); a child step needs its own parent among the hits (parent and children share a group).
+    """
+    out = roles.withColumn("_hit", F.col("step") == 0)
+    before = Window.partitionBy(*keys).orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
+    for i in range(1, rounds + 1):
+        above = F.col("_hit") & (F.col("step") == i - 1)
+        wants_child = child[i] if isinstance(child[i], Column) else F.lit(child[i])
+        fixed = isinstance(child[i], bool)
+        now = F.lit(False)
+        if not fixed or not child[i]:
+            reach = F.max(F.when(above, F.col("post"))).over(before)
+            now = F.coalesce(reach >= F.col("pre"), F.lit(False))
+        if not fixed or child[i]:
+            group = F.when(F.col("step") == i - 1, F.col("pre")).otherwise(F.col("parent"))
+            parent = F.max(F.when(above, F.lit(1))).over(Window.partitionBy(*keys, group))
+            now = F.when(wants_child, F.coalesce(parent == 1, F.lit(False))).otherwise(now)
+        out = out.withColumn("_now", now).withColumn(
+            "_hit", F.when(F.col("step") == i, F.col("_now")).otherwise(F.col("_hit"))
+        ).drop("_now")
+    return out
+
+
 def select(nodes: DataFrame, steps: Sequence[Step], scope: Sequence[str] = ()) -> DataFrame:
     """Nodes matched by a chain of steps, in document order within ``page_id`` (and ``scope``).
 
     Only nodes that pass some step reach the shuffle. All descendant steps share one sort.
     """
-    keys = ["page_id", *scope]
     tests = [s.test() for s in steps]
     if len(steps) == 1:
         return nodes.filter(tests[0])
-    some = tests[0]
-    for t in tests[1:]:
-        some = some | t
-    marked = nodes.filter(some).withColumn("_hit", tests[0])
-    before = Window.partitionBy(*keys).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    for step, test in zip(steps[1:], tests[1:], strict=True):
-        if step.child:
-            parents = marked.filter("_hit").select(*keys, F.col("pre").alias("parent"), F.lit(True).alias("_up"))
-            marked = marked.join(parents, [*keys, "parent"], "left")
-            marked = marked.withColumn("_hit", F.coalesce(F.col("_up"), F.lit(False)) & test).drop("_up")
-        else:
-            reach = F.max(F.when(F.col("_hit"), F.col("post"))).over(before)
-            marked = marked.withColumn("_reach", reach)
-            inside = F.coalesce(F.col("_reach") >= F.col("pre"), F.lit(False))
-            marked = marked.withColumn("_hit", inside & test).drop("_reach")
-    return marked.filter("_hit").select(*nodes.columns)
+    passed = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
+    roles = nodes.filter(any_of(tests)).withColumn("step", F.explode(passed))
+    done = chain(roles, ["page_id", *scope], len(steps) - 1, [s.child for s in steps])
+    return done.filter(F.col("_hit") & (F.col("step") == len(steps) - 1)).select(*nodes.columns)
 
 
 def select_any(nodes: DataFrame, alternatives: Sequence[Sequence[Step]]) -> DataFrame:
@@ -310,8 +337,13 @@ def within(scopes: DataFrame, nodes: DataFrame, test: Column | None = None) -> D
     return inner.join(s, "page_id").filter(inside)
 
 
-def rows(nodes: DataFrame, container: Sequence[Step], child: Step) -> DataFrame:
-    """Children inside each container; a container without one counts itself if its tag fits."""
+def rows(nodes: DataFrame, container: Sequence[Step], child: Step, settled: bool = False) -> DataFrame:
+    """Children inside each container; a container without one counts itself if its tag fits.
+
+    The nodes that can matter are settled first: pages are parsed once for both sides of the join.
+    """
+    if not settled:
+        nodes = settle(nodes.filter(any_of([child.test(), *[s.test() for s in container]])))
     boxes = select(nodes, container)
     kids = within(boxes, nodes, child.test()).drop("scope_post")
     alone = boxes.filter(F.col("tag") == (child.tag or "").lower()).join(
@@ -387,6 +419,7 @@ def path_select(nodes: DataFrame, steps: Sequence[PathStep], first: bool = False
 
     The first step is searched at any depth. ``ord`` numbers a page's results; ``first`` keeps one.
     """
+    nodes = settle(nodes.filter(any_of([s.test() for s in steps]))) if len(steps) > 1 else nodes
     current = None
     for step in steps:
         pool = nodes.filter(step.test())
