@@ -132,11 +132,12 @@ def split_by_heading(
     staged = df.select(*keep, heading_pieces(text, heading).alias("_p"))
     opens = f"(?m)\\A({heading})$"
     headed = staged.filter((F.size("_p") > 1) | F.element_at("_p", 1).rlike(opens))
-    rows = headed.select(*keep, F.inline_outer(_cut(F.col("_p")))).filter("idx is not null")
-    rows = rows.withColumn("_h", F.regexp_extract("text", opens, 1))
-    kept = rows.filter((F.col("_h") != "") | (F.col("end") > min_preface))
+    head = F.element_at("_p", 1)
+    short = ~head.rlike(opens) & (F.length(head) <= min_preface)
+    rows = headed.select(*keep, short.cast("int").alias("_drop"), F.inline_outer(_cut(F.col("_p"))))
+    kept = rows.filter("idx >= _drop").withColumn("_h", F.regexp_extract("text", opens, 1))
     name = F.when(F.col("_h") == "", F.lit(PREFACE_NAME)).otherwise(trim_control(F.col("_h")))
-    return kept.select(*keep, "idx", name.alias("name"), "start", "end", "text")
+    return kept.select(*keep, (F.col("idx") - F.col("_drop")).alias("idx"), name.alias("name"), "start", "end", "text")
 
 
 def chunk_pieces(text: ColumnLike, size: int = 6000, slack: int = 1500) -> Column:
@@ -161,32 +162,27 @@ def split_documents(
 
     ``whole_up_to`` leaves shorter texts (archive sections) uncut.
     """
-    flat = df.select(*keep, F.col(text).alias("_t"))
-    pieces = heading_pieces("_t", heading)
-    staged = flat.withColumn("_by_heading", pieces)
-    first = F.element_at("_by_heading", 1)
-    opens = first.rlike(f"(?m)\\A{heading}$")
-    count = F.size("_by_heading") - F.when(opens | (F.length(first) > min_preface), 0).otherwise(1)
-    by_heading = count >= 2
+    opens = f"(?m)\\A({heading})$"
+    staged = df.select(*keep, F.col(text).alias("_t"), heading_pieces(text, heading).alias("_p"))
+    head = F.element_at("_p", 1)
+    drop = ~head.rlike(opens) & (F.length(head) <= min_preface)
+    staged = staged.filter(F.length("_t") > 0).withColumn("_short", drop.cast("int"))
+    by_heading = F.size("_p") - F.col("_short") >= 2
     whole = F.lit(False) if whole_up_to is None else F.length("_t") <= whole_up_to
     mode = F.when(whole, "whole").when(by_heading, "heading").otherwise("chunk")
     staged = staged.withColumn("mode", mode)
     chosen = (
         F.when(F.col("mode") == "whole", F.array("_t"))
-        .when(F.col("mode") == "heading", F.col("_by_heading"))
+        .when(F.col("mode") == "heading", F.col("_p"))
         .otherwise(chunk_pieces("_t", size, slack))
     )
-    rows = staged.filter(F.length("_t") > 0).select(*keep, "mode", F.inline_outer(_cut(chosen))).filter("idx is not null")
-    title = F.regexp_extract(F.col("text"), f"(?m)\\A({heading})$", 1)
-    rows = rows.withColumn("_h", F.when(F.col("mode") == "heading", title).otherwise(F.lit("")))
-    preface = (F.col("mode") == "heading") & (F.col("idx") == 0) & (F.col("_h") == "")
-    name = (
-        F.when(preface, F.lit(PREFACE_NAME))
-        .when(F.col("mode") == "heading", trim_control(F.col("_h")))
-        .otherwise(F.lit(""))
-    )
-    kept = rows.filter(~preface | (F.col("end") > min_preface))
-    return kept.select(*keep, "mode", "idx", name.alias("name"), "start", "end", "text")
+    dropped = F.when(F.col("mode") == "heading", F.col("_short")).otherwise(0)
+    rows = staged.select(*keep, "mode", dropped.alias("_drop"), F.inline_outer(_cut(chosen))).filter("idx >= _drop")
+    found = F.regexp_extract("text", opens, 1)
+    label = F.when(found == "", F.lit(PREFACE_NAME)).otherwise(trim_control(found))
+    name = F.when(F.col("mode") == "heading", label).otherwise(F.lit(""))
+    return rows.select(*keep, "mode", (F.col("idx") - F.col("_drop")).alias("idx"), name.alias("name"), "start", "end",
+                       "text")
 
 
 def number_chapters(df: DataFrame, doc: str = "doc_id", idx: str = "idx", name: str = "name") -> DataFrame:
