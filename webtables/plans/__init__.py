@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["pages", "texts", "sites"]
+MODULES = ["pages", "texts", "sites", "works", "streams"]
 
 
 def _catalogs():

@@ -145,7 +145,12 @@ def is_flat() -> Column:
 
 def upgrade_flat(df: DataFrame) -> DataFrame:
     """Flat and modern rows to one modern shape in a single projection."""
-    flat = is_flat()
+    old_rules = [(g, f, c) for g, m in FLAT_RULES.items() for f, c in m.items()]
+    place = {(g, f): i for i, (g, f, _) in enumerate(old_rules)}
+    # all old rules go through one lambda, which keeps the plan small
+    olds = F.array(*[F.coalesce(F.col(c), F.lit("")) for _, _, c in old_rules])
+    df = df.withColumn("_flat", is_flat()).withColumn("_rewritten", F.transform(olds, rewrite_rule))
+    flat = F.col("_flat")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     agent = F.when(text("httpUserAgent") != "", F.concat(F.lit("User-Agent@"), "httpUserAgent")).otherwise(F.lit(""))
 
@@ -153,8 +158,8 @@ def upgrade_flat(df: DataFrame) -> DataFrame:
         fields = []
         for f in RULE_FIELDS:
             modern = F.coalesce(F.col(g)[f], F.lit(""))
-            old = FLAT_RULES[g].get(f)
-            converted = rewrite_rule(old) if old else F.lit("")
+            at = place.get((g, f))
+            converted = F.lit("") if at is None else F.col("_rewritten")[at]
             if (g, f) == ("ruleContent", "content"):
                 # a leading dollar that opens no path is dropped
                 converted = F.regexp_replace(converted, "^\\$(?![.\\[])", "")
