@@ -41,14 +41,16 @@ def probe_summary(fetches: DataFrame, url: str = "url", ok: str = "ok", reason:
 
 
 def fold_health(
-    attempts: DataFrame, initial: DataFrame | None = None, source: str = "source_url", seconds: int = 3600
+    attempts: DataFrame, initial: DataFrame | None = None, source: str = "source_url", seconds: int = 3600,
+    slice_rows: int = 100_000,
 ) -> DataFrame:
     """Counts, last times and the whole-number moving average of each site.
 
     ``attempts(source_url, ts, seq, reachable, had_results, ms)``. The average depends on every earlier
     success in order, so each (site, time slice) is reduced to its effect on any incoming average: a
     short run of steps kept as they are, then a table from the few averages still possible to the result.
-    A slice must fit a task; a site's whole history need not.
+    Slices holding more than ``slice_rows`` successes are divided evenly in time, so a busy site is worked
+    on by as many tasks as it needs; only the effects of its slices meet.
     """
     reachable, good = F.col("reachable"), F.col("reachable") & F.col("had_results")
     counts = attempts.groupBy(source).agg(
@@ -74,7 +76,13 @@ def fold_health(
         )
     else:
         counts = counts.withColumn("_avg", F.lit(0).cast("long"))
-    steps = attempts.filter(good).withColumn("_b", time_bucket("ts", seconds))
+    steps = attempts.filter(good).select(source, "ts", "seq", "ms", time_bucket("ts", seconds).alias("_t"))
+    parts = steps.groupBy(source, "_t").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("_parts"))
+    width = seconds * 1_000_000
+    share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("_t") * width) / F.lit(width)
+    steps = steps.join(parts, [source, "_t"]).withColumn(
+        "_b", F.struct("_t", F.floor(share * F.col("_parts")).alias("p"))
+    )
     slices = steps.groupBy(source, "_b").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("ts", "seq", F.col("ms").cast("long").alias("ms")))), lambda x: x["ms"]
@@ -159,7 +167,8 @@ def order_sites(registry: DataFrame, health: DataFrame, source: str = "source_ur
     joined = joined.withColumn(
         "search_rank", search_rank(F.coalesce("ok", F.lit(0)), F.coalesce("fail", F.lit(0)))
     ).withColumn("_late", -F.coalesce(time_bucket("last_ok", 86400), F.lit(0)))
-    placed = ordinal(joined, [], ["search_rank", "_late"], [F.col("last_ok").desc_nulls_last(), name, source])
+    joined = joined.withColumn("_head", F.when(F.col("last_ok").isNull(), F.substring(name, 1, 3)).otherwise(F.lit("")))
+    placed = ordinal(joined, [], ["search_rank", "_late", "_head"], [F.col("last_ok").desc_nulls_last(), name, source])
     return placed.select(source, name, "search_rank", "last_ok", "pos")
 
 

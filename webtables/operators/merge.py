@@ -114,9 +114,9 @@ def rank_results(groups: DataFrame, best: DataFrame, keyword: str) -> DataFrame:
     wanted = title_key(F.lit(keyword))
     joined = joined.withColumn("exact", (F.col("key") == wanted) & (wanted != ""))
     joined = joined.withColumn("_not", (~F.col("exact")).cast("int"))
-    # the size bucket (powers of two, large first) keeps the order and splits the numbering
-    joined = joined.withColumn("_size", -F.floor(F.log2(F.col("offers").cast("double"))).cast("long"))
-    placed = ordinal(joined, [], ["_not", "best_rank", "_size"], [F.col("offers").desc(), "name", "key"])
+    # buckets keep the order and split the numbering: most works share a class and a size, so the name helps
+    joined = joined.withColumn("_size", -F.col("offers")).withColumn("_head", F.substring("name", 1, 3))
+    placed = ordinal(joined, [], ["_not", "best_rank", "_size", "_head"], ["name", "key"])
     return placed.select("pos", "key", "name", "exact", "best_rank", "offers")
 
 

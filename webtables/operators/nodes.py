@@ -233,12 +233,16 @@ class Step:
         if self.id is not None:
             cond = cond & (F.col("id") == self.id)
         for name in self.classes:
-            cond = cond & F.exists("classes", lambda c, n=name: F.lower(c) == n.lower())
+            cond = cond & has_class(name)
         if self.attr is not None:
             cond = cond & attribute_test(F.col("attrs")[self.attr.lower()], self.op, self.value)
         return cond
 
 
+def has_class(name: str) -> Column:
+    return F.exists("classes", lambda c: F.lower(c) == F.lit(name.lower()))
+
+
 def attribute_test(found: Column, op: str | None, value: str | None) -> Column:
     if op is None:
         return found.isNotNull()
@@ -405,7 +409,7 @@ class PathStep:
         found = F.col("attrs")[self.attr.lower()]
         if self.equals is not None and self.attr.lower() == "class":
             for word in self.equals.split():
-                cond = cond & F.exists("classes", lambda c, w=word: F.lower(c) == w.lower())
+                cond = cond & has_class(word)
             return cond & found.isNotNull()
         if self.equals is not None:
             return cond & F.coalesce(found == self.equals, F.lit(False))

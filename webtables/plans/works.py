@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from webtables.functions.urls import host_of
 from webtables.operators import joins as J
 from webtables.operators import merge as M
-from webtables.operators.extract import extract_records, Field
+from webtables.operators.extract import Field, extract_records
 from webtables.operators.health import fold_health, fold_reads, health_ranks
 from webtables.operators.nodes import Step
+from webtables.operators.scan import ordinal, time_bucket
 from webtables.plans.proxies import (
     ATTEMPTS, HEALTH, HITS, REGISTRY, TIE, Catalog, attempts, hits, reads, registry, table,
 )
@@ -159,8 +160,9 @@ def next_alternative(spark, sf):
 
 def _books(found):
     """Chapters of a book: its hits in arrival order; returned items stand for empty bodies."""
-    order = Window.partitionBy("source_url", "book_url").orderBy("arrival", *TIE)
-    return found.withColumn("idx", F.row_number().over(order) - 1)
+    sliced = found.withColumn("_b", time_bucket("arrival", 86400))
+    placed = ordinal(sliced, ["source_url", "book_url"], ["_b"], ["arrival", *TIE], "n")
+    return placed.withColumn("idx", F.col("n") - 1).drop("_b", "n")
 
 
 _FALLBACK = f"""{HITS}, d AS (SELECT key, source_url, book_url, min((arrival, {_TIE_SQL})) AS o FROM hits GROUP BY 1, 2, 3), pl AS (
@@ -184,15 +186,16 @@ def fallback_body(spark, sf):
     found = _keyed(spark, sf)
     chapters = _books(found)
     distinct = found.groupBy("key", "source_url", "book_url").agg(F.min(F.struct("arrival", *TIE)).alias("o"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("o"))
-    ranked = distinct.select("key", "source_url", "book_url", place.alias("place"))
+    sliced = distinct.withColumn("_arrival", F.col("o.arrival")).withColumn("_b", time_bucket("_arrival", 86400))
+    ranked = ordinal(sliced, ["key"], ["_b"], ["o"], "place").select("key", "source_url", "book_url", "place")
     failed = ranked.filter("place = 1").select(
         "key", "source_url", "book_url", F.lit(2).alias("chapter_index"), F.lit(7).alias("n_chapters")
     )
     toc = chapters.groupBy("source_url", "book_url").agg(F.count(F.lit(1)).alias("n_chapters"))
     text = F.when(F.col("run_id") % 2 == 0, "").otherwise(F.concat(F.lit("body "), F.col("run_id").cast("string")))
     bodies = chapters.select("source_url", "book_url", "idx", text.alias("content"))
-    return J.fallback_body(failed, ranked, toc, bodies)
+    out = J.fallback_body(failed, ranked, toc, bodies)
+    return out.withColumn("idx", F.col("idx").cast("int"))
 
 
 _TOCS = """a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events WHERE event_type = 'view'), b AS (
@@ -200,9 +203,9 @@ _TOCS = """a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER B
 
 
 def _toc(spark, sf, kind):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    found = table(spark, sf, "events").filter(F.col("event_type") == kind)
-    return found.select("user_id", (F.row_number().over(order) - 1).alias("idx"), "event_id")
+    found = table(spark, sf, "events").filter(F.col("event_type") == kind).withColumn("_b", time_bucket("ts", 86400))
+    placed = ordinal(found, ["user_id"], ["_b"], ["ts", "event_id"], "n")
+    return placed.select("user_id", (F.col("n") - 1).cast("int").alias("idx"), "event_id")
 
 
 @catalog.add("j06_map_position", f"""

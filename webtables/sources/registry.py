@@ -116,7 +116,8 @@ def rewrite_url(col: ColumnLike) -> Column:
         outside = F.regexp_replace(outside, "<searchPage([+-]1)?>|searchPage([+-]1)?", "{{page$1$2}}")
         return F.when(p.rlike("^\\{\\{.+\\}\\}$"), inside).otherwise(outside)
 
-    pieces = F.regexp_extract_all(bare, F.lit("\\{\\{.+?\\}\\}|\\{|[^{]++"), F.lit(0))
+    script = "\\{\\{.+?\\}\\}"
+    pieces = F.regexp_extract_all(bare, F.lit(f"(?s){script}|(?:(?!{script}).)++"), F.lit(0))
     filled = F.array_join(F.transform(pieces, piece), "")
     shape = "(?s)^([^@]+)@(.+)$"
     body = F.regexp_extract(filled, shape, 2)
@@ -193,8 +194,19 @@ def parse_registry(raw: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry files holding one object or an array; elements that are no site are dropped."""
-    return parse_registry(spark.read.schema(RAW_SCHEMA).option("multiLine", True).json(path))
+    """Registry files holding one object or an array; elements that are no site are dropped.
+
+    Elements are cut out as text first, so a bad one cannot spoil its neighbours.
+    """
+    body = F.regexp_replace("value", "^[\\s\ufeff]+", "")
+    listed = F.when(body.startswith("{"), F.array(body)).otherwise(F.from_json(body, "array<string>"))
+    elements = spark.read.text(path, wholetext=True).select(F.explode_outer(listed).alias("element"))
+    return parse_registry(elements.select(F.from_json("element", RAW_SCHEMA).alias("r")).select("r.*"))
+
+
+def read_registry_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A registry written by :func:`export_registry`: one object per line, read in parallel."""
+    return parse_registry(spark.read.schema(RAW_SCHEMA).json(path))
 
 
 def upsert_registry(current: DataFrame, batch: DataFrame, pos: str = "pos") -> tuple[DataFrame, DataFrame]:
@@ -250,10 +262,6 @@ def export_registry(df: DataFrame, path: str) -> None:
     registry_json(df).write.mode("overwrite").text(path)
 
 
-def read_registry_lines(spark: SparkSession, path: str) -> DataFrame:
-    return parse_registry(spark.read.schema(RAW_SCHEMA).json(path))
-
-
 def reject_reason() -> Column:
     """Why a site takes no part in a search; null when it does."""
     no_rules = (F.coalesce("search_url", F.lit("")) == "") | (F.coalesce("list_rule", F.lit("")) == "")
