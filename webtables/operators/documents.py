@@ -74,7 +74,7 @@ def quality_score(col: ColumnLike) -> Column:
     t = as_col(col)
     good = (
         2 * _count_of(t, "\\n\\r\\t") + _count_of(t, " -~")
-        + 3 * _count_of(t, "\\x{4E00}-\\x{9FA5}") + 3 * _count_of(t, "\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}")
+        + 3 * _count_of(t, "\\x{4E00}-\\x{9FA5}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}")
     )
     bad = (
         30 * _count_of(t, "\\x{FFFD}") + 12 * _count_of(t, "\\x{3400}-\\x{4DBF}\\x{E000}-\\x{F8FF}")

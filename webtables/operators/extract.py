@@ -231,6 +231,7 @@ def extract_many(
     ``row`` selects the record nodes; the others are read inside each record (or from the record itself).
     The number of rounds is the length of the longest selector, whatever the number of sites.
     """
+    rules = settle(rules)  # a stored table has a true size: Spark broadcasts it below its threshold only
     routed = pages.withColumn("site", host_of(url) if site is None else as_col(site))
     wanted = rules.select("site").distinct()
     nodes = shred(routed.join(wanted, "site", "left_semi"), page_id, html, text_for=text_for, keep=["site"])

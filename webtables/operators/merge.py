@@ -10,26 +10,28 @@ from webtables.operators.scan import ordinal, time_bucket
 
 
 def _valid_hits(hits: DataFrame, name: str, url: str) -> DataFrame:
-    """Hits with a name, a url and a usable title key."""
+    """Hits with a name, a url and a usable title key (a ``key`` column computed earlier is kept)."""
     usable = (F.coalesce(F.col(name), F.lit("")) != "") & (F.coalesce(F.col(url), F.lit("")) != "")
-    return hits.filter(usable).withColumn("key", title_key(name)).filter("key <> ''")
+    keyed = hits if "key" in hits.columns else hits.withColumn("key", title_key(name))
+    return keyed.filter(usable).filter("key <> ''")
 
 
 def merge_hits(
-    hits: DataFrame, arrival: str = "arrival", tie: tuple[str, ...] = (), name: str = "name", url: str = "book_url",
-    by: tuple[str, ...] = (),
+    hits: DataFrame, arrival: str = "arrival", name: str = "name", url: str = "book_url", by: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per work: key, name of the first arrival, number of offers, first arrival.
 
-    Plain aggregates with map-side combine: a work with a third of all hits is reduced before the shuffle.
-    The members stay in rows, see :func:`offers`.
+    Counts and first arrivals per spelling come first: they fit hash aggregation with map-side combine, so
+    a work with a third of all hits shrinks to its spellings before the shuffle. Equal arrivals: the
+    smaller name. The members stay in rows, see :func:`offers`.
     """
-    valid = _valid_hits(hits, name, url)
-    first = F.struct(arrival, *tie)
-    return valid.groupBy(*by, "key").agg(
-        F.min_by(F.col(name), first).alias("name"),
-        F.count(F.lit(1)).alias("offers"),
-        F.min(arrival).alias("first_arrival"),
+    spellings = _valid_hits(hits, name, url).groupBy(*by, "key", F.col(name).alias("_name")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(arrival).alias("_at")
+    )
+    return spellings.groupBy(*by, "key").agg(
+        F.min_by("_name", F.struct("_at", "_name")).alias("name"),
+        F.sum("_n").alias("offers"),
+        F.min("_at").alias("first_arrival"),
     )
 
 
@@ -58,7 +60,8 @@ def search_summary(attempts: DataFrame, hits: DataFrame, run: str = "run_id", si
         F.count_if(F.col("best") == 2).alias("timed_out"),
         F.count_if(F.col("best") == 3).alias("skipped"),
     )
-    works = hits.withColumn("key", title_key("name")).groupBy(run, "key").agg(F.count(F.lit(1)).alias("n"))
+    keyed = hits if "key" in hits.columns else hits.withColumn("key", title_key("name"))
+    works = keyed.groupBy(run, "key").agg(F.count(F.lit(1)).alias("n"))
     found = works.groupBy(run).agg(
         F.sum("n").alias("hits"), F.count_if(F.col("key") != "").alias("works")
     )

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webtables.functions.text import title_key
+from webtables.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,8 +30,12 @@ class Catalog:
         return keep
 
 
+SPREAD = {"pages", "documents", "conversations", "lineitem"}  # much work per row or many rows
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(scan) if name in SPREAD else scan
 
 
 def _site_url(key: str) -> Column:
@@ -39,9 +46,14 @@ TIE = ("run_id", "line", "source_url", "book_url")
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Site offers work: line items with the part as the work and the supplier as the site."""
+    """Site offers work: line items with the part as the work and the supplier as the site.
+
+    The title key is computed once per work, before the join multiplies it.
+    """
     item = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
-    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = table(spark, sf, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", title_key("p_name").alias("key")
+    )
     site = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     joined = item.join(part, item.l_partkey == part.p_partkey).join(site, item.l_suppkey == site.s_suppkey)
     source = _site_url("l_suppkey")
@@ -50,7 +62,7 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
         source.alias("source_url"), F.col("s_name").alias("source_name"), F.col("p_name").alias("name"),
         F.col("p_brand").alias("author"), F.col("p_type").alias("kind"),
         F.col("p_size").cast("string").alias("word_count"),
-        F.concat(source, F.lit("/b/"), F.col("l_partkey").cast("string")).alias("book_url"),
+        F.concat(source, F.lit("/b/"), F.col("l_partkey").cast("string")).alias("book_url"), "key",
     )
 
 

@@ -17,18 +17,17 @@ def read_stream(spark, sf, name):
 
 
 @catalog.add("t01_merge_stream", """
-SELECT regexp_replace(lower(p_name), '[^\\p{L}\\p{Nd}]', '', 'g') AS key, arg_min(p_name, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS name,
+SELECT regexp_replace(lower(p_name), '[^\\p{L}\\p{Nd}]', '', 'g') AS key, arg_min(p_name, (l_shipdate, p_name)) AS name,
        count(*) AS offers, min(l_shipdate) AS first_arrival
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def merge_stream(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     item = read_stream(spark, sf, "lineitem")
     found = item.join(part, item.l_partkey == part.p_partkey).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("arrival"),
-        F.col("p_name").alias("name"), F.col("l_partkey").cast("string").alias("book_url"),
+        F.col("l_shipdate").alias("arrival"), F.col("p_name").alias("name"),
+        F.col("l_partkey").cast("string").alias("book_url"),
     )
-    tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return ST.merge_hits_stream(found, ST.stream_folder(spark, "merge"), tie=tie)
+    return ST.merge_hits_stream(found, ST.stream_folder(spark, "merge"))
 
 
 @catalog.add("t02_health_stream", sites.catalog.sql["a03_fold_health"])

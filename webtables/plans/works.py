@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from webtables.functions.text import title_key
 from webtables.functions.urls import host_of
 from webtables.operators import joins as J
 from webtables.operators import merge as M
 from webtables.operators.extract import Field, extract_records
 from webtables.operators.health import fold_health, fold_reads, health_ranks
 from webtables.operators.nodes import Step
+from webtables.session import settle
 from webtables.operators.scan import ordinal, time_bucket
 from webtables.plans.proxies import (
     ATTEMPTS, HEALTH, HITS, REGISTRY, TIE, Catalog, attempts, hits, reads, registry, table,
@@ -29,7 +31,7 @@ def _ranks(spark, sf):
 
 _BASE = f"WITH {HITS}, {REGISTRY}, {HEALTH}"
 _GROUPS = f"""grp AS (
-  SELECT key, arg_min(name, (arrival, {_TIE_SQL})) AS name, count(*) AS offers, min(arrival) AS first_arrival FROM hits GROUP BY key)"""
+  SELECT key, arg_min(name, (arrival, name)) AS name, count(*) AS offers, min(arrival) AS first_arrival FROM hits GROUP BY key)"""
 _BEST = """best AS (SELECT key, min(coalesce(reading_rank, 2)) AS best_rank FROM hits LEFT JOIN ranks USING (source_url) GROUP BY key)"""
 _CURRENT = f"""cur AS (SELECT key, arg_max(source_url, (arrival, {_TIE_SQL})) AS cur FROM hits GROUP BY key)"""
 _RANKED = f"""ranked AS (
@@ -44,9 +46,9 @@ def _current(found):
 
 
 def _keyed(spark, sf):
-    from webtables.functions.text import title_key
+    """Hits, stored once for the several uses of a query."""
+    return settle(hits(spark, sf))
 
-    return hits(spark, sf).withColumn("key", title_key("name"))
 
 
 @catalog.add("x14_r03_nav_links_ranked", """
@@ -64,19 +66,22 @@ def nav_links_ranked(spark, sf):
     records = extract_records(
         pages, [Step("nav"), Step("li")], Step("a"), {"name": Field("text"), "book_url": Field("href")}, ["book_url"]
     )
-    found = records.withColumn("host", host_of("book_url"))
-    groups = M.merge_hits(found, arrival="page_id", tie=("pos",))
-    spread = M.merge_hits(found, arrival="page_id", tie=("pos",), by=("host",)).groupBy("key").agg(
-        F.count(F.lit(1)).alias("hosts")
+    found = records.withColumn("host", host_of("book_url")).withColumn("key", title_key("name")).filter("key <> ''")
+    # a title on very many pages shrinks to one row per host before it meets in one place
+    by_host = found.groupBy("key", "host").agg(
+        F.min(F.struct("page_id", "pos", "name")).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    top = groups.join(spread, "key").orderBy(F.col("hosts").desc(), F.col("offers").desc(), "name", "key").limit(20)
-    order = Window.orderBy(F.col("hosts").desc(), F.col("offers").desc(), "name", "key")  # 20 rows
-    return top.select("key", "name", "offers", "hosts", F.row_number().over(order).cast("long").alias("pos"))
+    groups = by_host.groupBy("key").agg(
+        F.min("first")["name"].alias("name"), F.sum("n").alias("offers"), F.count(F.lit(1)).alias("hosts")
+    )
+    order = [F.col("hosts").desc(), F.col("offers").desc(), F.col("name"), F.col("key")]
+    top = groups.orderBy(*order).limit(20)
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))  # 20 rows
 
 
 @catalog.add("a01_merge_hits", f"WITH {HITS}, {_GROUPS} SELECT * FROM grp")
 def merge_hits(spark, sf):
-    return M.merge_hits(hits(spark, sf), tie=TIE)
+    return M.merge_hits(hits(spark, sf))
 
 
 @catalog.add("a01_ordered_members", f"""
@@ -132,7 +137,7 @@ _RESULTS = f"""{_BASE}, {_GROUPS}, {_BEST}, res AS (
 @catalog.add("r03_result_order", f"{_RESULTS} SELECT * FROM res")
 def result_order(spark, sf):
     found = _keyed(spark, sf)
-    return M.rank_results(M.merge_hits(found, tie=TIE), M.best_rank(found, _ranks(spark, sf)), KEYWORD)
+    return M.rank_results(M.merge_hits(found), M.best_rank(found, _ranks(spark, sf)), KEYWORD)
 
 
 @catalog.add("r05_top_results", f"""
@@ -140,7 +145,7 @@ def result_order(spark, sf):
 FROM res JOIN ranked ON ranked.key = res.key AND place = 1 WHERE pos <= 6""")
 def top_results(spark, sf):
     found, ranks = _keyed(spark, sf), _ranks(spark, sf)
-    groups, best = M.merge_hits(found, tie=TIE), M.best_rank(found, ranks)
+    groups, best = M.merge_hits(found), M.best_rank(found, ranks)
     top = M.top_results(groups, best, M.primary_offer(found, ranks, _current(found), tie=TIE), KEYWORD)
     return top.select("key", "name", "offers", "exact", "best_rank", "source_url", "book_url")
 
@@ -187,11 +192,11 @@ def fallback_body(spark, sf):
     chapters = _books(found)
     distinct = found.groupBy("key", "source_url", "book_url").agg(F.min(F.struct("arrival", *TIE)).alias("o"))
     sliced = distinct.withColumn("_arrival", F.col("o.arrival")).withColumn("_b", time_bucket("_arrival", 86400))
-    ranked = ordinal(sliced, ["key"], ["_b"], ["o"], "place").select("key", "source_url", "book_url", "place")
+    ranked = settle(ordinal(sliced, ["key"], ["_b"], ["o"], "place").select("key", "source_url", "book_url", "place"))
     failed = ranked.filter("place = 1").select(
         "key", "source_url", "book_url", F.lit(2).alias("chapter_index"), F.lit(7).alias("n_chapters")
     )
-    toc = chapters.groupBy("source_url", "book_url").agg(F.count(F.lit(1)).alias("n_chapters"))
+    toc = found.groupBy("source_url", "book_url").agg(F.count(F.lit(1)).alias("n_chapters"))
     text = F.when(F.col("run_id") % 2 == 0, "").otherwise(F.concat(F.lit("body "), F.col("run_id").cast("string")))
     bodies = chapters.select("source_url", "book_url", "idx", text.alias("content"))
     out = J.fallback_body(failed, ranked, toc, bodies)

@@ -53,8 +53,8 @@ def run_available(
 
 
 def merge_hits_stream(
-    hits: DataFrame, folder: str, arrival: str = "arrival", tie: Sequence[str] = (), name: str = "name",
-    url: str = "book_url", by: Sequence[str] = (), lateness: str | None = None,
+    hits: DataFrame, folder: str, arrival: str = "arrival", name: str = "name", url: str = "book_url",
+    by: Sequence[str] = (), lateness: str | None = None,
 ) -> DataFrame:
     """Works growing as sites report, in update mode: the name stays that of the first arrival.
 
@@ -66,7 +66,7 @@ def merge_hits_stream(
     if lateness:
         valid = valid.withWatermark(arrival, lateness)
     grouped = valid.groupBy(*by, "key").agg(
-        F.min_by(F.col(name), F.struct(arrival, *tie)).alias("name"),
+        F.min_by(F.col(name), F.struct(arrival, name)).alias("name"),
         F.count(F.lit(1)).alias("offers"),
         F.min(arrival).alias("first_arrival"),
     )
