@@ -102,7 +102,11 @@ def test_ordinal_and_top_k(spark):
     for key in ("hot", "cold"):
         for n, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])), 1):
             want[r[2]] = n
-    assert {r["id"]: r["pos"] for r in ordinal(df, ["k"], ["b"], ["v", "id"]).collect()} == want
+    for hot_rows in (1_000_000, 1000, 10):
+        assert {r["id"]: r["pos"] for r in ordinal(df, ["k"], ["b"], ["v", "id"], hot_rows=hot_rows).collect()} == want
+    alone = ordinal(df, [], ["b"], ["v", "id"]).orderBy("pos").collect()
+    assert [r["id"] for r in alone] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+    assert [r["pos"] for r in alone] == list(range(1, 3001))
     top = top_k(df, ["k"], [F.col("v"), F.col("id")], 7, ["id"])
     assert {r["id"]: r["pos"] for r in top.collect()} == {i: n for i, n in want.items() if n <= 7}
 

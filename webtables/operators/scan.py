@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtables.session import settle
+
 
 def time_bucket(ts: str, seconds: int) -> Column:
     """Number of the time slice a timestamp falls in."""
@@ -19,18 +21,43 @@ def time_bucket(ts: str, seconds: int) -> Column:
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[Column | str], name: str = "pos"
+    df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[Column | str], name: str = "pos",
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact 1-based position inside ``keys`` ordered by ``buckets`` then ``order``.
 
-    Bucket columns must be ascending in the wanted order and not null.
+    A key with more than ``hot_rows`` rows is numbered bucket by bucket and shifted by the size of the
+    buckets before; the others in one go. Bucket columns are not null and ascend in the wanted order.
+    With no keys, everything is one hot key.
+
+    The hot keys (at most one per ``hot_rows`` rows) and the shifts (one per bucket of a hot key) are
+    counted first and stored, so their true size decides how they are joined; without hot keys the result
+    is a plain window. Expensive inputs should be settled by the caller, as the counts read them too.
     """
-    counts = df.groupBy(*keys, *buckets).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, *buckets).orderBy(*order)
-    joined = df.join(offsets, [*keys, *buckets])
-    return joined.withColumn(name, F.row_number().over(inside) + F.col("_off")).drop("_off")
+    plain = Window.partitionBy(*keys).orderBy(*buckets, *order)
+    if keys:
+        many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        many = settle(many.select(*keys))
+        if many.isEmpty():
+            return df.withColumn(name, F.row_number().over(plain).cast("long"))
+        tagged = df.join(many.withColumn("_hot", F.lit(True)), [*keys], "left")
+        tagged = tagged.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        hot = df.join(many, [*keys], "left_semi")
+    else:
+        tagged, hot = df.withColumn("_hot", F.lit(True)), df
+    marks = [f"_k{i}" for i in range(len(buckets))]
+    tagged = tagged.select(
+        "*", *[F.when(F.col("_hot"), F.col(b)).alias(m) for b, m in zip(buckets, marks, strict=True)]
+    )
+    counts = hot.groupBy(*keys, *[F.col(b).alias(m) for b, m in zip(buckets, marks, strict=True)]).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = settle(counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    inside = Window.partitionBy(*keys, *marks).orderBy(*buckets, *order)
+    joined = tagged.join(shifts, [*keys, *marks], "left")
+    position = F.row_number().over(inside) + F.coalesce("_off", F.lit(0))
+    return joined.withColumn(name, position.cast("long")).select(*df.columns, name)
 
 
 def top_k(
