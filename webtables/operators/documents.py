@@ -95,26 +95,31 @@ def decode_quality(df: DataFrame, text: str = "text", by: str = "source") -> Dat
     )
 
 
-def _starts(pieces: Column) -> Column:
+def _starts(sizes: Column) -> Column:
     """Running start offsets of consecutive pieces (one entry more than pieces)."""
     zero = F.expr("array(cast(0 as bigint))")
-    return F.aggregate(
-        F.transform(pieces, lambda p: F.length(p).cast("long")),
-        zero,
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
+    return F.aggregate(sizes, zero, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
 
 def _cut(pieces: Column) -> Column:
-    starts = _starts(pieces)
+    """Pieces with their character range and their byte range in UTF-8, all inside the row."""
+    chars = _starts(F.transform(pieces, lambda p: F.length(p).cast("long")))
+    octets = _starts(F.transform(pieces, lambda p: F.octet_length(p).cast("long")))
+    zipped = F.arrays_zip(
+        pieces.alias("t"), F.slice(chars, 1, F.size(pieces)).alias("s"), F.slice(octets, 1, F.size(pieces)).alias("b")
+    )
     return F.transform(
-        F.arrays_zip(pieces.alias("t"), F.slice(starts, 1, F.size(pieces)).alias("s")),
+        zipped,
         lambda x, i: F.struct(
-            i.alias("idx"), x["t"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["t"])).alias("end")
+            i.alias("idx"), x["t"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["t"])).alias("end"),
+            x["b"].alias("byte_offset"), F.octet_length(x["t"]).cast("long").alias("byte_length"),
         ),
     )
 
 
+_RANGE = ["start", "end", "byte_offset", "byte_length", "text"]
+
+
 def heading_pieces(text: ColumnLike, heading: str = HEADING) -> Column:
     """The text cut in front of every heading line; the first piece may be text before any heading."""
     pattern = f"(?m)(?:^{heading}$|\\A)(?s:.*?)(?=^{heading}$|\\z)"
@@ -124,7 +129,7 @@ def heading_pieces(text: ColumnLike, heading: str = HEADING) -> Column:
 def split_by_heading(
     df: DataFrame, text: str = "text", heading: str = HEADING, min_preface: int = 200, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """Chapters by heading lines: ``idx, name, start, end, text``.
+    """Chapters by heading lines: ``idx, name, start, end, byte_offset, byte_length, text``.
 
     Text before the first heading is a chapter of its own when longer than ``min_preface``, else dropped.
     Documents without a heading give no rows.
@@ -134,10 +139,21 @@ def split_by_heading(
     headed = staged.filter((F.size("_p") > 1) | F.element_at("_p", 1).rlike(opens))
     head = F.element_at("_p", 1)
     short = ~head.rlike(opens) & (F.length(head) <= min_preface)
-    rows = headed.select(*keep, short.cast("int").alias("_drop"), F.inline_outer(_cut(F.col("_p"))))
+    skipped = F.when(short, F.octet_length(head)).otherwise(0)
+    rows = headed.select(
+        *keep, short.cast("int").alias("_drop"), skipped.alias("_skip"), F.inline_outer(_cut(F.col("_p")))
+    )
     kept = rows.filter("idx >= _drop").withColumn("_h", F.regexp_extract("text", opens, 1))
     name = F.when(F.col("_h") == "", F.lit(PREFACE_NAME)).otherwise(trim_control(F.col("_h")))
-    return kept.select(*keep, (F.col("idx") - F.col("_drop")).alias("idx"), name.alias("name"), "start", "end", "text")
+    return _placed(kept, keep, name)
+
+
+def _placed(rows: DataFrame, keep: tuple[str, ...], name: Column, *more: str) -> DataFrame:
+    """Positions and byte offsets counted from the first piece that was kept."""
+    return rows.select(
+        *keep, *more, (F.col("idx") - F.col("_drop")).alias("idx"), name.alias("name"), "start", "end",
+        (F.col("byte_offset") - F.col("_skip")).alias("byte_offset"), "byte_length", "text",
+    )
 
 
 def chunk_pieces(text: ColumnLike, size: int = 6000, slack: int = 1500) -> Column:
@@ -149,9 +165,9 @@ def chunk_pieces(text: ColumnLike, size: int = 6000, slack: int = 1500) -> Colum
 def split_by_chunk(
     df: DataFrame, text: str = "text", size: int = 6000, slack: int = 1500, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """Fixed chunks: ``idx, name, start, end, text`` with empty names; the slices concatenate to the text."""
+    """Fixed chunks with empty names; the slices concatenate to the text."""
     cut = df.select(*keep, F.inline_outer(_cut(chunk_pieces(text, size, slack)))).filter("idx is not null")
-    return cut.select(*keep, "idx", F.lit("").alias("name"), "start", "end", "text")
+    return cut.select(*keep, "idx", F.lit("").alias("name"), *_RANGE)
 
 
 def split_documents(
@@ -177,12 +193,14 @@ def split_documents(
         .otherwise(chunk_pieces("_t", size, slack))
     )
     dropped = F.when(F.col("mode") == "heading", F.col("_short")).otherwise(0)
-    rows = staged.select(*keep, "mode", dropped.alias("_drop"), F.inline_outer(_cut(chosen))).filter("idx >= _drop")
+    skipped = F.when(dropped == 1, F.octet_length(head)).otherwise(0)
+    rows = staged.select(
+        *keep, "mode", dropped.alias("_drop"), skipped.alias("_skip"), F.inline_outer(_cut(chosen))
+    ).filter("idx >= _drop")
     found = F.regexp_extract("text", opens, 1)
     label = F.when(found == "", F.lit(PREFACE_NAME)).otherwise(trim_control(found))
     name = F.when(F.col("mode") == "heading", label).otherwise(F.lit(""))
-    return rows.select(*keep, "mode", (F.col("idx") - F.col("_drop")).alias("idx"), name.alias("name"), "start", "end",
-                       "text")
+    return _placed(rows, keep, name, "mode")
 
 
 def number_chapters(df: DataFrame, doc: str = "doc_id", idx: str = "idx", name: str = "name") -> DataFrame:
@@ -195,7 +213,10 @@ def number_chapters(df: DataFrame, doc: str = "doc_id", idx: str = "idx", name:
 
 
 def index_chapters(df: DataFrame, doc: str = "doc_id", idx: str = "idx", text: str = "text") -> DataFrame:
-    """Running UTF-8 byte offset and length of every chapter; empty chapters are left out."""
+    """Running UTF-8 byte offset and length of every chapter; empty chapters are left out.
+
+    For chapters from elsewhere: the splitters of this module already give byte ranges without a shuffle.
+    """
     before = Window.partitionBy(doc).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
     sized = df.filter(F.length(text) > 0).withColumn("byte_length", F.octet_length(text).cast("long"))
     return sized.withColumn("byte_offset", F.coalesce(F.sum("byte_length").over(before), F.lit(0).cast("long")))

@@ -89,20 +89,21 @@ def decode_quality(spark, sf):
 
 @catalog.add("d03_split_by_heading", HEADED + ' SELECT doc_id, idx, name, start, "end", text FROM headed')
 def split_by_heading(spark, sf):
-    return _longs(D.split_by_heading(_documents(spark, sf, "doc_id", "text"), heading=HEADING), "idx")
+    cut = D.split_by_heading(_documents(spark, sf, "doc_id", "text"), heading=HEADING)
+    return _longs(cut, "idx").drop("byte_offset", "byte_length")
 
 
 @catalog.add("d04_split_by_chunk", CHUNKS + """
 SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", substr(text, s + 1, e - s) AS text FROM cut""")
 def split_by_chunk(spark, sf):
-    return _longs(D.split_by_chunk(_documents(spark, sf, "doc_id", "text")), "idx").drop("name")
+    return _longs(D.split_by_chunk(_documents(spark, sf, "doc_id", "text")), "idx").drop("name", "byte_offset", "byte_length")
 
 
 @catalog.add("d05_split_documents", _BOTH + """
 SELECT doc_id, mode, CAST(idx AS BIGINT) AS idx, name, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM split""")
 def split_documents(spark, sf):
     cut = D.split_documents(_documents(spark, sf, "doc_id", "text"), heading=HEADING)
-    return _longs(cut, "idx").drop("text")
+    return _longs(cut, "idx").drop("text", "byte_offset", "byte_length")
 
 
 @catalog.add("d06_number_chapters", _BOTH + """
@@ -139,7 +140,17 @@ SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS byte_length,
   CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM seg""")
 def chapter_byte_index(spark, sf):
     chapters = D.split_by_chunk(_documents(spark, sf, "doc_id", "text"))
-    return _longs(D.index_chapters(chapters).select("doc_id", "idx", "byte_length", "byte_offset"), "idx")
+    return _longs(chapters.select("doc_id", "idx", "byte_length", "byte_offset"), "idx")
+
+
+@catalog.add("s11_headed_byte_index", HEADED + """
+SELECT doc_id, idx, CAST(strlen(text) AS BIGINT) AS byte_length, CAST(coalesce(sum(strlen(text)) OVER (
+  PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM headed""")
+def headed_byte_index(spark, sf):
+    cut = D.split_by_heading(_documents(spark, sf, "doc_id", "text"), heading=HEADING)
+    again = D.index_chapters(cut.select("doc_id", "idx", "text")).select("doc_id", "idx", "byte_offset")
+    both = cut.select("doc_id", "idx", "byte_length", "byte_offset").join(again, ["doc_id", "idx", "byte_offset"])
+    return _longs(both, "idx")
 
 
 # ------------------------------------------------------------------ text columns
