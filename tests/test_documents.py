@@ -82,6 +82,15 @@ def test_chunks_brute_force(spark):
         assert [r["text"] for r in got if r["doc_id"] == i] == plain_chunks(text, 20, 7)
 
 
+def test_very_many_pieces(spark):
+    text = "".join(f"第{i}章 x\n正文{i}\n" for i in range(1500))
+    got = D.split_by_heading(docs(spark, text)).orderBy("idx").collect()
+    assert len(got) == 1500 and "".join(r["text"] for r in got) == text
+    assert all(text[r["start"]:r["end"]] == r["text"] for r in got)
+    raw = text.encode()
+    assert all(raw[r["byte_offset"]:r["byte_offset"] + r["byte_length"]].decode() == r["text"] for r in got)
+
+
 def test_numbers_and_bytes(spark, tmp_path):
     rows = [(1, 0, "", "中a"), (1, 1, " named\n", "b"), (1, 2, None, "中"), (1, 3, "", ""), (2, 0, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, idx int, name string, text string")

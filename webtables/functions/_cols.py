@@ -15,3 +15,11 @@ def as_col(value: ColumnLike) -> Column:
 def trim_control(col: Column) -> Column:
     """Trim every character up to and including the space at both ends."""
     return F.regexp_replace(col, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+
+
+def once(**columns: Column) -> Column:
+    """Generator giving the columns as they are, each evaluated exactly once per row.
+
+    A plain projection may be inlined into every lambda or filter that uses it and be computed again there.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtables.functions._cols import ColumnLike, as_col, trim_control
+from webtables.functions._cols import ColumnLike, as_col, once, trim_control
 from webtables.functions.text import clamp_name
 from webtables.session import enable_decoders
 
@@ -95,26 +95,42 @@ def decode_quality(df: DataFrame, text: str = "text", by: str = "source") -> Dat
     )
 
 
-def _starts(sizes: Column) -> Column:
-    """Running start offsets of consecutive pieces (one entry more than pieces)."""
-    zero = F.expr("array(cast(0 as bigint))")
-    return F.aggregate(sizes, zero, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+_BLOCK = 256
 
 
-def _cut(pieces: Column) -> Column:
-    """Pieces with their character range and their byte range in UTF-8, all inside the row."""
-    chars = _starts(F.transform(pieces, lambda p: F.length(p).cast("long")))
-    octets = _starts(F.transform(pieces, lambda p: F.octet_length(p).cast("long")))
-    zipped = F.arrays_zip(
-        pieces.alias("t"), F.slice(chars, 1, F.size(pieces)).alias("s"), F.slice(octets, 1, F.size(pieces)).alias("b")
+def _fold(sizes: Column, first: Column) -> Column:
+    """Start offsets of consecutive pieces, beginning at ``first``, and the end of the last one."""
+    return F.aggregate(sizes, F.array(first), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _starts(sizes: str) -> Column:
+    """Running start offsets of an array of sizes, folded block by block so that long arrays stay cheap."""
+    zero = F.lit(0).cast("long")
+    count = F.ceil(F.size(sizes) / _BLOCK).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))
+    )
+    before = _fold(F.transform(blocks, lambda blk: F.aggregate(blk, zero, lambda a, n: a + n)), zero)
+    return F.flatten(
+        F.transform(
+            F.arrays_zip(blocks.alias("blk"), F.slice(before, 1, F.size(blocks)).alias("at")),
+            lambda x: F.slice(_fold(x["blk"], x["at"]), 1, F.size(x["blk"])),
+        )
     )
-    return F.transform(
-        zipped,
-        lambda x, i: F.struct(
-            i.alias("idx"), x["t"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["t"])).alias("end"),
-            x["b"].alias("byte_offset"), F.octet_length(x["t"]).cast("long").alias("byte_length"),
-        ),
+
+
+def _pieces(df: DataFrame, keep: tuple[str, ...], pieces: str) -> DataFrame:
+    """One row per piece with its character range and its byte range in UTF-8, all inside the row."""
+    chars = F.transform(pieces, lambda p: F.length(p).cast("long"))
+    octets = F.transform(pieces, lambda p: F.octet_length(p).cast("long"))
+    sized = df.select(*keep, once(_p=F.col(pieces), _n=chars, _o=octets))
+    zipped = F.arrays_zip(
+        F.col("_p").alias("text"), _starts("_n").alias("start"), F.col("_n").alias("n"),
+        _starts("_o").alias("byte_offset"), F.col("_o").alias("byte_length"),
     )
+    rows = sized.select(*keep, F.posexplode_outer(zipped).alias("idx", "x")).filter("idx is not null")
+    end = F.col("x.start") + F.col("x.n")
+    return rows.select(*keep, "idx", "x.text", "x.start", end.alias("end"), "x.byte_offset", "x.byte_length")
 
 
 _RANGE = ["start", "end", "byte_offset", "byte_length", "text"]
@@ -134,15 +150,14 @@ def split_by_heading(
     Text before the first heading is a chapter of its own when longer than ``min_preface``, else dropped.
     Documents without a heading give no rows.
     """
-    staged = df.select(*keep, heading_pieces(text, heading).alias("_p"))
+    staged = df.select(*keep, once(_p=heading_pieces(text, heading)))
     opens = f"(?m)\\A({heading})$"
     headed = staged.filter((F.size("_p") > 1) | F.element_at("_p", 1).rlike(opens))
     head = F.element_at("_p", 1)
     short = ~head.rlike(opens) & (F.length(head) <= min_preface)
     skipped = F.when(short, F.octet_length(head)).otherwise(0)
-    rows = headed.select(
-        *keep, short.cast("int").alias("_drop"), skipped.alias("_skip"), F.inline_outer(_cut(F.col("_p")))
-    )
+    marked = headed.select(*keep, "_p", short.cast("int").alias("_drop"), skipped.alias("_skip"))
+    rows = _pieces(marked, (*keep, "_drop", "_skip"), "_p")
     kept = rows.filter("idx >= _drop").withColumn("_h", F.regexp_extract("text", opens, 1))
     name = F.when(F.col("_h") == "", F.lit(PREFACE_NAME)).otherwise(trim_control(F.col("_h")))
     return _placed(kept, keep, name)
@@ -166,7 +181,8 @@ def split_by_chunk(
     df: DataFrame, text: str = "text", size: int = 6000, slack: int = 1500, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Fixed chunks with empty names; the slices concatenate to the text."""
-    cut = df.select(*keep, F.inline_outer(_cut(chunk_pieces(text, size, slack)))).filter("idx is not null")
+    staged = df.select(*keep, once(_c=chunk_pieces(text, size, slack)))
+    cut = _pieces(staged, keep, "_c")
     return cut.select(*keep, "idx", F.lit("").alias("name"), *_RANGE)
 
 
@@ -179,7 +195,7 @@ def split_documents(
     ``whole_up_to`` leaves shorter texts (archive sections) uncut.
     """
     opens = f"(?m)\\A({heading})$"
-    staged = df.select(*keep, F.col(text).alias("_t"), heading_pieces(text, heading).alias("_p"))
+    staged = df.select(*keep, once(_t=F.col(text), _h=heading_pieces(text, heading))).withColumnRenamed("_h", "_p")
     head = F.element_at("_p", 1)
     drop = ~head.rlike(opens) & (F.length(head) <= min_preface)
     staged = staged.filter(F.length("_t") > 0).withColumn("_short", drop.cast("int"))
@@ -194,9 +210,8 @@ def split_documents(
     )
     dropped = F.when(F.col("mode") == "heading", F.col("_short")).otherwise(0)
     skipped = F.when(dropped == 1, F.octet_length(head)).otherwise(0)
-    rows = staged.select(
-        *keep, "mode", dropped.alias("_drop"), skipped.alias("_skip"), F.inline_outer(_cut(chosen))
-    ).filter("idx >= _drop")
+    marked = staged.select(*keep, "mode", once(_drop=dropped, _skip=skipped, _c=chosen))
+    rows = _pieces(marked, (*keep, "mode", "_drop", "_skip"), "_c").filter("idx >= _drop")
     found = F.regexp_extract("text", opens, 1)
     label = F.when(found == "", F.lit(PREFACE_NAME)).otherwise(trim_control(found))
     name = F.when(F.col("mode") == "heading", label).otherwise(F.lit(""))

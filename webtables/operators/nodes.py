@@ -18,10 +18,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtables.functions._cols import once
+from webtables.functions.text import collapse_ws, decode_entities, squash_line, tidy
 from webtables.operators import _pairing
 from webtables.operators._pairing import PAIR_FIELDS, PAIRS_TYPE, pair_marks
 from webtables.session import settle
-from webtables.functions.text import collapse_ws, decode_entities, squash_line, tidy
 
 cloudpickle.register_pickle_by_value(_pairing)  # executors need no copy of this package
 
@@ -99,10 +100,8 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     staged = pages.select(F.col(page_id).alias("page_id"), *keep, tokens.alias("tokens"))
     staged = staged.withColumn("codes", _codes(F.col("tokens")))
     staged = staged.withColumn("texts", _texts(F.col("tokens"), F.col("codes")))
-    # the one-row inline keeps the arrays evaluated once: as plain projections they would be inlined into
-    # the lambdas below and recomputed for every node
-    once = F.inline(F.array(F.struct("tokens", "codes", "texts")))
-    staged = staged.select("page_id", *keep, once)
+    arrays = {c: F.col(c) for c in ("tokens", "codes", "texts")}
+    staged = staged.select("page_id", *keep, once(**arrays))
     return staged.withColumn("pairs", F.pandas_udf(pair_marks, PAIRS_TYPE)(F.col("codes")))
 
 
@@ -461,13 +460,15 @@ def flatten(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
         ),
     )
     of_interest = ["body", "h1", "h2", "h3", "h4", "h5", "h6", *FLATTEN_SKIPPED]
-    base = parsed.select("page_id", "codes", "texts", pairs["closers"].alias("closers"),
-                         F.filter(tagged, lambda e: e["tag"].isin(of_interest)).alias("marks"))
+    marks = F.filter(tagged, lambda e: e["tag"].isin(of_interest))
+    base = parsed.select("page_id", once(codes=F.col("codes"), texts=F.col("texts"), closers=pairs["closers"], marks=marks))
+    base = base.select("page_id", once(
+        codes=F.col("codes"), texts=F.col("texts"), closers=F.col("closers"), marks=F.col("marks"),
+        skips=F.filter("marks", lambda e: e["tag"].isin(FLATTEN_SKIPPED)),
+    ))
     breaks = f"</(?:{FLATTEN_BLOCKS})>"
     ends = lambda c: F.repeat(F.lit("\n"), F.size(F.regexp_extract_all(c, F.lit(breaks), F.lit(0))))
     opens = lambda c: F.when(c.rlike(f"^[<.](?:{FLATTEN_BLOCKS})$"), F.lit("\n")).otherwise(F.lit(""))
-    skipped = F.filter("marks", lambda e: e["tag"].isin(FLATTEN_SKIPPED))
-    base = base.withColumn("skips", skipped)
 
     def emit(x: Column, at: Column) -> Column:
         whole = F.concat(opens(x["code"]), x["txt"], ends(x["end"]))
