@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def trim_control(col: Column) -> Column:
     return F.regexp_replace(col, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, inside an expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def once(**columns: Column) -> Column:
     """Generator giving the columns as they are, each evaluated exactly once per row.
 

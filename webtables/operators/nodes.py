@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webtables.functions._cols import once
+from webtables.functions._cols import bind, once
 from webtables.functions.text import collapse_ws, decode_entities, squash_line, tidy
 from webtables.operators import _pairing
 from webtables.operators._pairing import PAIR_FIELDS, PAIRS_TYPE, pair_marks
@@ -46,19 +46,20 @@ _OPEN = f"^<\\s*([^\\s/>]*){_ATTRS}>"
 _ATTRIBUTE = "([^\\s=]*)\\s*=\\s*(\"[^\"]*\"?|'[^']*'?|\\S*)|([^\\s=]+)"
 
 def _codes(tokens: Column) -> Column:
+    def opening(tok: Column, name: Column) -> Column:
+        leaf = name.isin(VOID_TAGS) | tok.endswith("/>")
+        raw = name.isin(RAW_TAGS.split("|")) & tok.rlike(f"^(?:{_RAW})")
+        mark = F.when(raw, "!").when(leaf, ".").otherwise("<")
+        return F.when(name == "", name).otherwise(F.concat(mark, name))
+
     def code(tok: Column) -> Column:
-        name = F.lower(F.regexp_extract(tok, _OPEN, 1))
         closed = F.regexp_extract(F.lower(F.trim(F.regexp_extract(tok, "^</([^>]*)>$", 1))), "^([^ ]*)", 1)
-        raw = tok.rlike(f"^(?:{_RAW})")
-        leaf = name.isin(VOID_TAGS) | tok.endswith("/>")
         return (
             F.when(~tok.startswith("<"), F.lit("t"))
+            .when(tok.startswith("</"), bind(closed, lambda c: F.when(c == "", c).otherwise(F.concat(F.lit("/"), c))))
             .when(tok.startswith("<!") | tok.startswith("<?"), F.lit(""))
-            .when(tok.startswith("</"), F.when(closed == "", F.lit("")).otherwise(F.concat(F.lit("/"), closed)))
             .when(~tok.rlike(_OPEN), F.lit("t"))
-            .when(name == "", F.lit(""))
-            .when(raw, F.concat(F.lit("!"), name))
-            .otherwise(F.concat(F.when(leaf, F.lit(".")).otherwise(F.lit("<")), name))
+            .otherwise(bind(F.lower(F.regexp_extract(tok, "^<\\s*([^\\s/>]*)", 1)), lambda n: opening(tok, n)))
         )
 
     return F.transform(tokens, code)
@@ -467,18 +468,21 @@ def flatten(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
         skips=F.filter("marks", lambda e: e["tag"].isin(FLATTEN_SKIPPED)),
     ))
     breaks = f"</(?:{FLATTEN_BLOCKS})>"
-    ends = lambda c: F.repeat(F.lit("\n"), F.size(F.regexp_extract_all(c, F.lit(breaks), F.lit(0))))
+    count = lambda c: F.size(F.regexp_extract_all(c, F.lit(breaks), F.lit(0)))
+    ends = lambda c: F.when(c == "", c).otherwise(F.repeat(F.lit("\n"), count(c)))
     opens = lambda c: F.when(c.rlike(f"^[<.](?:{FLATTEN_BLOCKS})$"), F.lit("\n")).otherwise(F.lit(""))
 
     def emit(x: Column, at: Column) -> Column:
         whole = F.concat(opens(x["code"]), x["txt"], ends(x["end"]))
-        cover = F.try_element_at(
-            F.filter("skips", lambda s: (s["pre"] <= at + 1) & (at + 1 <= s["post"])), F.lit(1)
-        )
-        # at the end of a skipped subtree only the marks of its ancestors still count
-        beyond = cover["tail"] - F.length(cover["tag"]) - 3
-        rest = F.when(cover["post"] == at + 1, ends(F.right(x["end"], beyond))).otherwise(F.lit(""))
-        return F.when(cover.isNull(), whole).otherwise(rest)
+        covers = F.filter("skips", lambda s: (s["pre"] <= at + 1) & (at + 1 <= s["post"]))
+
+        def shown(cover: Column) -> Column:
+            # at the end of a skipped subtree only the marks of its ancestors still count
+            beyond = cover["tail"] - F.length(cover["tag"]) - 3
+            rest = F.when(cover["post"] == at + 1, ends(F.right(x["end"], beyond))).otherwise(F.lit(""))
+            return F.when(cover.isNull(), whole).otherwise(rest)
+
+        return bind(F.try_element_at(covers, F.lit(1)), shown)
 
     zipped = F.arrays_zip(F.col("codes").alias("code"), F.col("texts").alias("txt"), F.col("closers").alias("end"))
     base = base.withColumn("parts", F.transform(zipped, emit))
