@@ -47,7 +47,8 @@ def _current(found):
 
 def _keyed(spark, sf):
     """Hits, stored once for the several uses of a query."""
-    return settle(hits(spark, sf))
+    used = ["run_id", "line", "arrival", "source_url", "name", "book_url", "key"]
+    return settle(hits(spark, sf).select(*used))
 
 
 
