@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webtables.llm import bpe, exact, simhash
+from webtables.llm import bpe, exact, ngram_lm, simhash, suffix_tree
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,6 +35,26 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def op4_suffix_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree.remove_repeats(table(spark, sf, "documents"), window=20).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 19], ' ')) AS h FROM w),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM c),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, len(d.ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_simhash_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf, "documents"), radius=4, width=4)
 
@@ -42,9 +63,15 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer())
 
 
+def op10_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_suffix_trees": op4_suffix_trees,
     "op6_simhash_tiles": op6_simhash_tiles,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_ngram_lm": op10_ngram_lm,
 }
-SQL: dict[str, str] = {"op3_exact_dedup": SQL_3}
+SQL: dict[str, str] = {"op3_exact_dedup": SQL_3, "op4_suffix_trees": SQL_4}
