@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from webtables.llm._tables import pieces, raw_texts
 
-#: White space as the tokenizer's own regex engine has it (the White_Space property), for every ``\s`` of a pattern.
-WHITE = r"\t-\r \x85\xa0  -     　"
 MAX_VOCABULARY = 4_000_000
-MEMO = 400_000
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,25 +26,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def compile_pattern(pattern: str) -> regex.Pattern:
-    r"""The splitting pattern with ``\s`` and ``\S`` spelled out."""
-    out, depth, i = [], 0, 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two == r"\s":
-            out.append(WHITE if depth else f"[{WHITE}]")
-        elif two == r"\S" and not depth:
-            out.append(f"[^{WHITE}]")
-        elif two[0] == "\\":
-            out.append(two)
-        else:
-            depth += {"[": 1, "]": -1}.get(two[0], 0)
-            out.append(two[0])
-            i -= 1
-        i += 2
-    return regex.compile("".join(out))
-
-
 class PerfectHash:
     """Minimal perfect hash of byte strings: n keys, n slots, one displacement per bucket of about two keys.
 
@@ -110,33 +89,30 @@ def merge_bytes(token: bytes, rank_of: Callable[[bytes], int | None]) -> list[in
     """Ranks of a pre-token that is no whole token: always the lowest-ranked pair next, the leftmost of equals.
 
     Parts are a doubly linked list over byte positions, candidate pairs a heap with stale entries skipped:
-    n log n steps for n bytes.
+    n log n steps for n bytes. ``rank_of`` is the merge table.
     """
     n = len(token)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
+    end, before = list(range(1, n + 1)), list(range(-1, n))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of(token[i : i + 2])) is not None]
     heapify(heap)
     while heap:
         _, i, stop = heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+        j = end[i]  # the part after i begins where i ends; a part that was merged away ends at 0
+        if not j or j >= n or end[j] != stop:
             continue
-        alive[j] = False
-        end[i], after[i] = stop, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := rank_of(token[i : end[after[i]]])) is not None:
-                heappush(heap, (r, i, end[after[i]]))
+        end[i], end[j] = stop, 0
+        before[stop] = i
+        if stop < n and (r := rank_of(token[i : end[stop]])) is not None:
+            heappush(heap, (r, i, end[stop]))
         if (left := before[i]) >= 0 and (r := rank_of(token[left:stop])) is not None:
             heappush(heap, (r, left, stop))
-    out = []
-    i = 0
+    out, i = [], 0
     while i < n:
         rank = rank_of(token[i : end[i]])
         if rank is None:
             raise ValueError(f"no token for byte {token[i : end[i]]!r}")
         out.append(rank)
-        i = after[i]
+        i = end[i]
     return out
 
 
@@ -146,29 +122,44 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.table = PerfectHash(ranks)
         self.pattern = pattern
+        self._encoder = None
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Tokenizer:
         return cls(read_ranks(path), pattern)
 
     def encoder(self) -> Callable[[str], list[int]]:
-        split, get = compile_pattern(self.pattern).findall, self.table.get
+        """Text to ranks; one encoder per worker, so that its memo lasts from task to task."""
+        if self._encoder:
+            return self._encoder
+        split, whole_token, merges = regex.compile(self.pattern).findall, self.table.get, self.merges().get
 
         class Memo(dict):
-            """Pre-tokens met lately; emptied when full, so memory is bounded."""
+            """Pre-tokens met lately, in two generations of bounded size: what is met again moves to the new one."""
+
+            older: dict = {}
 
             def __missing__(self, word: str) -> tuple[int, ...]:
-                raw = word.encode()
-                whole = get(raw)
-                ids = (whole,) if whole is not None else tuple(merge_bytes(raw, get))
+                ids = self.older.get(word)
+                if ids is None:
+                    raw = word.encode()
+                    whole = whole_token(raw)
+                    ids = (whole,) if whole is not None else tuple(merge_bytes(raw, merges))
+                    if len(raw) > 64:
+                        return ids
                 if len(self) >= MEMO:
+                    self.older = dict(self)
                     self.clear()
-                if len(raw) <= 64:
-                    self[word] = ids
+                self[word] = ids
                 return ids
 
         memo = Memo()
-        return lambda text: list(chain.from_iterable(map(memo.__getitem__, split(text))))
+        self._encoder = lambda text: list(chain.from_iterable(map(memo.__getitem__, split(text))))
+        return self._encoder
+
+    def merges(self) -> dict[bytes, int]:
+        """Merge table: what two neighbouring parts become, and its rank."""
+        return dict(zip(self.table.keys, self.table.ranks, strict=True))
 
     def decoder(self) -> Callable[[list[int]], bytes]:
         tokens = dict(zip(self.table.ranks, self.table.keys, strict=True))
