@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from webtables.session import ensure_checkpoint_dir
 
 PIECE_BYTES = 8 << 20
+#: Shuffle files go as soon as the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """Tables written under the shared checkpoint folder; ``drop`` removes those that no later step reads.
 
     A written table cuts lineage and survives lost executors. Shuffle files of the job that wrote it are of no
-    more use, so the driver is asked to let go of them, which bounds disk by one step instead of all steps.
+    more use and removed with its end, which bounds disk by one step instead of all steps.
     """
 
     def __init__(self, spark: SparkSession):
@@ -30,11 +31,13 @@ class Scratch:
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
         schema = df.schema
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.paths[name] = path
-        del df
-        gc.collect()
-        self.spark._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
