@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtables.llm import bpe, exact, ngram_lm, simhash, suffix_tree
+from webtables.llm import bpe, chat, exact, kd_shards, line_runs, mixing, ngram_lm, quality, simhash, suffix_tree
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +24,37 @@ def tokenizer(name: str = VOCABULARY) -> bpe.Tokenizer:
     return bpe.Tokenizer.from_file(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def op1_mcd_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op2_chat_parts(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    formatted = chat.format_turns(turns.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    return chat.digests(formatted).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+SQL_2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+f AS (
+  SELECT *, row_number() OVER w AS p,
+    CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 4
+      ELSE 20 + length(regexp_replace(role, '([\\<\[])', '\\\1', 'g')) END
+    + length(regexp_replace(text, '([\\<\[])', '\\\1', 'g')) AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf, "documents"), keep="largest")
 
@@ -55,6 +86,37 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_hash_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), weights=(1, 2, 3), most=3)
+
+
+SQL_5 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+o AS (
+  SELECT *, row_number() OVER q AS i,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW q AS (ORDER BY cap::DOUBLE / w, source NULLS LAST)),
+t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT min_by(level, i) FROM o WHERE cap >= level * w) * w) AS target FROM o),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+h AS (
+  SELECT b.source, place, target - whole * source_size AS need, sum(size) AS n,
+    sum(sum(size)) OVER (PARTITION BY b.source ORDER BY place) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source GROUP BY b.source, place, target, whole, source_size),
+c AS (
+  SELECT source, max(place) AS last FROM h
+  WHERE need > 0 AND (upto < need OR (upto - n < need AND upto - need <= need - (upto - n))) GROUP BY source)
+SELECT d.doc_id, size, source_size, target, size * (whole + CASE WHEN place <= coalesce(last, -1) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
+"""
+
+
 def op6_simhash_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf, "documents"), radius=4, width=4)
 
@@ -63,15 +125,43 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer())
 
 
+def op8_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return line_runs.drop_repeated_runs(table(spark, sf, "documents"), min_lines=2).select(
+        "doc_id", "_lines.n_lines", "_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL_8 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+p AS (SELECT doc_id, s, line, lead(line) OVER (PARTITION BY doc_id ORDER BY s) AS following FROM c),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, s) AS n FROM p WHERE following IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS s FROM r WHERE n > 1),
+lost AS (SELECT doc_id, i FROM c JOIN gone USING (doc_id, s)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM l ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, len(ls) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op9_kd_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return kd_shards.kd_shards(table(spark, sf, "documents"), shards=40)
+
+
 def op10_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mcd_quality": op1_mcd_quality,
+    "op2_chat_parts": op2_chat_parts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_suffix_trees": op4_suffix_trees,
+    "op5_hash_mix": op5_hash_mix,
     "op6_simhash_tiles": op6_simhash_tiles,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_runs": op8_line_runs,
+    "op9_kd_shards": op9_kd_shards,
     "op10_ngram_lm": op10_ngram_lm,
 }
-SQL: dict[str, str] = {"op3_exact_dedup": SQL_3, "op4_suffix_trees": SQL_4}
+SQL: dict[str, str] = {"op2_chat_parts": SQL_2, "op3_exact_dedup": SQL_3, "op4_suffix_trees": SQL_4, "op5_hash_mix": SQL_5, "op8_line_runs": SQL_8}

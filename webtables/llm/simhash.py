@@ -65,55 +65,71 @@ class Tile:
 
 
 class Forest:
-    """Union-find over small integers; whole arrays of links at a time."""
+    """Union-find over small integers, whole arrays of links at a time; keeps the links that joined two trees."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
         up = self.up
-        while len(a):
-            a, b = up[a], up[b]
+        while len(p):
+            a, b = p, q
             while not (np.array_equal(a, c := up[a]) and np.array_equal(b, d := up[b])):
                 a, b = c, up[b]
             apart = a != b
-            a, b = a[apart], b[apart]
-            if len(a):
-                np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            p, q, high, low = p[apart], q[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            if len(p):
+                roots, first = np.unique(high, return_index=True)
+                up[roots] = low[first]  # every root hooks to one smaller root
+                self.kept.append((p[first], q[first]))
+
+
+class Nearest:
+    """The nearest other node of every node, among those compared."""
 
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(self.up, up := self.up[self.up]):
-            self.up = up
-        return self.up
+    def __init__(self, n: int, radius: int):
+        self.bits, self.to = np.full(n, radius + 1, np.uint8), np.zeros(n, np.int64)
 
+    def see(self, rows: np.ndarray, cols: np.ndarray, bits: np.ndarray) -> None:
+        for own, other, axis in ((rows, cols, 1), (cols, rows, 0)):
+            least, at = bits.min(axis=axis), bits.argmin(axis=axis)
+            better = least < self.bits[own]
+            self.bits[own[better]], self.to[own[better]] = least[better], other[at[better]]
 
-def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``radius`` inside ``a`` (``b`` None) or between ``a`` and ``b``.
+
+def links(a: np.ndarray, b: np.ndarray | None, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u, v, bits: a spanning forest (bits 0) of the links within ``radius`` inside ``a`` (``b`` None) or between
+    ``a`` and ``b``; with ``nearest`` also the link of every node to its nearest, with their differing bits.
 
     Every pair of blocks that the bit counts cannot tell apart is compared in full.
     """
     left = Tile(a)
     right = left if b is None else Tile(b)
     shift = 0 if b is None else len(a)
-    forest = Forest(len(a) + (0 if b is None else len(b)))
+    both = a if b is None else np.concatenate([a, b])
+    forest, close = Forest(len(both)), Nearest(len(both), radius)
     for i, at in enumerate(left.starts):
         x = left.values[at : at + BLOCK, None]
         for j in left.near_blocks(right, i, radius):
             if b is None and j < i:
                 continue
             to = right.starts[j]
-            p, q = np.nonzero(np.bitwise_count(x ^ right.values[None, to : to + BLOCK]) <= radius)
+            bits = np.bitwise_count(x ^ right.values[None, to : to + BLOCK])
             if b is None and i == j:
-                p, q = p[p < q], q[p < q]
+                np.fill_diagonal(bits, 255)
+            p, q = np.nonzero(bits <= radius)
             if len(p):
-                forest.join(left.order[p + at], right.order[q + to] + shift)
-    roots = forest.roots()
-    both = a if b is None else np.concatenate([a, b])
-    moved = np.flatnonzero(roots != np.arange(len(roots)))
-    return both[moved], both[roots[moved]]
+                rows, cols = left.order[at : at + BLOCK], right.order[to : to + BLOCK] + shift
+                forest.join(rows[p], cols[q])
+                if nearest:
+                    close.see(rows, cols, bits)
+    u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*forest.kept, strict=True)) if forest.kept else (np.empty(0, np.int64),) * 2
+    near = np.flatnonzero(close.bits <= radius)
+    return both[np.concatenate([u, near])], both[np.concatenate([v, close.to[near]])], np.concatenate([np.zeros(len(u), np.int32), close.bits[near].astype(np.int32)])
 
 
-def _pair_links(radius: int):
+def _pair_links(radius: int, nearest: bool):
     def run(table: pa.Table) -> pa.Table:
         values = table.column("f").to_numpy().view(np.uint64)
         first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
@@ -121,14 +137,51 @@ def _pair_links(radius: int):
         same = len(a) and table.column("t1")[0].as_py() == table.column("t2")[0].as_py()
         if not len(a) or not (same or len(b)):
             u = v = np.empty(0, np.uint64)
+            bits = np.empty(0, np.int32)
         else:
-            u, v = links(a, None if same else b, radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+            u, v, bits = links(a, None if same else b, radius, nearest)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64), "bits": bits})
+
+    return run
+
+
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = []
+            for text in raw_texts(batch):
+                words = text.lower().split()
+                parts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+                found.append(np.sort(np.array([xxhash.xxh64_intdigest(s, SEED) for s in parts], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(found, pa.binary())], ["f", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                good.append(both >= similarity * (len(a) // 8 + len(b) // 8 - both))
+            yield batch.filter(pa.array(good)).select(["u", "v"])
 
     return run
 
 
-def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int = 1 << 20) -> DataFrame:
+def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The edges whose texts share ``similarity`` of their shingles (Jaccard); a node shows its least doc_id's text."""
+    used = edges.select(F.explode(F.array("u", "v")).alias("g")).distinct()
+    shown = nodes.join(used, nodes["f"] == used["g"]).select("f", "least")
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(shown, texts["i"] == shown["least"]).select("f", "text").mapInArrow(_shingles(width), "f long, shingles binary")
+    texts = scratch.keep("shingles", texts.dropDuplicates(["f"]))
+    a, b = (texts.select(F.col("f").alias(f"f{c}"), F.col("shingles").alias(c)) for c in "ab")
+    return edges.join(a, edges["u"] == a["fa"]).join(b, edges["v"] == b["fb"]).select("u", "v", "a", "b").mapInArrow(_alike(similarity), "u long, v long")
+
+
+def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int = 1 << 20, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document.
 
     Texts are lower-cased (A-Z), split into words and ``width``-word shingles; fingerprints link at ``radius`` or
@@ -136,6 +189,10 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int
     out as often as they come in; a null doc_id names a component only where all its ids are null. An empty table
     gives an empty result; further columns are not read.
 
+    With ``similarity`` the fingerprints only propose: each link of the forest and each node's nearest link is held
+    against the texts, and links whose shingle sets have a Jaccard similarity below it are dropped. Documents
+    without an id then link by equal fingerprints only.
+
     Equal fingerprints are one node, so groups of copies cost nothing. Nodes are dealt to tiles of about
     ``tile_rows`` by bit count and, inside a bit count, by hash. Two tiles meet only if their bit counts differ
     by ``radius`` at most; one group per pair of tiles compares all that its blocks' quarter counts do not rule
@@ -167,9 +224,12 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int
         per_count(first_tile) + F.pmod(F.xxhash64("f"), per_count(slots))).cast("int").alias("tile"))
     pairs = dealt.select("f", "tile", F.explode(per_count(beside)).alias("other")).select(
         "f", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") <= F.col("other")).alias("first"))
-    found = pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius), "u long, v long")
-    # stars name a node by its least doc_id's order only at the end: roots are fingerprints
-    roots = scratch.keep("roots", components(scratch.keep("links", found), scratch))
+    found = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius, similarity is not None), "u long, v long, bits int"))
+    edges = found.filter("bits = 0").select("u", "v")
+    if similarity is not None:
+        near = found.filter("bits > 0").groupBy("u").agg(F.min(F.struct("bits", "v"))["v"].alias("v"))
+        edges = _verified(edges.unionByName(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), nodes, docs, width, similarity, scratch)
+    roots = scratch.keep("roots", components(edges, scratch))
     named = roots.join(nodes, roots["node"] == nodes["f"]).groupBy("root").agg(F.min("least").alias("component_id"))
     label = roots.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", "component_id")
     of_node = nodes.join(label, nodes["f"] == label["node"], "left").select(
