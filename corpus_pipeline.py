@@ -35,9 +35,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("v_id"), F.expr("taken div size").cast("int").alias("v_times")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["v_id"])).withColumn(
-        "v_copy", F.explode(F.sequence(F.lit(1), F.col("v_times")))).select(*[docs[c] for c in docs.columns])
+    taken = mixing.mix(docs).filter("taken > 0").select(
+        F.col("doc_id").alias("v_id"), F.col("source").alias("v_source"), F.expr("taken div size").cast("int").alias("v_times")).distinct()
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["v_id"]) & docs["source"].eqNullSafe(taken["v_source"]))
+    return joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.sequence(F.lit(1), taken["v_times"]))).select("row.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

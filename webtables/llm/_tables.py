@@ -27,9 +27,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.written = 0
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
         schema = df.schema
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")

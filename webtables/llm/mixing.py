@@ -81,7 +81,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFra
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document.
+    """doc_id, source, size, source_size, target and taken of every document.
 
     size: words of the text, 0 for null. taken: words the mix takes of the document, repeats counted; every
     document of a source is taken whole as often as the target holds the source's size, and once more if its hash
@@ -103,5 +103,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     plan = budgets.join(last, budgets["source"].eqNullSafe(last["l"]), "left").select(
         F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last"))
     return rows.join(plan, rows["source"].eqNullSafe(plan["s"])).select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "source", "size", "source_size", "target",
         (F.col("size") * (F.col("whole") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0))).alias("taken"))

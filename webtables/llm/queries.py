@@ -87,7 +87,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def op5_hash_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(table(spark, sf, "documents"), weights=(1, 2, 3), most=3)
+    return mixing.mix(table(spark, sf, "documents"), weights=(1, 2, 3), most=3).drop("source")
 
 
 SQL_5 = r"""
