@@ -37,8 +37,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
     taken = mixing.mix(docs).filter("taken > 0").select(
         F.col("doc_id").alias("v_id"), F.col("source").alias("v_source"), F.expr("taken div size").cast("int").alias("v_times")).distinct()
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["v_id"]) & docs["source"].eqNullSafe(taken["v_source"]))
-    return joined.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.sequence(F.lit(1), taken["v_times"]))).select("row.*")
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of theirs clashes
+    doc_id, source = (own[f"c{docs.columns.index(c)}"] for c in ("doc_id", "source"))
+    joined = own.join(taken, doc_id.eqNullSafe(taken["v_id"]) & source.eqNullSafe(taken["v_source"]))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "v_times"))).select(*own.columns).toDF(*docs.columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

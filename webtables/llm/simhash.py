@@ -224,7 +224,9 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int
         per_count(first_tile) + F.pmod(F.xxhash64("f"), per_count(slots))).cast("int").alias("tile"))
     pairs = dealt.select("f", "tile", F.explode(per_count(beside)).alias("other")).select(
         "f", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") <= F.col("other")).alias("first"))
-    found = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius, similarity is not None), "u long, v long, bits int"))
+    # comparing costs far more than its few bytes tell, so the number of tasks is set and not merged
+    dealt_pairs = pairs.repartition(min(2048, max(1, sum(map(len, beside.values())))), "t1", "t2")
+    found = scratch.keep("links", dealt_pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius, similarity is not None), "u long, v long, bits int"))
     edges = found.filter("bits = 0").select("u", "v")
     if similarity is not None:
         near = found.filter("bits > 0").groupBy("u").agg(F.min(F.struct("bits", "v"))["v"].alias("v"))
