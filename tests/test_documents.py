@@ -34,7 +34,7 @@ def test_quality(spark):
 
 def test_headings(spark):
     short, long = "序" * 150 + "\n", "序" * 250 + "\n"
-    got = D.split_by_heading(docs(spark, BODY, short + BODY, long + BODY, "none\n", "\n\n" + BODY)).orderBy("doc_id", "idx").collect()
+    got = D.split_by_heading(docs(spark, BODY, short + BODY, long + BODY, "none\n", "\n\n" + BODY), min_preface=200).orderBy("doc_id", "idx").collect()
     by = lambda d: [(r["idx"], r["name"], r["start"], r["end"]) for r in got if r["doc_id"] == d]
     one = [(0, "第一章 起", 0, 10), (1, "第二章 承", 10, len(BODY))]
     assert by(0) == one
@@ -117,7 +117,9 @@ def test_document_files(spark, tmp_path):
     for name, data in {"A-Bo.txt": b"x", "b.HTML": b"<p>", "c.pdf": b"y", "empty.txt": b"", "big.txt": b"z" * 50}.items():
         (folder / name).write_bytes(data)
     got = SF.read_documents(spark, str(tmp_path / "in"), max_bytes=40).orderBy("title").collect()
-    assert [(r["title"], r["author"], r["format"], bytes(r["content"])) for r in got] == [("A", "Bo", "txt", b"x"), ("b", "", "html", b"<p>")]
+    assert [(r["title"], r["author"], r["format"], r["content"] and bytes(r["content"]), r["reason"]) for r in got] == [
+        ("A", "Bo", "txt", b"x", None), ("b", "", "html", b"<p>", None), ("big", "", "txt", None, "too large")]
+    assert {bytes(r["content"]) for r in SF.read_documents(spark, str(tmp_path / "in")).collect()} == {b"x", b"<p>", b"z" * 50}
 
 
 def test_reports(spark, tmp_path):

@@ -188,7 +188,18 @@ def test_sections(spark):
          (1, "i4", "o/c.xhtml", "image/png")], "book_id long, item_id string, href string, media_type string")
     spine = spark.createDataFrame([(1, 0, "i2"), (1, 1, "i1"), (1, 2, "i3"), (1, 3, "i4")], "book_id long, pos int, item_id string")
     got = E.order_sections(entries, manifest, spine).orderBy("book_id", "pos").collect()
-    assert [(r["book_id"], r["path"]) for r in got] == [(1, "o/c.xhtml"), (1, "o/a b.xhtml"), (2, "B.html"), (2, "z.html")]
+    assert [(r["book_id"], r["path"], r["short"]) for r in got] == [
+        (1, "o/c.xhtml", False), (1, "o/a b.xhtml", False), (1, "o/short.xhtml", True), (2, "B.html", False), (2, "z.html", False)]
+
+
+def test_deep_members_long_tags_and_late_openings(spark):
+    deep = '{"a":' * 20 + '{"n":1,"s":"[{{\\\"["}' + "}" * 20
+    df = spark.createDataFrame([(1, deep)], "i int, body string")
+    assert [r["item"] for r in E.json_descend(df, "body", "n").collect()] == ["1"] and E.json_descend(df, "body", "n", depth=5).count() == 0
+    assert spark.range(1).select(E.body_kind(F.lit(" " * 100 + "[1]"))).first()[0] == "json"
+    tags = ["x" * 70 + "a", "x" * 70 + "b"]
+    pages = spark.createDataFrame([(1, f"<{tags[0]}>p</{tags[0]}><{tags[1]}>q</{tags[1]}>")], "page_id long, html string")
+    assert {r["tag"] for r in N.shred(pages).collect()} >= set(tags)
 
 
 def test_flatten_skips_and_headings(spark):

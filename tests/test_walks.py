@@ -24,11 +24,23 @@ def test_walk_matches_queue(spark):
     rows = [(p, n, i) for p, ns in links.items() for i, n in enumerate(ns)]
     table = spark.createDataFrame(rows, "page_id long, next_page_id long, pos int")
     starts = spark.createDataFrame([(p,) for p in range(40)], "page_id long")
-    for limit in (5, 20):
-        got = {}
+    for limit in (5, 20, None):
+        got, cut = {}, {}
         for r in walk_pages(starts, table, limit).orderBy("root", "visit").collect():
             got.setdefault(r["root"], []).append(r["page_id"])
-        assert got == {p: plain_walk(p, links, limit) for p in range(40)}
+            cut[r["root"]] = r["truncated"]
+        assert got == {p: plain_walk(p, links, limit or 1000) for p in range(40)}
+        assert cut == {p: len(plain_walk(p, links, 1000)) > (limit or 1000) for p in range(40)}
+
+
+def test_long_bodies(spark):
+    chain = spark.range(12).selectExpr("id AS page_id", "id + 1 AS next_page_id", "0 AS pos")
+    bodies = spark.range(13).selectExpr("id AS page_id", "concat('p', id) AS content", "CAST(NULL AS STRING) AS error")
+    starts = spark.range(1).withColumnRenamed("id", "page_id")
+    row = assemble_bodies(starts, chain, bodies).first()
+    assert (row["pages"], row["truncated"], row["content"].split()) == (13, False, [f"p{i}" for i in range(13)])
+    cut = assemble_bodies(starts, chain, bodies, 8).first()
+    assert (cut["pages"], cut["truncated"]) == (8, True)
 
 
 def test_bodies(spark):

@@ -149,9 +149,14 @@ def split_title_author(file_name: ColumnLike) -> Column:
     )
 
 
+def one_line(col: ColumnLike) -> Column:
+    """A name on one line, in full."""
+    return F.translate(trim_control(as_col(col)), "\n", " ")
+
+
 def clamp_name(col: ColumnLike, size: int = 60) -> Column:
-    """A one-line name of at most ``size`` characters."""
-    return F.substring(F.translate(trim_control(as_col(col)), "\n", " "), 1, size)
+    """A one-line name of at most ``size`` characters, for display."""
+    return F.substring(one_line(col), 1, size)
 
 
 def replace_tail(col: ColumnLike, pattern: str, replacement: str = "") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webtables.functions._cols import ColumnLike, as_col, once, trim_control
-from webtables.functions.text import clamp_name
+from webtables.functions.text import one_line
 from webtables.session import enable_decoders
 
 # --- fixed value: a line that opens a chapter ---
@@ -143,18 +143,18 @@ def heading_pieces(text: ColumnLike, heading: str = HEADING) -> Column:
 
 
 def split_by_heading(
-    df: DataFrame, text: str = "text", heading: str = HEADING, min_preface: int = 200, keep: tuple[str, ...] = ("doc_id",)
+    df: DataFrame, text: str = "text", heading: str = HEADING, min_preface: int | None = None, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Chapters by heading lines: ``idx, name, start, end, byte_offset, byte_length, text``.
 
-    Text before the first heading is a chapter of its own when longer than ``min_preface``, else dropped.
+    Text before the first heading is a chapter of its own; ``min_preface`` drops it up to that length.
     Documents without a heading give no rows.
     """
     staged = df.select(*keep, once(_p=heading_pieces(text, heading)))
     opens = f"(?m)\\A({heading})$"
     headed = staged.filter((F.size("_p") > 1) | F.element_at("_p", 1).rlike(opens))
     head = F.element_at("_p", 1)
-    short = ~head.rlike(opens) & (F.length(head) <= min_preface)
+    short = F.lit(False) if min_preface is None else ~head.rlike(opens) & (F.length(head) <= min_preface)
     skipped = F.when(short, F.octet_length(head)).otherwise(0)
     marked = headed.select(*keep, "_p", short.cast("int").alias("_drop"), skipped.alias("_skip"))
     rows = _pieces(marked, (*keep, "_drop", "_skip"), "_p")
@@ -187,7 +187,7 @@ def split_by_chunk(
 
 
 def split_documents(
-    df: DataFrame, text: str = "text", heading: str = HEADING, min_preface: int = 200, size: int = 6000,
+    df: DataFrame, text: str = "text", heading: str = HEADING, min_preface: int | None = None, size: int = 6000,
     slack: int = 1500, whole_up_to: int | None = None, keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
     """Headings when they give at least two pieces, else chunks; one pass, decided inside the row.
@@ -197,7 +197,7 @@ def split_documents(
     opens = f"(?m)\\A({heading})$"
     staged = df.select(*keep, once(_t=F.col(text), _h=heading_pieces(text, heading))).withColumnRenamed("_h", "_p")
     head = F.element_at("_p", 1)
-    drop = ~head.rlike(opens) & (F.length(head) <= min_preface)
+    drop = F.lit(False) if min_preface is None else ~head.rlike(opens) & (F.length(head) <= min_preface)
     staged = staged.filter(F.length("_t") > 0).withColumn("_short", drop.cast("int"))
     by_heading = F.size("_p") - F.col("_short") >= 2
     whole = F.lit(False) if whole_up_to is None else F.length("_t") <= whole_up_to
@@ -221,7 +221,7 @@ def split_documents(
 def number_chapters(df: DataFrame, doc: str = "doc_id", idx: str = "idx", name: str = "name") -> DataFrame:
     """Unnamed chapters get running numbers over the whole document; named ones keep their name."""
     order = Window.partitionBy(doc).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    clean = clamp_name(F.coalesce(F.col(name), F.lit("")))
+    clean = one_line(F.coalesce(F.col(name), F.lit("")))
     number = F.sum(F.when(clean == "", 1).otherwise(0)).over(order)
     label = F.concat(F.lit("第 "), number.cast("string"), F.lit(" 节"))
     return df.withColumn(name, F.when(clean == "", label).otherwise(clean))

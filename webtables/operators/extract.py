@@ -86,8 +86,12 @@ def json_strings(body: ColumnLike, path: Sequence[str | int]) -> Column:
     return F.filter(F.transform(json_values(body, path), _scalar), lambda s: s.isNotNull())
 
 
-def json_descend(df: DataFrame, body: str, name: str, depth: int = 12, value: str = "item") -> DataFrame:
-    """Every member called ``name`` at any nesting up to ``depth``, in document order, one row each."""
+def json_descend(df: DataFrame, body: str, name: str, depth: int | None = None, value: str = "item") -> DataFrame:
+    """Every member called ``name`` at any nesting, in document order, one row each.
+
+    As many levels are searched as the body has brackets open at once, counted outside of strings; ``depth`` limits
+    them.
+    """
     where = "array<int>"
     frontier_type = f"array<struct<at:{where},v:variant>>"
     root = F.try_parse_json(as_col(body))
@@ -114,7 +118,15 @@ def json_descend(df: DataFrame, body: str, name: str, depth: int = 12, value: st
             F.concat(acc["found"], kept).alias("found"),
         )
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, level)
+    marks = F.regexp_extract_all(F.regexp_replace(as_col(body), '"(?:[^"\\\\]|\\\\.)*+"', ""), F.lit("[\\[\\]{}]"), F.lit(0))
+
+    def nested(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    deepest = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), nested)["most"]
+    levels = F.coalesce(deepest, F.lit(0)) if depth is None else F.lit(depth)
+    folded = F.aggregate(F.sequence(F.lit(0), levels), start, level)
     listed = F.transform(
         folded["found"],
         lambda x: F.struct(x["at"].alias("at"), F.coalesce(_scalar(x["v"]), F.to_json(x["v"])).alias(value)),
@@ -152,9 +164,8 @@ def fill_groups(template: str, groups: ColumnLike, count: int) -> Column:
 
 
 def body_kind(body: ColumnLike) -> Column:
-    """``json`` or ``html`` from the first characters of a body."""
-    head = F.regexp_replace(F.substring(as_col(body), 1, 32), "^[ \\t\\r\\n﻿]+", "")
-    return F.when(head.rlike("^[{\\[]"), F.lit("json")).otherwise(F.lit("html"))
+    """``json`` or ``html`` from the first character of a body that is not blank."""
+    return F.when(as_col(body).rlike("^[ \\t\\r\\n\ufeff]*+[{\\[]"), F.lit("json")).otherwise(F.lit("html"))
 
 
 # --------------------------------------------------------------------------- records
@@ -344,7 +355,8 @@ def order_sections(entries: DataFrame, manifest: DataFrame, spine: DataFrame, mi
 
     ``entries(book_id, path, text)``, ``manifest(book_id, item_id, href, media_type)``,
     ``spine(book_id, pos, item_id)``. A reference is matched by exact path, percent-decoded path, base
-    name, then without case. Books without a spine take their markup entries by path. Short sections go.
+    name, then without case. Books without a spine take their markup entries by path. Sections under
+    ``min_chars`` are flagged ``short``.
     """
     base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
     decoded = F.coalesce(F.try_url_decode(F.replace(F.col("href"), F.lit("+"), F.lit("%2B"))), F.col("href"))
@@ -376,4 +388,4 @@ def order_sections(entries: DataFrame, manifest: DataFrame, spine: DataFrame, mi
     plain = entries.join(refs.select("book_id").distinct(), "book_id", "left_anti").filter(markup)
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.lower("path"), "path"))
     plain = plain.select("book_id", rank.cast("long").alias("pos"), "path", "text")
-    return listed.unionByName(plain).filter(F.length("text") >= min_chars)
+    return listed.unionByName(plain).withColumn("short", F.coalesce(F.length("text"), F.lit(0)) < min_chars)

@@ -123,7 +123,7 @@ def _markup(tokens: Column, codes: Column, texts: Column, closers: Column) -> Co
             ),
             "",
         )
-        opening = F.concat(F.lit("<"), F.substring(x["code"], 2, 64), attrs, F.lit(">"))
+        opening = F.concat(F.lit("<"), F.substring(x["code"], F.lit(2), F.length(x["code"])), attrs, F.lit(">"))
         opened = F.when(x["code"].rlike("^[<.!]"), opening).otherwise(F.lit(""))
         return F.concat(opened, escape(x["txt"]), x["end"])
 
@@ -160,7 +160,7 @@ def shred(
         return value if "*" in tags else F.when(tag.isin(list(tags)), value)
 
     def node(e: Column) -> Column:
-        tag = F.substring(F.element_at(F.col("codes"), e["pre"]), 2, 64)
+        tag = F.substring(F.element_at(F.col("codes"), e["pre"]), F.lit(2), F.length(F.element_at(F.col("codes"), e["pre"])))
         fields = [
             e["pre"].alias("pre"), e["post"].alias("post"), e["parent"].alias("parent"),
             e["depth"].alias("depth"), e["sib"].alias("sib"), tag.alias("tag"),
@@ -457,7 +457,7 @@ def flatten(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
         zipped,
         lambda e: F.struct(
             e["pre"].alias("pre"), e["post"].alias("post"), e["tail"].alias("tail"),
-            F.substring(F.element_at(F.col("codes"), e["pre"]), 2, 64).alias("tag"),
+            F.substring(F.element_at(F.col("codes"), e["pre"]), F.lit(2), F.length(F.element_at(F.col("codes"), e["pre"]))).alias("tag"),
         ),
     )
     of_interest = ["body", "h1", "h2", "h3", "h4", "h5", "h6", *FLATTEN_SKIPPED]

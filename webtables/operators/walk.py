@@ -1,7 +1,9 @@
-"""Bounded walks over next-page links and assembly of multi-page bodies."""
+"""Walks over next-page links and assembly of multi-page bodies."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,14 @@ from webtables.session import cut_lineage
 
 
 def walk_pages(
-    starts: DataFrame, links: DataFrame, max_pages: int = 20, rounds_per_checkpoint: int = 10
+    starts: DataFrame, links: DataFrame, max_pages: int | None = None, rounds_per_checkpoint: int = 10
 ) -> DataFrame:
-    """Pages reached from each start in visit order: ``(root, visit, page_id)``.
+    """Pages reached from each start in visit order: ``(root, visit, page_id, truncated)``.
 
     ``starts(page_id)``; ``links(page_id, next_page_id, pos)``. The first new link is followed next, the
-    others wait in order; no page is visited twice and a walk ends after ``max_pages``. Each round is one
-    equi-join of the open walks with the links, already reduced to one row per page.
+    others wait in order; no page is visited twice. Every walk goes on until no page is left, unless ``max_pages``
+    is given: then ``truncated`` tells the walks that had pages left. Each round is one equi-join of the open
+    walks with the links, already reduced to one row per page.
     """
     listed = F.array_sort(F.collect_list(F.struct("pos", F.col("next_page_id").alias("n"))))
     nexts = (
@@ -32,7 +35,7 @@ def walk_pages(
         F.array("page_id").alias("seen"), none.alias("pending"), F.lit(True).alias("open"),
     )
     closed = None
-    for turn in range(1, max_pages):
+    for turn in count(1):
         fresh = F.array_distinct(
             F.filter(
                 F.coalesce("nexts", none),
@@ -51,6 +54,10 @@ def walk_pages(
             F.slice("queue", 2, 2147483647).alias("pending"),
             following.isNotNull().alias("open"),
         )
+        if turn == max_pages:  # the last round only tells which walks had a page left
+            cut = F.when(F.col("open"), F.slice("seen", 1, max_pages)).otherwise(F.col("seen"))
+            state = state.select("root", "cur", cut.alias("seen"), "pending", "open")
+            break
         if turn % rounds_per_checkpoint == 0:
             state = cut_lineage(state)
             done = state.filter("not open")
@@ -59,25 +66,27 @@ def walk_pages(
             if state.isEmpty():
                 break
     final = state if closed is None else closed.unionByName(state)
-    return final.select("root", F.posexplode("seen").alias("visit", "page_id"))
+    return final.select("root", F.col("open").alias("truncated"), F.posexplode("seen").alias("visit", "page_id")).select(
+        "root", "visit", "page_id", "truncated")
 
 
 def assemble_bodies(
-    starts: DataFrame, links: DataFrame, bodies: DataFrame, max_pages: int = 8, empty: str = "empty body"
+    starts: DataFrame, links: DataFrame, bodies: DataFrame, max_pages: int | None = None, empty: str = "empty body"
 ) -> DataFrame:
     """Text of the pages of each walk joined in order and cleaned; ``error`` tells why it is empty.
 
-    ``bodies(page_id, content, error)``: a page with an error ends its walk there.
+    ``bodies(page_id, content, error)``: a page with an error ends its walk there. ``truncated``: the walk was cut
+    by ``max_pages``.
     """
     walked = walk_pages(starts, links, max_pages)
     pages = walked.join(bodies, "page_id", "left").select(
-        "root", "visit", F.coalesce("content", F.lit("")).alias("content"),
+        "root", "visit", "truncated", F.coalesce("content", F.lit("")).alias("content"),
         F.when(F.col("content").isNull() & F.col("error").isNull(), F.lit("not fetched")).otherwise(F.col("error"))
         .alias("error"),
     )
     listed = pages.groupBy("root").agg(
         F.array_sort(F.collect_list(F.struct("visit", "content", "error"))).alias("p"),
-        F.min(F.when(F.col("error").isNotNull(), F.col("visit"))).alias("stop"),
+        F.min(F.when(F.col("error").isNotNull(), F.col("visit"))).alias("stop"), F.first("truncated").alias("truncated"),
     )
     kept = F.filter("p", lambda x: F.col("stop").isNull() | (x["visit"] < F.col("stop")))
     pieces = F.filter(F.transform(kept, lambda x: x["content"]), lambda c: c != "")
@@ -86,5 +95,5 @@ def assemble_bodies(
     reason = F.when(F.col("stop").isNotNull(), reason).otherwise(F.lit(empty))
     return listed.select(
         "root", F.size(kept).alias("pages"), content.alias("content"),
-        F.when(content == "", reason).alias("error"),
+        F.when(content == "", reason).alias("error"), "truncated",
     )

@@ -219,19 +219,21 @@ def extract_toc(spark, sf):
 
 
 @catalog.add("x17_walk_pages", """
-SELECT a.page_id AS root, CAST(v AS BIGINT) AS visit, a.page_id + 3 * v AS page_id
-FROM pages a, range(20) AS r(v), (SELECT max(page_id) AS top FROM pages) WHERE a.page_id + 3 * v <= top""")
+SELECT a.page_id AS root, CAST(v AS BIGINT) AS visit, a.page_id + 3 * v AS page_id, false AS truncated
+FROM pages a, range(50) AS r(v), (SELECT max(page_id) AS top FROM pages)
+WHERE a.page_id + 3 * v <= top AND (a.page_id + 3 * v) // 150 = a.page_id // 150""")
 def walk(spark, sf):
     pages = _pages(spark, sf).select("page_id")
     nexts = pages.select(F.col("page_id"), (F.col("page_id") + 3).alias("next_page_id"), F.lit(0).alias("pos"))
-    links = nexts.join(pages.select(F.col("page_id").alias("next_page_id")), "next_page_id")
-    return walk_pages(pages, links).select("root", F.col("visit").cast("long").alias("visit"), "page_id")
+    links = nexts.join(pages.select(F.col("page_id").alias("next_page_id")), "next_page_id").filter(
+        F.expr("next_page_id div 150 = page_id div 150"))  # chains of up to 50 pages
+    return walk_pages(pages, links).select("root", F.col("visit").cast("long").alias("visit"), "page_id", "truncated")
 
 
 @catalog.add("x18_assemble_bodies", f"""
 WITH b AS (SELECT conv_id, count(*) AS pages, string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '') AS body
-           FROM conversations WHERE turn < 8 GROUP BY conv_id)
-SELECT conv_id * 1000 AS root, pages, {clean_sql("coalesce(body, '')")} AS content,
+           FROM conversations GROUP BY conv_id)
+SELECT conv_id * 1000 AS root, pages, false AS truncated, {clean_sql("coalesce(body, '')")} AS content,
        CASE WHEN {clean_sql("coalesce(body, '')")} = '' THEN 'empty body' END AS error FROM b""")
 def assemble(spark, sf):
     turns = table(spark, sf, "conversations").withColumn("page_id", F.col("conv_id") * 1000 + F.col("turn"))
@@ -240,7 +242,7 @@ def assemble(spark, sf):
         (F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("next_page_id"), F.lit(0).alias("pos")
     )
     out = assemble_bodies(turns.filter("turn = 0").select("page_id"), follow, bodies)
-    return out.select("root", F.col("pages").cast("long").alias("pages"), "content", "error")
+    return out.select("root", F.col("pages").cast("long").alias("pages"), "content", "error", "truncated")
 
 
 _TRAILING = """regexp_extract(regexp_extract(regexp_replace(regexp_replace(url, '[/?#]+$', ''), '(?s)^(.+)\\.html.*$', '\\1'),
@@ -288,8 +290,8 @@ def flatten_pages(spark, sf):
 
 
 @catalog.add("x21_order_sections", """
-SELECT conv_id AS book_id, 100 - turn AS pos, 'OEBPS/t ' || turn || '.xhtml' AS path, text
-FROM conversations WHERE length(text) >= 20""")
+SELECT conv_id AS book_id, 100 - turn AS pos, 'OEBPS/t ' || turn || '.xhtml' AS path, text, length(text) < 20 AS short
+FROM conversations""")
 def order_sections(spark, sf):
     turns = table(spark, sf, "conversations")
     entries = turns.select(

@@ -37,7 +37,7 @@ HEADED = """WITH RECURSIVE l AS (
   FROM g GROUP BY doc_id, chap), headed AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chap) - 1 AS idx,
          CASE WHEN chap = 0 THEN '开始' ELSE trim(head) END AS name, start, start + length(text) AS "end", text
-  FROM pieces WHERE doc_id IN (SELECT doc_id FROM pieces WHERE chap > 0) AND (chap > 0 OR length(text) > 200))"""
+  FROM pieces WHERE doc_id IN (SELECT doc_id FROM pieces WHERE chap > 0))"""
 
 _BOTH = HEADED + CHUNKS.replace("WITH RECURSIVE", ",") + """, many AS (
   SELECT doc_id FROM headed GROUP BY doc_id HAVING count(*) >= 2), split AS (

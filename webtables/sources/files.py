@@ -10,23 +10,25 @@ from pyspark.sql import functions as F
 from webtables.functions.text import split_title_author
 from webtables.operators.documents import index_chapters
 
-MAX_DOCUMENT_BYTES = 12 * 1024 * 1024  # fixed value: larger files are not documents
 
+def read_documents(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Text and markup files below a folder: path, length, format, title, author, content, reason.
 
-def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Text and markup files below a folder: path, length, content, format, title, author.
-
-    The size test is applied to the listing, so oversized files are never read.
+    No file is too large unless ``max_bytes`` is given; then larger ones come without content, and ``reason`` says
+    so. That test is applied to the listing, so such files are never read. A file scan passes over empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     file_name = F.regexp_extract("path", "([^/]*)$", 1)
     ext = F.lower(F.regexp_extract(file_name, "\\.([^.]*)$", 1))
-    kept = files.filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
-    kept = kept.withColumn("format", F.when(ext == "", "txt").otherwise(ext)).filter(
-        F.col("format").isin("txt", "html", "htm", "xhtml")
-    )
+    kept = files.withColumn("format", F.when(ext == "", "txt").otherwise(ext)).filter(F.col("format").isin("txt", "html", "htm", "xhtml"))
     named = split_title_author(file_name)
-    return kept.select("path", "length", "format", named["title"].alias("title"), named["author"].alias("author"), "content")
+    listed = ["path", "length", "format", named["title"].alias("title"), named["author"].alias("author")]
+    none = F.lit(None).cast("string")
+    if max_bytes is None:
+        return kept.select(*listed, "content", none.alias("reason"))
+    small = kept.filter(F.col("length") <= max_bytes).select(*listed, "content", none.alias("reason"))
+    large = kept.filter(F.col("length") > max_bytes).select(*listed, F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("reason"))
+    return small.unionByName(large)
 
 
 def write_chapters(chapters: DataFrame, path: str, doc: str = "doc_id", buckets: int = 64) -> None:

@@ -35,6 +35,15 @@ def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     return spark.read.parquet(target) if fs.exists(location) else None
 
 
+def newest_batch(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the newest batch that was written to its end; a run without new data writes none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in fs.listStatus(root)]
+    done = [int(n[6:]) for n in found if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/batch={max(done)}")
+
+
 def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
@@ -90,8 +99,8 @@ def health_stream(attempts: DataFrame, folder: str, seconds: int = 3600) -> Data
     def step(df: DataFrame, n: int) -> None:
         _write(fold_health(df, read_batch(df.sparkSession, out, n - 1), seconds=seconds), out, n)
 
-    last = run_available(attempts, step, folder)
-    return spark.read.parquet(f"{out}/batch={last}")
+    run_available(attempts, step, folder)
+    return newest_batch(spark, out)
 
 
 def dead_host_stream(attempts: DataFrame, folder: str) -> DataFrame:
@@ -137,5 +146,5 @@ def progress_stream(log: DataFrame, folder: str, k: int = 200, **columns) -> Dat
         merged = df if before is None else df.unionByName(before.select(*df.columns))
         _write(recent_items(merged, k, **columns), out, n)
 
-    last = run_available(log, step, folder)
-    return spark.read.parquet(f"{out}/batch={last}")
+    run_available(log, step, folder)
+    return newest_batch(spark, out)
