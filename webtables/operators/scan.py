@@ -1,8 +1,8 @@
 """Ordering work split so that one hot key never lands in one task.
 
-A window partitioned by a key alone sorts all rows of that key in one task. The helpers below add an
-order-preserving bucket to the key: rows are numbered or scanned inside (key, bucket), and a small
-per-bucket summary, pre-aggregated on the map side, carries the state from bucket to bucket.
+A window partitioned by a key alone sorts all rows of that key in one task. The helpers below split the key by
+order-preserving ranges or buckets: rows are numbered or scanned inside one of them, and a small summary per range,
+pre-aggregated on the map side, carries the state from one to the next.
 """
 
 from __future__ import annotations
@@ -20,44 +20,28 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def ordinal(
-    df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[Column | str], name: str = "pos",
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
+def ordinal(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: Sequence[Column | str], name: str = "pos") -> DataFrame:
     """Exact 1-based position inside ``keys`` ordered by ``buckets`` then ``order``.
 
-    A key with more than ``hot_rows`` rows is numbered bucket by bucket and shifted by the size of the
-    buckets before; the others in one go. Bucket columns are not null and ascend in the wanted order.
-    With no keys, everything is one hot key.
-
-    The hot keys (at most one per ``hot_rows`` rows) and the shifts (one per bucket of a hot key) are
-    counted first and stored, so their true size decides how they are joined; without hot keys the result
-    is a plain window. Expensive inputs should be settled by the caller, as the counts read them too.
+    One plan for every size: rows are dealt by ranges of (keys, buckets, order), numbered inside a range, and
+    shifted by the rows of their key in the ranges before. A hot key, or all rows where there are no keys, spans
+    as many ranges as its rows need. The input is computed once; the only window that sees a whole key sees one
+    row per range.
     """
-    plain = Window.partitionBy(*keys).orderBy(*buckets, *order)
-    if keys:
-        many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        many = settle(many.select(*keys))
-        if many.isEmpty():
-            return df.withColumn(name, F.row_number().over(plain).cast("long"))
-        tagged = df.join(many.withColumn("_hot", F.lit(True)), [*keys], "left")
-        tagged = tagged.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-        hot = df.join(many, [*keys], "left_semi")
-    else:
-        tagged, hot = df.withColumn("_hot", F.lit(True)), df
-    marks = [f"_k{i}" for i in range(len(buckets))]
-    tagged = tagged.select(
-        "*", *[F.when(F.col("_hot"), F.col(b)).alias(m) for b, m in zip(buckets, marks, strict=True)]
-    )
-    counts = hot.groupBy(*keys, *[F.col(b).alias(m) for b, m in zip(buckets, marks, strict=True)]).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = settle(counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    inside = Window.partitionBy(*keys, *marks).orderBy(*buckets, *order)
-    joined = tagged.join(shifts, [*keys, *marks], "left")
-    position = F.row_number().over(inside) + F.coalesce("_off", F.lit(0))
-    return joined.withColumn(name, position.cast("long")).select(*df.columns, name)
+    given = settle(df)
+    # stored, because the ranges are drawn from a sample and must not be drawn again
+    ranged = settle(given.repartitionByRange(*keys, *buckets, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*buckets, *order)
+    numbered = ranged.withColumn("_row", F.row_number().over(inside))
+    same = numbered["_part"] == shifts["_p"]
+    for i, k in enumerate(keys):
+        same = same & numbered[k].eqNullSafe(shifts[f"_k{i}"])
+    joined = numbered.join(shifts, same, "left")
+    return joined.withColumn(name, (F.col("_row") + F.col("_off")).cast("long")).select(*df.columns, name)
 
 
 def top_k(

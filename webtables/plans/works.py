@@ -91,6 +91,14 @@ def ordered_members(spark, sf):
     return M.offers(hits(spark, sf), tie=TIE).select("key", "run_id", "line", "source_url", "book_url", "member")
 
 
+@catalog.add("a01_one_title", f"""
+WITH {HITS} SELECT run_id, line, source_url, row_number() OVER (ORDER BY run_id, line, source_url) AS member FROM hits""")
+def one_title(spark, sf):
+    """All hits under one title and one arrival: a single hot key whose order is all ties."""
+    same = hits(spark, sf).withColumn("name", F.lit("one title")).withColumn("key", F.lit("one title")).withColumn("arrival", F.lit("2024-01-01").cast("timestamp"))
+    return M.offers(same, tie=("run_id", "line", "source_url")).select("run_id", "line", "source_url", "member")
+
+
 _OUTCOME = """o AS (SELECT run_id, source_url, min(CASE WHEN had_results THEN 0 WHEN error_class LIKE '%SSL%' THEN 2
   WHEN NOT reachable THEN 3 ELSE 1 END) AS best FROM attempts GROUP BY 1, 2)"""
 
