@@ -240,28 +240,37 @@ def index_chapters(df: DataFrame, doc: str = "doc_id", idx: str = "idx", text: s
 def locate(offsets: DataFrame, segments: DataFrame, doc: str = "doc_id", offset: str = "offset") -> DataFrame:
     """The segment with the greatest start not beyond each offset, else the first segment.
 
-    Segments become one sorted array per document; the lookup is a search inside the row.
+    Starts and offsets of a document are put in one order; each offset takes the last start before it. One sort,
+    whatever the number of offsets, and no copy of the starts.
     """
-    starts = segments.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", "idx"))).alias("_s"))
-    joined = offsets.join(starts, doc)
-    below = F.filter("_s", lambda s: s["start"] <= F.col(offset))
-    found = F.coalesce(F.try_element_at(below, F.lit(-1)), F.try_element_at("_s", F.lit(1)))
-    return joined.withColumn("idx", found["idx"]).withColumn("start", found["start"]).drop("_s")
+    starts = segments.select(F.col(doc), F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct("start", "idx").alias("_s"))
+    asked = offsets.select("*", F.col(offset).alias("_at"), F.lit(1).alias("_kind"))
+    both = asked.unionByName(starts, allowMissingColumns=True)
+    whole = Window.partitionBy(doc)
+    upto = whole.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_hit", F.coalesce(F.last("_s", ignorenulls=True).over(upto), F.min("_s").over(whole)))
+    kept = found.filter("_kind = 1 AND _hit IS NOT NULL")
+    return kept.select(*offsets.columns, F.col("_hit.idx").alias("idx"), F.col("_hit.start").alias("start"))
 
 
 def slice_segments(documents: DataFrame, segments: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Text of each segment from its start to the next start (or the end), its lines and the document's maximum."""
-    order = Window.partitionBy(doc).orderBy("start")
-    bounded = segments.withColumn("_next", F.lead("start").over(order))
-    joined = bounded.join(documents.select(doc, F.col(text).alias("_t")), doc)
-    end = F.least(F.coalesce("_next", F.length("_t")), F.length("_t"))
-    begin = F.greatest(F.col("start"), F.lit(0))
-    piece = F.when(end > begin, F.col("_t").substr((begin + 1).cast("int"), (end - begin).cast("int"))).otherwise(
-        F.lit("")
-    )
-    out = joined.withColumn("segment", piece).drop("_t", "_next")
-    lines = F.when(F.col("segment") == "", 0).otherwise(
-        F.size(F.split(F.regexp_replace("segment", "\n$", ""), "\n", -1))
-    )
-    out = out.withColumn("lines", lines)
-    return out.withColumn("max_lines", F.max("lines").over(Window.partitionBy(doc)))
+    """Text of each segment from its start to the next start (or the end), its lines and the document's maximum.
+
+    The segments of a document come to its text, which is cut inside that row and leaves it in pieces.
+    """
+    listed = segments.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("start", F.struct(*segments.columns).alias("own")))).alias("_s"))
+    joined = documents.select(doc, F.col(text).alias("_t")).join(listed, doc)
+
+    def piece(x: Column, i: Column) -> Column:
+        end = F.least(F.coalesce(F.get("_s", i + 1)["start"], F.length("_t")), F.length("_t"))
+        begin = F.greatest(x["start"], F.lit(0))
+        part = F.when(end > begin, F.substring(F.col("_t"), (begin + 1).cast("int"), (end - begin).cast("int"))).otherwise(F.lit(""))
+        return F.struct(x["own"].alias("own"), part.alias("segment"))
+
+    def sized(x: Column) -> Column:
+        lines = F.when(x["segment"] == "", 0).otherwise(F.size(F.split(F.regexp_replace(x["segment"], "\n$", ""), "\n", -1)))
+        return F.struct(x["own"].alias("own"), x["segment"].alias("segment"), lines.alias("lines"))
+
+    cut = joined.select(once(_p=F.transform("_s", piece))).select(once(_p=F.transform("_p", sized)))
+    rows = cut.select(F.array_max(F.transform("_p", lambda x: x["lines"])).alias("max_lines"), F.explode("_p").alias("_x"))
+    return rows.select("_x.own.*", "_x.segment", "_x.lines", "max_lines")

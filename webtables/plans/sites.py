@@ -11,6 +11,7 @@ from webtables.operators.joins import request_frontier
 from webtables.plans.proxies import (
     ATTEMPTS, HEALTH, HITS, READS, REGISTRY, Catalog, attempts, hits, reads, registry, table,
 )
+from webtables.session import new_folder
 from webtables.sources import files as SF
 from webtables.sources import registry as S
 
@@ -169,6 +170,16 @@ def export_registry(spark, sf):
     )
 
 
+@catalog.add("s08_round_trip", catalog.sql["s01_s04_upgrade_flat_registry"])
+def registry_round_trip(spark, sf):
+    """Exported as lines and read again, in parallel, by the reader."""
+    folder = new_folder(spark, "registry")
+    S.export_registry(S.parse_registry(_flat_rows(spark, sf)), folder)
+    return S.read_registry_lines(spark, folder).select(
+        "source_url", "name", "type", "order", "header", "search_url", "explore_url", F.col("ruleSearch.bookList").alias("list_rule"),
+        F.col("ruleSearch.name").alias("name_rule"), F.col("ruleContent.content").alias("content_rule"))
+
+
 @catalog.add("s09_eligible_sites", f"""
 WITH {REGISTRY} SELECT source_url, name FROM registry WHERE enabled AND type = 0 AND search_url <> '' AND list_rule <> ''""")
 def eligible_sites(spark, sf):
@@ -190,6 +201,15 @@ def host_listing(spark, sf):
     return SF.host_listing(sites.withColumn("name", F.concat(F.lit("site of "), "host")))
 
 
+@catalog.add("s12_report", f"""
+WITH {ATTEMPTS}, s AS (SELECT DISTINCT host, source_url FROM attempts)
+SELECT host, 'site of ' || host AS name, source_url, CAST(count(*) OVER (PARTITION BY host) AS VARCHAR) AS sites FROM s""")
+def report(spark, sf):
+    folder = new_folder(spark, "report")
+    SF.write_report(host_listing(spark, sf), folder)
+    return spark.read.option("sep", "\t").option("header", True).csv(folder).select("host", "name", "source_url", "sites")
+
+
 @catalog.add("s13_parse_log", """
 SELECT 'attempted' AS field, count(*) AS matches, 0 AS positive, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS largest FROM events
 UNION ALL SELECT 'parsed', count(*), count(*) FILTER (k > 0), sum(k), max(k) FROM (

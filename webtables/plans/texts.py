@@ -8,6 +8,8 @@ from webtables.functions import text as T
 from webtables.operators import documents as D
 from webtables.operators.extract import fill_missing
 from webtables.plans.proxies import HITS, Catalog, hits, table
+from webtables.session import new_folder
+from webtables.sources.files import read_documents, write_chapters
 
 catalog = Catalog()
 HEADING = "[A-Z][^\\n]{0,40}"  # short capitalised lines stand in for chapter headings
@@ -143,6 +145,24 @@ def chapter_byte_index(spark, sf):
     return _longs(chapters.select("doc_id", "idx", "byte_length", "byte_offset"), "idx")
 
 
+@catalog.add("s11_write_read", catalog.sql["s11_chapter_byte_index"])
+def chapters_written_and_read(spark, sf):
+    folder = new_folder(spark, "chapters")
+    write_chapters(D.split_by_chunk(_documents(spark, sf, "doc_id", "text")), folder)
+    return _longs(spark.read.parquet(folder).select("doc_id", "idx", "byte_length", "byte_offset"), "idx")
+
+
+@catalog.add("s10_read_documents", """
+SELECT 'txt' AS format, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents
+WHERE text IS NOT NULL""")
+def documents_from_files(spark, sf):
+    folder = new_folder(spark, "texts")
+    _documents(spark, sf, "text").filter("text IS NOT NULL").write.text(folder)
+    files = read_documents(spark, folder)
+    lines = F.size(F.split(F.col("content").cast("string"), "\n", -1)) - 1  # the writer ends every text with a line break
+    return files.groupBy("format").agg(F.sum(lines).cast("long").alias("lines"), F.sum("length").cast("long").alias("bytes"))
+
+
 @catalog.add("s11_headed_byte_index", HEADED + """
 SELECT doc_id, idx, CAST(strlen(text) AS BIGINT) AS byte_length, CAST(coalesce(sum(strlen(text)) OVER (
   PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM headed""")

@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot join key is split even where the rows must be shuffled once more to be grouped by that key
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
@@ -55,6 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir() or configured
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -67,7 +74,7 @@ def settle(df: DataFrame) -> DataFrame:
     The parquet copy survives lost executors, prunes columns, and its real size lets Spark decide on broadcasts.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = new_folder(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
