@@ -12,7 +12,7 @@ from webtables.functions._cols import ColumnLike, as_col
 from webtables.functions.text import collapse_ws, title_key
 from webtables.functions.urls import abs_url, fill_fields, host_of, trailing_id
 from webtables.operators.nodes import (
-    Step, any_of, chain, extract_joined, rows, select, shred, value_of, within,
+    Step, any_of, chain, enclosing, extract_joined, rows, select, shred, value_of, within,
 )
 from webtables.session import settle
 
@@ -274,8 +274,8 @@ def extract_many(
     final = settle(final.select("page_id", "site", "field", "pre", "post", value.alias("v")))
     records = final.filter("field = 'row'").select("page_id", "site", F.col("pre").alias("row_pre"),
                                                    F.col("post").alias("row_post"))
-    inside = final.filter("field <> 'row' and v <> ''").drop("site").join(records, "page_id")
-    inside = inside.filter((F.col("row_pre") <= F.col("pre")) & (F.col("pre") <= F.col("row_post")))
+    inside = enclosing(
+        final.filter("field <> 'row' and v <> ''").select("page_id", "field", "pre", "v"), records, ["site", "row_pre"], "row_pre", "row_post", itself=True)
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("pre", "v"))), lambda x: x["v"]), "\n"
     )

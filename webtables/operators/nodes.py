@@ -303,15 +303,22 @@ def select(nodes: DataFrame, steps: Sequence[Step], scope: Sequence[str] = ()) -
 
 
 def select_any(nodes: DataFrame, alternatives: Sequence[Sequence[Step]]) -> DataFrame:
-    """Union of selectors without duplicates; ``alt`` is the first alternative that matched."""
-    merged = None
-    for i, steps in enumerate(alternatives):
-        part = select(nodes, steps).withColumn("alt", F.lit(i))
-        merged = part if merged is None else merged.unionByName(part)
-    values = [c for c in nodes.columns if c not in ("page_id", "pre")]
-    first = F.min_by(F.struct(*values), F.col("alt")).alias("v")
-    grouped = merged.groupBy("page_id", "pre").agg(F.min("alt").alias("alt"), first)
-    return grouped.select("page_id", "pre", "alt", "v.*").select(*nodes.columns, "alt")
+    """Union of selectors without duplicates; ``alt`` is the first alternative that matched.
+
+    All alternatives are followed side by side over one pass of the nodes; a node that passes some step of one of
+    them is a row per such step, so pages are parsed once.
+    """
+    longest = max(len(steps) for steps in alternatives)
+    tests = [(i, j, step) for i, steps in enumerate(alternatives) for j, step in enumerate(steps)]
+    role = lambda i, j, step: F.struct(
+        F.lit(i).alias("alt"), F.lit(j).alias("step"), F.lit(step.child).alias("_child"), F.lit(len(alternatives[i]) - 1).alias("_last"))
+    passed = F.array_compact(F.array(*[F.when(step.test(), role(i, j, step)) for i, j, step in tests]))
+    kept = nodes.filter(any_of([step.test() for _, _, step in tests])).withColumn("_role", F.explode(passed))
+    roles = kept.select(*nodes.columns, "_role.alt", "_role.step", "_role._child", "_role._last")
+    done = chain(roles, ["page_id", "alt"], longest - 1, [F.col("_child")] * longest)
+    hits = done.filter(F.col("_hit") & (F.col("step") == F.col("_last")))
+    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "pre").orderBy("alt")))
+    return first.filter("_n = 1").select(*nodes.columns, "alt")
 
 
 def nth(selected: DataFrame, index: int, scope: Sequence[str] = ("page_id",), order: Sequence[str] = ("pre",)) -> DataFrame:
@@ -330,15 +337,35 @@ def exclude(selected: DataFrame, indexes: Sequence[int] | None, order: Sequence[
     return selected.withColumn("_n", spot).filter(~F.col("_n").isin(list(indexes))).drop("_n")
 
 
-def within(scopes: DataFrame, nodes: DataFrame, test: Column | None = None) -> DataFrame:
-    """Structural join: nodes lying inside each scope node, with ``scope_pre`` added.
+def enclosing(nodes: DataFrame, scopes: DataFrame, carry: Sequence[str], pre: str = "pre", post: str = "post", itself: bool = False) -> DataFrame:
+    """``nodes`` with the ``carry`` columns of every scope around them, one row per node and scope; no pairs are formed.
 
-    ``page_id`` is the equi-key and the interval test is a residual, so a page meets only itself.
+    Scopes open at ``pre`` and close at ``post``; intervals nest, so at most one scope is open per level. In document
+    order a running sum gives the number of open scopes at a node, and the scope of a level is the one that opened
+    last at it. Work grows with the rows in and out. ``itself`` counts a scope as around its own node.
     """
+    inner = F.struct(*nodes.columns)
+    opened = scopes.select("page_id", F.struct(*carry).alias("_scope"), F.col(pre).alias("_from"), F.col(post).alias("_to"))
+    at_open, at_node = (0, 1) if itself else (1, 0)
+    edges = opened.select("page_id", "_scope", F.inline(F.array(
+        F.struct(F.col("_from").alias("_at"), F.lit(at_open).alias("_turn"), F.lit(1).alias("_by")),
+        F.struct(F.col("_to").alias("_at"), F.lit(2).alias("_turn"), F.lit(-1).alias("_by")))))
+    events = nodes.select("page_id", F.col("pre").alias("_at"), F.lit(at_node).alias("_turn"), F.lit(0).alias("_by"), inner.alias("_node")).unionByName(
+        edges, allowMissingColumns=True)
+    order = Window.partitionBy("page_id").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    deep = events.withColumn("_open", F.sum("_by").over(order))
+    levels = F.when(F.col("_node").isNull(), F.array("_open")).when(F.col("_open") > 0, F.sequence(F.lit(1).cast("long"), F.col("_open")))
+    spread = deep.filter("_by >= 0").select("page_id", "_at", "_turn", "_node", "_scope", F.explode(levels).alias("_level"))
+    last = Window.partitionBy("page_id", "_level").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    found = spread.withColumn("_scope", F.last("_scope", ignorenulls=True).over(last)).filter("_node IS NOT NULL")
+    return found.select("_node.*", "_scope.*")
+
+
+def within(scopes: DataFrame, nodes: DataFrame, test: Column | None = None) -> DataFrame:
+    """Structural join: nodes lying inside each scope node, with ``scope_pre`` and ``scope_post`` added."""
     inner = nodes if test is None else nodes.filter(test)
-    s = scopes.select("page_id", F.col("pre").alias("scope_pre"), F.col("post").alias("scope_post"))
-    inside = (F.col("scope_pre") < F.col("pre")) & (F.col("pre") <= F.col("scope_post"))
-    return inner.join(s, "page_id").filter(inside)
+    marked = scopes.select("page_id", F.col("pre").alias("scope_pre"), F.col("post").alias("scope_post"))
+    return enclosing(inner, marked, ["scope_pre", "scope_post"], "scope_pre", "scope_post")
 
 
 def rows(nodes: DataFrame, container: Sequence[Step], child: Step, settled: bool = False) -> DataFrame:
@@ -434,8 +461,7 @@ def path_select(nodes: DataFrame, steps: Sequence[PathStep], first: bool = False
                 "page_id", F.col("ord").alias("_base"), F.col("pre").alias("_pre"), F.col("post").alias("_post")
             )
             if step.deep:
-                inside = (F.col("_pre") < F.col("pre")) & (F.col("pre") <= F.col("_post"))
-                hits = pool.join(bases, "page_id").filter(inside)
+                hits = enclosing(pool, bases, ["_base"], "_pre", "_post")
             else:
                 hits = pool.join(bases.withColumnRenamed("_pre", "parent"), ["page_id", "parent"])
             hits = hits.withColumn("ord", F.concat("_base", F.array(F.col("pre")))).select(
