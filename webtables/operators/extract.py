@@ -337,12 +337,14 @@ def fill_missing(
 ) -> DataFrame:
     """Blank fields filled from the search row with the same title key, else from the first search row.
 
-    Both candidates are reduced to one row before the join, so nothing multiplies.
+    Both candidates are reduced to one row before the join, so nothing multiplies. The search rows are read once:
+    the first row of all is the first among the titles' first rows.
     """
     values = F.struct(*fields)
     keyed = search.withColumn("_tk", title_key(name))
-    exact = keyed.groupBy(*key, "_tk").agg(F.min_by(values, F.col(pos)).alias("_exact"))
-    first = search.groupBy(*key).agg(F.min_by(values, F.col(pos)).alias("_first"))
+    titles = settle(keyed.groupBy(*key, "_tk").agg(F.min_by(values, F.col(pos)).alias("_exact"), F.min(pos).alias("_at")))
+    exact = titles.drop("_at")
+    first = titles.groupBy(*key).agg(F.min_by("_exact", "_at").alias("_first"))
     out = records.withColumn("_tk", title_key(name)).join(exact, [*key, "_tk"], "left").join(first, [*key], "left")
     pick = F.coalesce("_exact", "_first")
     for f in fields:

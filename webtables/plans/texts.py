@@ -8,7 +8,7 @@ from webtables.functions import text as T
 from webtables.operators import documents as D
 from webtables.operators.extract import fill_missing
 from webtables.plans.proxies import HITS, Catalog, hits, table
-from webtables.session import new_folder
+from webtables.session import new_folder, settle
 from webtables.sources.files import read_documents, write_chapters
 
 catalog = Catalog()
@@ -263,7 +263,7 @@ WITH {HITS}, s AS (SELECT *, lpad(CAST(line AS VARCHAR), 9, '0') || book_url AS
 SELECT k.run_id, k.name, coalesce(e.author, f.author) AS author, CASE WHEN k.run_id % 2 = 0 THEN 'own' ELSE coalesce(e.kind, f.kind) END AS kind
 FROM k LEFT JOIN e USING (run_id, key) LEFT JOIN f USING (run_id)""")
 def fill_blanks(spark, sf):
-    found = hits(spark, sf)
+    found = settle(hits(spark, sf))
     search = found.withColumn("pos", F.concat(F.lpad(F.col("line").cast("string"), 9, "0"), "book_url"))
     records = found.filter("line > 1").groupBy("run_id").agg(F.max("name").alias("name")).select(
         "run_id", "name", F.lit("").alias("author"),
