@@ -130,6 +130,24 @@ def test_dead_stream_over_batches(spark, tmp_path):
     assert {r["seq"]: (r["dead"], r["plain_http"]) for r in out.collect()} == plain_dead(rows, 300, 1800)
 
 
+def test_dead_stream_with_late_rows_and_restart(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    row = lambda seq, m, cls: (0, "a", "a", at(m), seq, cls is None, cls is None, 0, cls)
+    rows = [row(0, 10, CLASSES[0]), row(1, 6, None), row(2, 12, None), row(3, 16, None)]
+    folder = str(tmp_path / "s")
+    stream = split_stream(spark, tmp_path, rows, SCHEMA, 4)
+    want = {0: False, 1: False, 2: True, 3: False}
+    for _ in range(2):  # the second run has no new data
+        assert {r["seq"]: r["dead"] for r in ST.dead_host_stream(stream, folder).collect()} == want
+
+
+def test_health_stream_restarts(spark, tmp_path):
+    rows = make_log(8, 300, lambda r: r.randrange(5000))
+    stream = split_stream(spark, tmp_path, rows, SCHEMA, 3)
+    for _ in range(2):
+        assert as_health(ST.health_stream(stream, str(tmp_path / "s"))) == plain_health(rows)
+
+
 def test_deadline_stream_over_batches(spark, tmp_path):
     rows = make_log(10, 300, lambda r: 1)
     out = ST.deadline_stream(split_stream(spark, tmp_path, rows, SCHEMA, 4), str(tmp_path / "s"), 200)

@@ -185,7 +185,8 @@ def flag_dead(
 
     Refused, unreachable and slow hosts are ``dead`` for ``ttl`` seconds (expiry exclusive); a failed
     handshake only sets ``plain_http`` for ``https_ttl``. Unresolved hosts are never remembered.
-    ``initial(host, dead_until, http_until)`` carries state in from earlier batches.
+    ``initial(host, ts, seq, opens_dead, opens_http)``, the failures of earlier batches as :func:`open_windows` gives
+    them, count like rows of this one: for later attempts only, up to their expiry.
     """
     cls = F.coalesce(F.col(error_class), F.lit(""))
     unresolved = F.contains(cls, F.lit("UnknownHost"))
@@ -194,26 +195,21 @@ def flag_dead(
     slow = ~unresolved & ~down & ~tls & F.contains(cls, F.lit("SocketTimeout"))
     until = lambda cond, s: F.when(cond, F.col(ts) + F.expr(f"interval {int(s)} seconds"))
     width = max(ttl, https_ttl)
-    staged = attempts.withColumn("_dead", until(down | slow, ttl)).withColumn("_http", until(tls, https_ttl))
+    staged = attempts.withColumn("_dead", until(down | slow, ttl)).withColumn("_http", until(tls, https_ttl)).withColumn("_old", F.lit(False))
+    if initial is not None:
+        staged = staged.unionByName(initial.select(
+            host, ts, seq, F.col("opens_dead").alias("_dead"), F.col("opens_http").alias("_http"), F.lit(True).alias("_old")), allowMissingColumns=True)
     out = last_before(staged, [host], ts, [ts, seq], F.col("_dead"), width, "dead_until")
     out = last_before(out, [host], ts, [ts, seq], F.col("_http"), width, "http_until")
-    if initial is not None:
-        prior = initial.select(host, F.col("dead_until").alias("_d"), F.col("http_until").alias("_h"))
-        out = out.join(prior, host, "left")
-        out = out.withColumn("dead_until", F.greatest("dead_until", "_d")).withColumn(
-            "http_until", F.greatest("http_until", "_h")
-        ).drop("_d", "_h")
     live = lambda c: F.coalesce(F.col(c) > F.col(ts), F.lit(False))
-    return out.withColumn("dead", live("dead_until")).withColumn("plain_http", live("http_until")).select(
+    return out.filter(~F.col("_old")).withColumn("dead", live("dead_until")).withColumn("plain_http", live("http_until")).select(
         *attempts.columns, "dead", "plain_http", F.col("_dead").alias("opens_dead"), F.col("_http").alias("opens_http")
     )
 
 
-def dead_windows(flagged: DataFrame, host: str = "host") -> DataFrame:
-    """Per host, until when it is dead and until when plain http is used."""
-    return flagged.groupBy(host).agg(
-        F.max("opens_dead").alias("dead_until"), F.max("opens_http").alias("http_until")
-    )
+def open_windows(flagged: DataFrame, host: str = "host", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """The failures that open a window, with its start and its ends."""
+    return flagged.filter("opens_dead IS NOT NULL OR opens_http IS NOT NULL").select(host, ts, seq, "opens_dead", "opens_http")
 
 
 def defer_dead(queue: DataFrame, dead: DataFrame, run: str = "run_id", host: str = "host", pos: str = "pos") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webtables.functions.text import title_key
-from webtables.operators.health import apply_deadline, dead_windows, flag_dead, fold_health
+from webtables.operators.health import apply_deadline, flag_dead, fold_health, open_windows
 from webtables.operators.joins import recent_items
 from webtables.session import ensure_checkpoint_dir
 
@@ -44,6 +44,16 @@ def newest_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch={max(done)}")
 
 
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Remove snapshots older than batch ``before``; a repeated batch still finds the one it builds on."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.listStatus(root):
+        name = found.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < before:
+            fs.delete(found.getPath(), True)
+
+
 def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
@@ -98,40 +108,59 @@ def health_stream(attempts: DataFrame, folder: str, seconds: int = 3600) -> Data
 
     def step(df: DataFrame, n: int) -> None:
         _write(fold_health(df, read_batch(df.sparkSession, out, n - 1), seconds=seconds), out, n)
+        drop_batches(df.sparkSession, out, n - 1)
 
     run_available(attempts, step, folder)
     return newest_batch(spark, out)
 
 
-def dead_host_stream(attempts: DataFrame, folder: str) -> DataFrame:
-    """Attempts flagged against failures of this and earlier batches."""
+def dead_host_stream(attempts: DataFrame, folder: str, lateness: int = 3600) -> DataFrame:
+    """Attempts flagged against earlier failures of this and earlier batches.
+
+    The state holds the windows that can still matter to attempts up to ``lateness`` seconds late.
+    """
     spark, out, state = attempts.sparkSession, f"{folder}/out", f"{folder}/state"
 
     def step(df: DataFrame, n: int) -> None:
         session = df.sparkSession
         before = read_batch(session, state, n - 1)
         _write(flag_dead(df, initial=before), out, n)
-        now = dead_windows(session.read.parquet(f"{out}/batch={n}"))
-        merged = now if before is None else now.unionByName(before).groupBy("host").agg(
-            F.max("dead_until").alias("dead_until"), F.max("http_until").alias("http_until")
-        )
-        _write(merged, state, n)
+        now = session.read.parquet(f"{out}/batch={n}")
+        newest = now.agg(F.max("ts")).first()[0]
+        opened = open_windows(now)
+        kept = opened if before is None else opened.unionByName(before)
+        if newest is not None:
+            ends = F.greatest("opens_dead", "opens_http")
+            kept = kept.filter(ends > F.lit(newest) - F.expr(f"interval {int(lateness)} seconds"))
+        _write(kept, state, n)
+        drop_batches(session, state, n - 1)
 
     run_available(attempts, step, folder)
     return spark.read.parquet(out).drop("batch", "opens_dead", "opens_http")
 
 
-def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60) -> DataFrame:
-    """Attempts marked timed out against the start of their run, which may lie in an earlier batch."""
+def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: int | None = None) -> DataFrame:
+    """Attempts marked timed out against the start of their run, which may lie in an earlier batch.
+
+    With ``idle`` a run without an attempt for so many seconds ends and leaves the state.
+    """
     spark, out, state = attempts.sparkSession, f"{folder}/out", f"{folder}/state"
 
     def step(df: DataFrame, n: int) -> None:
         session = df.sparkSession
-        now, before = df.groupBy("run_id").agg(F.min("ts").alias("started")), read_batch(session, state, n - 1)
+        now = df.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("seen"))
+        before = read_batch(session, state, n - 1)
         if before is not None:
-            now = now.unionByName(before).groupBy("run_id").agg(F.min("started").alias("started"))
+            now = now.unionByName(before).groupBy("run_id").agg(F.min("started").alias("started"), F.max("seen").alias("seen"))
+        newest = df.agg(F.max("ts")).first()[0]
+        if idle is not None and newest is not None:
+            now = now.filter(F.col("seen") >= F.lit(newest) - F.expr(f"interval {int(idle + budget)} seconds"))
         _write(now, state, n)
-        _write(apply_deadline(df, budget, starts=session.read.parquet(f"{state}/batch={n}")), out, n)
+        begun = session.read.parquet(f"{state}/batch={n}").select("run_id", "started")
+        own = df.groupBy("run_id").agg(F.min("ts").alias("_own"))
+        starts = own.join(begun, "run_id", "left").select("run_id", F.coalesce("started", "_own").alias("started"))
+        _write(apply_deadline(df, budget, starts=starts), out, n)
+        drop_batches(session, state, n - 1)
 
     run_available(attempts, step, folder)
     return spark.read.parquet(out).drop("batch")
@@ -145,6 +174,7 @@ def progress_stream(log: DataFrame, folder: str, k: int = 200, **columns) -> Dat
         before = read_batch(df.sparkSession, out, n - 1)
         merged = df if before is None else df.unionByName(before.select(*df.columns))
         _write(recent_items(merged, k, **columns), out, n)
+        drop_batches(df.sparkSession, out, n - 1)
 
     run_available(log, step, folder)
     return newest_batch(spark, out)
