@@ -14,9 +14,12 @@ from webtables.llm.queries import tokenizer
 NEAR = {"width": 5, "radius": 14, "similarity": 0.8}
 
 
+# Tables of decisions grow with the corpus, so they meet the texts by a merge join at every size.
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep, unchanged."""
-    out = quality.verdicts(docs).filter("kept").select(F.col("doc_id").alias("v_id"), F.col("th").alias("v_th")).distinct()
+    out = quality.verdicts(docs).filter("kept").select(F.col("doc_id").alias("v_id"), F.col("th").alias("v_th")).distinct().hint("merge")
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(out, docs["doc_id"].eqNullSafe(out["v_id"]) & (th == out["v_th"]), "left_semi")
 
@@ -29,14 +32,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
     groups = simhash.near_groups(docs, **NEAR)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("v_id")).distinct()
+    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("v_id")).distinct().hint("merge")
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["v_id"]), "left_semi")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
     taken = mixing.mix(docs).filter("taken > 0").select(
-        F.col("doc_id").alias("v_id"), F.col("source").alias("v_source"), F.expr("taken div size").cast("int").alias("v_times")).distinct()
+        F.col("doc_id").alias("v_id"), F.col("source").alias("v_source"), F.expr("taken div size").cast("int").alias("v_times")).distinct().hint("merge")
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of theirs clashes
     doc_id, source = (own[f"c{docs.columns.index(c)}"] for c in ("doc_id", "source"))
     joined = own.join(taken, doc_id.eqNullSafe(taken["v_id"]) & source.eqNullSafe(taken["v_source"]))
