@@ -130,6 +130,46 @@ def test_simhash_verified(spark):
     assert got == {i: i - i % 3 if i % 3 < 2 else i for i, _ in rows}
 
 
+def test_simhash_verifies_every_link_that_matters(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    say = lambda n: [str(r.randrange(50000)) for _ in range(n)]
+    texts = []
+    for _ in range(60):  # A and B are alike, and so is each to its copy; the copy of one is too far from the other
+        a = say(500)
+        b = list(a)
+        for i in range(10):
+            b[25 + 50 * i] = "new" + str(i)
+        copies = []
+        for own in (a, b):
+            copy = list(own)
+            copy[r.randrange(3, 12)], copy[r.randrange(480, 490)] = "x", "y"
+            copies.append(copy)
+        texts += [" ".join(t) for t in (copies[0], a, b, copies[1])]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    alike = [[j for j in range(i - i % 4, i - i % 4 + 4) if len(x & sets[j]) >= 0.8 * len(x | sets[j])] for i, x in enumerate(sets)]
+    want = closed(len(texts), alike)
+    assert all(i + 3 not in alike[i] and i + 2 not in alike[i] and i + 2 in alike[i + 1] for i in range(0, len(texts), 4))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.component_id for x in simhash.near_groups(frame, **(corpus_pipeline.NEAR | {"radius": 22})).orderBy("doc_id").collect()] == want
+    small = {x.doc_id: x.component_id for x in simhash.near_groups(frame, **(corpus_pipeline.NEAR | {"radius": 22}), tile_rows=50).collect()}
+    assert [small[i] for i in range(len(texts))] == want
+
+
+def test_near_groups_of_odd_rows(docs, rows):
+    words = [norm(r[1]).split() for r in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    alike = [[j for j, y in enumerate(sets) if words[i] == words[j] or None not in (rows[i][0], rows[j][0]) and len(x & y) >= 0.8 * len(x | y)] for i, x in enumerate(sets)]
+    least = defaultdict(list)
+    label = closed(len(rows), alike)
+    for row, c in zip(rows, label, strict=True):
+        if row[0] is not None:
+            least[c].append(row[0])
+    want = Counter((r[0], min(least[c], default=None)) for r, c in zip(rows, label, strict=True))
+    assert Counter((r.doc_id, r.component_id) for r in simhash.near_groups(docs, 22, 5, similarity=0.8).collect()) == want
+
+
 def test_links_form_a_forest_of_all_components():
     r = np.random.default_rng(1)
     values = r.integers(0, 1 << 63, 1500, dtype=np.uint64)
