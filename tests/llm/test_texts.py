@@ -152,11 +152,28 @@ def test_simhash_verifies_every_link_that_matters(spark):
     want = closed(len(texts), alike)
     assert all(i + 3 not in alike[i] and i + 2 not in alike[i] and i + 2 in alike[i + 1] for i in range(0, len(texts), 4))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [x.component_id for x in simhash.near_groups(frame, **(corpus_pipeline.NEAR | {"radius": 22})).orderBy("doc_id").collect()] == want
-    small = {x.doc_id: x.component_id for x in simhash.near_groups(frame, **(corpus_pipeline.NEAR | {"radius": 22}), tile_rows=50).collect()}
+    assert [x.component_id for x in simhash.near_groups(frame, **corpus_pipeline.NEAR).orderBy("doc_id").collect()] == want
+    small = {x.doc_id: x.component_id for x in simhash.near_groups(frame, **corpus_pipeline.NEAR, tile_rows=50).collect()}
     assert [small[i] for i in range(len(texts))] == want
 
 
+def test_near_pairs_are_proposed(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    texts = []
+    while len(texts) < 600:  # J from 0.80 to 0.85
+        a = [str(r.randrange(50000)) for _ in range(100)]
+        b = list(a)
+        for i in (20, 70):
+            b[i + r.randrange(-9, 9)] = "new"
+        x, y = (set(zip(*[t[k:] for k in range(5)], strict=False)) for t in (a, b))
+        assert 0.8 <= len(x & y) / len(x | y) <= 0.85
+        texts += [" ".join(a), " ".join(b)]
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **corpus_pipeline.NEAR).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_groups_of_odd_rows(docs, rows):
     words = [norm(r[1]).split() for r in rows]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
