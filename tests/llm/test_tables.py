@@ -67,6 +67,25 @@ def test_quality_distances(spark, monkeypatch):
     assert {i for i, x in got.items() if not x.kept} == set(range(0, 150, 15))
 
 
+def test_quality_of_rare_groups(spark):
+    """A language or source with few rows is judged by its whole language, or by all."""
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(330):
+        words = ["w" * int(n) + str(k) for k, n in enumerate(r.integers(2, 9, int(r.integers(60, 300))))]
+        if i >= 300 and i % 10 == 0:
+            words = [w + "$$$" for w in words]
+        rows.append((i, " ".join(words), "en" if i < 310 else "sw", "a" if i < 300 else "b"))
+    schema = "doc_id long, text string, lang string, source string"
+    got = {x.doc_id: x for x in quality.verdicts(spark.createDataFrame(rows, schema)).collect()}
+    frame = spark.createDataFrame(rows, schema)
+    vectors = {x.doc_id: [getattr(x, f"x{i}") / quality.SCALE for i in range(5)] for x in quality.statistics(frame).select("doc_id", *quality.vector()).collect()}
+    for judged, by in ((range(300), range(300)), (range(300, 310), range(310)), (range(310, 330), range(330))):
+        want = dict(zip(by, plain_distances(np.array([vectors[i] for i in by]), quality.STEPS), strict=True))
+        assert np.allclose([got[i].distance for i in judged], [want[i] for i in judged], rtol=1e-6, atol=1e-6)
+    assert {i for i, x in got.items() if not x.kept} == {300, 310, 320}
+
+
 def test_quality_of_odd_rows(docs, rows, empty):
     got = quality.verdicts(docs).collect()
     assert len(got) == len(rows) and all(r.base_failed and not r.kept for r in got if r.n_words < 10)

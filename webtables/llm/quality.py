@@ -82,14 +82,21 @@ def vector() -> list[Column]:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """l, s, g: the group of a language and source; small ones share the rest of the language, then of all."""
+    """l, s, g and feeds: the group that judges a language and source, and all groups whose estimates they enter.
+
+    Small ones share the rest of the language; where that is small too, they are judged by the whole language, by the
+    rest of all or, in the end, by all documents, if these are enough.
+    """
     sizes = rows.filter("NOT base_failed").groupBy("l", "s").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\x01", F.lit("source"), "l", "s"))
-    sized = sizes.select("l", "s", "n", own.alias("own"))
-    rest = sized.withColumn("in_language", F.sum(F.when(F.col("own").isNull(), F.col("n"))).over(Window.partitionBy("l")))
-    shared = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("in_language") >= MIN_ROWS, F.concat_ws("\x01", F.lit("language"), "l"))
-    left = rest.select("l", "s", "n", shared.alias("g")).withColumn("in_all", F.sum(F.when(F.col("g").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(1))))
-    return left.select("l", "s", F.coalesce("g", F.when(F.col("in_all") >= MIN_ROWS, F.lit("all"))).alias("g")).filter("g IS NOT NULL")
+    in_language, in_all = Window.partitionBy("l"), Window.partitionBy(F.lit(1))
+    whole, corpus = F.concat_ws("\x01", F.lit("whole"), "l"), F.when(F.sum("n").over(in_all) >= MIN_ROWS, F.lit("corpus"))
+    own = sizes.withColumn("g", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\x01", F.lit("source"), "l", "s")))
+    left = F.sum(F.when(F.col("g").isNull(), F.col("n")))
+    rest = own.select("*", left.over(in_language).alias("left"), F.sum("n").over(in_language).alias("language")).withColumn("g", F.coalesce("g", F.when(
+        F.col("left") >= MIN_ROWS, F.concat_ws("\x01", F.lit("language"), "l")).when(F.col("language") >= MIN_ROWS, whole)))
+    named = rest.withColumn("left", left.over(in_all)).withColumn("g", F.coalesce("g", F.when(F.col("left") >= MIN_ROWS, F.lit("all")), corpus))
+    wider = [F.when(F.max(F.col("g") == x).over(w), x) for x, w in ((whole, in_language), (F.lit("corpus"), in_all))]
+    return named.select("l", "s", "g", F.array_distinct(F.array_compact(F.array("g", *wider))).alias("feeds"))
 
 
 def _whitened(estimate: DataFrame) -> DataFrame:
@@ -168,8 +175,9 @@ def verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     and covariance come from all documents that pass the base: medians to begin with, then ``STEPS``
     concentration steps towards the 75 % of a group with the smallest covariance determinant. Each dimension has
     a least spread, so a group whose core agrees in a statistic still has an inverse. Languages and sources with
-    under ``MIN_ROWS`` such documents are judged with the rest of their language, then of all; without enough rows
-    in all, no document is rejected by distance.
+    under ``MIN_ROWS`` such documents are judged with the rest of their language; where the rest is that small too, by
+    all documents of the language, else by the rest of all languages, else by all documents. Only in a table
+    with fewer in all no document is rejected by distance.
 
     Null texts have no words; null languages and sources are groups of their own; repeated rows count as often as
     they come. An empty table gives an empty result; columns but doc_id, text, lang and source are not read.
@@ -181,9 +189,9 @@ def verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
         F.col("text").cast("string").alias("text"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = scratch.keep("rows", statistics(named).drop("text").withColumn("base_failed", failed).select("*", *vector()))
-    groups = scratch.keep("groups", _groups(rows)).select(F.col("l").alias("gl"), F.col("s").alias("gs"), "g")
+    groups = scratch.keep("groups", _groups(rows)).select(F.col("l").alias("gl"), F.col("s").alias("gs"), "g", "feeds")
     grouped = rows.join(groups, (rows["l"] == groups["gl"]) & (rows["s"] == groups["gs"]), "left").drop("gl", "gs")
-    clean = grouped.filter("NOT base_failed AND g IS NOT NULL")
+    clean = grouped.filter("NOT base_failed").withColumn("g", F.explode("feeds"))
     p = len(DIMS)
     core = chi2_quantile(CORE, p)
     factor = CORE / chi2_cdf(core, p + 2)
