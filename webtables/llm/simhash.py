@@ -20,6 +20,8 @@ BLOCK = 512
 SEED = 42
 #: Bits of 128 in which texts of a Jaccard similarity of 0.8 differ at most: 19 on average, with a deviation of 4.
 BOTH = 36
+#: Links are verified in bands of bits: those of few bits hold most often and leave less to compare in the next.
+BANDS = (18, 24)
 
 
 def fingerprint(text: bytes, width: int, seed: int = SEED) -> int:
@@ -119,11 +121,11 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
 
 
 def proposals(nodes: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray | None, radius: int, both: int, similarity: float,
-              every: bool) -> tuple[np.ndarray, np.ndarray]:
+              every: bool, above: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Places u, v of the proposed links inside ``first`` (``second`` None) or between the places ``first`` and ``second``.
 
     A link is proposed where the prints p differ in ``radius`` bits at most, p and q together in ``both``, the sizes n
-    allow the similarity, and the labels c differ. Gives all of them with ``every``, else a spanning forest and the
+    allow the similarity, and the labels c differ. Gives all of them that differ in more than ``above`` bits with ``every``, else a spanning forest and the
     nearest of each node. Sorted by size, a block meets only what its sizes allow.
     """
     p, q, n, c = (nodes[k] for k in "pqnc")
@@ -142,7 +144,7 @@ def proposals(nodes: dict[str, np.ndarray], first: np.ndarray, second: np.ndarra
                 x, y = x[at + x < to + y], y[at + x < to + y]
             i, j = rows[x], cols[y]
             bits = np.bitwise_count(p[i] ^ p[j]) + np.bitwise_count(q[i] ^ q[j])
-            good = (bits <= both) & (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-6)
+            good = (bits <= both) & (bits.astype(int) > above) & (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-6)
             i, j, bits = i[good], j[good], bits[good]
             if every:
                 found.append((i, j))
@@ -177,11 +179,11 @@ def _pair_links(radius: int):
     return run
 
 
-def _pair_proposals(radius: int, both: int, similarity: float, every: bool):
+def _pair_proposals(radius: int, both: int, similarity: float, every: bool, above: int):
     def run(table: pa.Table) -> pa.Table:
         nodes = {k: table.column(k).to_numpy() for k in "fpqnc"}
         nodes |= {k: nodes[k].view(np.uint64) for k in "pq"}
-        u, v = proposals(nodes, *_sides(table), radius, both, similarity, every)
+        u, v = proposals(nodes, *_sides(table), radius, both, similarity, every, above)
         return pa.table({"u": nodes["f"][u], "v": nodes["f"][v]})
 
     return run
@@ -296,7 +298,7 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int
     With ``similarity`` the fingerprints, then of the distinct shingles, only propose, and texts link whose shingle
     sets have at least that Jaccard similarity. Proposed is what differs in ``radius`` of the 64 bits and in ``both``
     of 128, a second fingerprint counted in. Every proposed link between texts that are not linked in another way is
-    held against the texts: first a forest and each node's nearest, then all that join different components of these.
+    held against the texts: first a forest and each node's nearest, then, by bands of bits, all that join different components so far.
     Documents without an id then link by equal texts only.
 
     Equal fingerprints (with ``similarity`` equal words) are one node, so groups of copies cost nothing. Nodes are
@@ -323,15 +325,18 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int
     if similarity is None:
         edges = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius), "u long, v long"))
     else:
-        edges = None
-        for every in (False, True):
-            found = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_proposals(radius, both, similarity, every), "u long, v long"))
+        edges, done = None, -1
+        for upto in (None, *sorted({x for x in BANDS if x < both} | {both})):
+            every = upto is not None
+            found = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(
+                _pair_proposals(radius, upto if every else both, similarity, every, done), "u long, v long"))
             found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
             held = scratch.keep("held", _verified(found, nodes, docs, width, similarity, scratch))
+            edges = held if edges is None else edges.unionByName(held)
             if every:
-                edges = edges.unionByName(held)
-            else:
-                stars = scratch.keep("first", components(held, scratch, "first-stars"))
+                done = upto
+            if upto != both:
+                stars = scratch.keep("stars", components(edges, scratch, "band-stars"))
                 edges = stars.select(F.col("node").alias("u"), F.col("root").alias("v"))
                 named = stars.select(F.col("node").alias("x"), F.col("root").alias("c"))
                 pairs = _beside(sized.join(named, sized["f"] == named["x"], "left").select(*"fpqn", "k", F.coalesce("c", "f").alias("c")), 1, tile_rows)
