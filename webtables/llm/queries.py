@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtables.llm import bpe, chat, exact, kd_shards, line_runs, mixing, ngram_lm, quality, simhash, suffix_tree
+from webtables.llm import bpe, chat, exact, kd_shards, line_runs, merkle, mixing, ngram_lm, periodic, quality, simhash, suffix_tree
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -152,6 +152,101 @@ def op10_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf, "documents"))
 
 
+#: Unsigned crc32 of the doc_id as text: a step per bit.
+CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR b IN string_split(coalesce(doc_id::VARCHAR, ''), '') IF b <> ''])), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+)
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return periodic.summary(periodic.periodic_runs(docs.select("doc_id", periodic.planted(docs["doc_id"], docs["text"]).alias("text"))))
+
+
+SQL_12 = rf"""
+WITH a AS (SELECT *, row_number() OVER () AS r, {CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT r, doc_id, ws, h, len(ws) AS n, h // 10 AS g FROM a),
+c AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS s FROM b),
+e AS (SELECT *, CASE WHEN n > 0 THEN 1 + (n - s) // (3 + g % 8) END AS p FROM c),
+d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [ws[CASE WHEN i < s THEN i ELSE s + (i - s) % p END + 1] FOR i IN range(n)] ELSE ws END AS ws FROM e),
+w AS (SELECT r, n, unnest(ws) AS word, unnest(range(n)) AS i FROM d),
+o AS (SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY r, word) >= 4),
+m AS (SELECT x.r, y.i - x.i AS q, x.i FROM o x JOIN o y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+t AS (SELECT r, min(i) AS start, count(*) + q AS length, q FROM k GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+f AS (SELECT r, start, length, min(q) AS period FROM t GROUP BY r, start, length),
+best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1),
+said AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM f GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM f),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN said USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    tampered = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))) % 2 == 0
+    return merkle.manifest(docs, now={"text": F.when(tampered, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])})
+
+
+def _item(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(*columns: str) -> str:
+    return f"sha256({' || '.join(map(_item, columns))})"
+
+
+SQL_13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN {CRC} % 2 = 0 THEN {_leaf("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")}
+      ELSE {_leaf("doc_id", "source", "lang", "n_chars", "text")} END AS found
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+up AS (
+  SELECT source, 0 AS lvl, i, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY source, lvl, i // 3, n),
+subs AS (
+  SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, i, n, node FROM subs
+  UNION ALL
+  SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl, i // 3, n),
+side AS (
+  SELECT *, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY source, lvl, i // 3 ORDER BY i)),
+over AS (
+  SELECT *, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+  FROM high WHERE n > 1 WINDOW w AS (PARTITION BY lvl, i // 3 ORDER BY i)),
+steps AS (
+  SELECT p.source, p.i, s.lvl, s.b, s.a FROM placed p JOIN side s ON s.source IS NOT DISTINCT FROM p.source AND s.i = p.i // (3 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT p.source, p.i, 1000 + o.lvl, o.b, o.a FROM placed p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source
+    JOIN over o ON o.i = subs.i // (3 ** o.lvl)::BIGINT),
+paths AS (
+  SELECT source, i, sha256(string_agg(b || a, '' ORDER BY lvl)) AS proof, list({{'b': b, 'a': a}} ORDER BY lvl) AS path FROM steps GROUP BY source, i),
+fold AS (
+  SELECT p.source, p.i, 0 AS k, p.found AS cur, path FROM placed p LEFT JOIN paths q ON q.source IS NOT DISTINCT FROM p.source AND q.i = p.i
+  UNION ALL
+  SELECT source, i, k + 1, sha256(path[k + 1].b || cur || path[k + 1].a), path FROM fold WHERE k < len(path)),
+folded AS (SELECT source, i, cur FROM fold WHERE k = coalesce(len(path), 0)),
+root AS (SELECT node FROM high WHERE n = 1)
+SELECT p.doc_id, p.leaf, subs.node AS subroot, root.node AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.cur AS folded_root, f.cur = root.node AS verified
+FROM placed p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source CROSS JOIN root
+  JOIN folded f ON f.source IS NOT DISTINCT FROM p.source AND f.i = p.i
+  LEFT JOIN paths q ON q.source IS NOT DISTINCT FROM p.source AND q.i = p.i
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_quality": op1_mcd_quality,
     "op2_chat_parts": op2_chat_parts,
@@ -163,5 +258,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_runs": op8_line_runs,
     "op9_kd_shards": op9_kd_shards,
     "op10_ngram_lm": op10_ngram_lm,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
+}
+SQL: dict[str, str] = {
+    "op2_chat_parts": SQL_2, "op3_exact_dedup": SQL_3, "op4_suffix_trees": SQL_4, "op5_hash_mix": SQL_5, "op8_line_runs": SQL_8,
+    "op12_periodic_runs": SQL_12, "op13_merkle_manifest": SQL_13,
 }
-SQL: dict[str, str] = {"op2_chat_parts": SQL_2, "op3_exact_dedup": SQL_3, "op4_suffix_trees": SQL_4, "op5_hash_mix": SQL_5, "op8_line_runs": SQL_8}
