@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webtables.llm import bpe, chat, exact, kd_shards, line_runs, merkle, mixing, ngram_lm, periodic, quality, simhash, suffix_tree
+from webtables.llm import bpe, chat, exact, kd_shards, line_runs, merkle, metric_join, mixing, ngram_lm, periodic, quality, simhash, suffix_tree
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -152,6 +152,25 @@ def op10_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf, "documents"))
 
 
+def op11_metric_join(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_join.jaccard_groups(table(spark, sf, "documents"), width=3, similarity=metric_join.Similarity(90, 100))
+
+
+SQL_11 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i : i + 2], ' ') FOR i IN range(1, len(ws) - 1)] END) AS hs FROM w),
+u AS (SELECT doc_id, len(hs) AS n, unnest(hs) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x)
+SELECT s.doc_id, len(hs)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(y), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach ON x = s.doc_id GROUP BY s.doc_id, hs
+"""
+
+
 #: Unsigned crc32 of the doc_id as text: a step per bit.
 CRC = (
     "xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR b IN string_split(coalesce(doc_id::VARCHAR, ''), '') IF b <> ''])), "
@@ -258,10 +277,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_runs": op8_line_runs,
     "op9_kd_shards": op9_kd_shards,
     "op10_ngram_lm": op10_ngram_lm,
+    "op11_metric_join": op11_metric_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op2_chat_parts": SQL_2, "op3_exact_dedup": SQL_3, "op4_suffix_trees": SQL_4, "op5_hash_mix": SQL_5, "op8_line_runs": SQL_8,
-    "op12_periodic_runs": SQL_12, "op13_merkle_manifest": SQL_13,
+    "op11_metric_join": SQL_11, "op12_periodic_runs": SQL_12, "op13_merkle_manifest": SQL_13,
 }
