@@ -126,7 +126,7 @@ def test_simhash_verified(spark):
         near, far = list(base), list(base)
         near[50], far[20:120] = "new", say(100)
         rows += [(3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
-    got = {x.doc_id: x.component_id for x in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 20, 5, similarity=0.8).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 3 if i % 3 < 2 else i for i, _ in rows}
 
 
@@ -152,8 +152,8 @@ def test_simhash_verifies_every_link_that_matters(spark):
     want = closed(len(texts), alike)
     assert all(i + 3 not in alike[i] and i + 2 not in alike[i] and i + 2 in alike[i + 1] for i in range(0, len(texts), 4))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [x.component_id for x in simhash.near_groups(frame, **corpus_pipeline.NEAR).orderBy("doc_id").collect()] == want
-    small = {x.doc_id: x.component_id for x in simhash.near_groups(frame, **corpus_pipeline.NEAR, tile_rows=50).collect()}
+    assert [x.component_id for x in simhash.near_copies(frame, **corpus_pipeline.NEAR).orderBy("doc_id").collect()] == want
+    small = {x.doc_id: x.component_id for x in simhash.near_copies(frame, **corpus_pipeline.NEAR, tile_rows=50).collect()}
     assert [small[i] for i in range(len(texts))] == want
 
 
@@ -170,21 +170,22 @@ def test_near_pairs_are_proposed(spark):
         x, y = (set(zip(*[t[k:] for k in range(5)], strict=False)) for t in (a, b))
         assert 0.8 <= len(x & y) / len(x | y) <= 0.85
         texts += [" ".join(a), " ".join(b)]
-    got = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **corpus_pipeline.NEAR).collect()
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **corpus_pipeline.NEAR).collect()
     assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(len(texts))}
 
 
-def test_near_groups_of_odd_rows(docs, rows):
+@pytest.mark.parametrize("leaf_rows", [2048, 3])
+def test_near_copies_of_odd_rows(docs, rows, leaf_rows):
     words = [norm(r[1]).split() for r in rows]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
-    alike = [[j for j, y in enumerate(sets) if words[i] == words[j] or None not in (rows[i][0], rows[j][0]) and len(x & y) >= 0.8 * len(x | y)] for i, x in enumerate(sets)]
+    alike = [[j for j, y in enumerate(sets) if words[i] == words[j] or len(x & y) >= 0.8 * len(x | y)] for i, x in enumerate(sets)]
     least = defaultdict(list)
     label = closed(len(rows), alike)
     for row, c in zip(rows, label, strict=True):
         if row[0] is not None:
             least[c].append(row[0])
     want = Counter((r[0], min(least[c], default=None)) for r, c in zip(rows, label, strict=True))
-    assert Counter((r.doc_id, r.component_id) for r in simhash.near_groups(docs, 22, 5, similarity=0.8).collect()) == want
+    assert Counter((r.doc_id, r.component_id) for r in simhash.near_copies(docs, leaf_rows=leaf_rows).collect()) == want
 
 
 def test_links_form_a_forest_of_all_components():

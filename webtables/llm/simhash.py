@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from webtables.llm._tables import Scratch, pieces, raw_texts
 from webtables.llm.components import components
+from webtables.llm.metric_join import Similarity, group_rows, keyed, metric_links, texts_of, who
 from webtables.llm.ngram_lm import mix
 
 BITS = 64
 BLOCK = 512
 SEED = 42
-#: Bits of 128 in which texts of a Jaccard similarity of 0.8 differ at most: 19 on average, with a deviation of 4.
-BOTH = 36
+THIRD = np.uint64(0x5851F42D4C957F2D)
+#: Bits of 192 in which texts of a Jaccard similarity of 0.8 differ at most: 27 on average, with a deviation of 5. Unrelated texts
+#: differ in 54 or fewer with a chance of 1e-9, so proposals do not chain them.
+ALL = 54
 
 
 def fingerprint(text: bytes, width: int, seed: int = SEED) -> int:
@@ -118,19 +121,16 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     return both[u], both[v], np.bitwise_count(both[u] ^ both[v])
 
 
-def proposals(nodes: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray | None, radius: int, both: int, similarity: float,
-              every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places u, v of the proposed links inside ``first`` (``second`` None) or between the places ``first`` and ``second``.
+def proposals(nodes: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray | None, radius: int, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places u, v of a spanning forest of the links proposed inside ``first`` (``second`` None) or between ``first`` and ``second``.
 
-    A link is proposed where the prints p differ in ``radius`` bits at most, p and q together in ``both``, the sizes n
-    allow the similarity, and the labels c differ. Gives all of them with ``every``, else a spanning forest and the
-    nearest of each node. Sorted by size, a block meets only what its sizes allow.
+    A link is proposed where the prints p differ in ``radius`` bits at most, all three prints in ``most``, and the
+    sizes n allow the similarity. Sorted by size, a block meets only what its sizes allow.
     """
-    p, q, n, c = (nodes[k] for k in "pqnc")
+    p, q, r, n = (nodes[k] for k in "pqrn")
     left = first[np.argsort(n[first], kind="stable")]
     right = left if second is None else second[np.argsort(n[second], kind="stable")]
-    sizes, found = n[right], []
-    forest, bits_of, to_of = Forest(len(n)), np.full(len(n), both + 1), np.zeros(len(n), np.int64)
+    sizes, forest = n[right], Forest(len(n))
     for at in range(0, len(left), BLOCK):
         rows = left[at : at + BLOCK]
         low = np.searchsorted(sizes, n[rows[0]] * similarity - 1e-6)
@@ -141,23 +141,10 @@ def proposals(nodes: dict[str, np.ndarray], first: np.ndarray, second: np.ndarra
             if second is None:
                 x, y = x[at + x < to + y], y[at + x < to + y]
             i, j = rows[x], cols[y]
-            bits = np.bitwise_count(p[i] ^ p[j]) + np.bitwise_count(q[i] ^ q[j])
-            good = (bits <= both) & (c[i] != c[j]) & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-6)
-            i, j, bits = i[good], j[good], bits[good]
-            if every:
-                found.append((i, j))
-            elif len(i):
-                forest.join(i, j)
-                for own, other in ((i, j), (j, i)):
-                    order = np.lexsort((bits, own))
-                    own, other, least = own[order], other[order], bits[order]
-                    better = np.r_[True, own[1:] != own[:-1]] & (least < bits_of[own])
-                    bits_of[own[better]], to_of[own[better]] = least[better], other[better]
-    if every:
-        return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-    u, v = forest.links()
-    near = np.flatnonzero(bits_of <= both)
-    return np.concatenate([u, near]), np.concatenate([v, to_of[near]])
+            bits = sum(np.bitwise_count(k[i] ^ k[j]).astype(np.int16) for k in (p, q, r))
+            good = (bits <= most) & (np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * similarity - 1e-6)
+            forest.join(i[good], j[good])
+    return forest.links()
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
@@ -177,11 +164,11 @@ def _pair_links(radius: int):
     return run
 
 
-def _pair_proposals(radius: int, both: int, similarity: float, every: bool):
+def _pair_proposals(radius: int, most: int, similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        nodes = {k: table.column(k).to_numpy() for k in "fpqnc"}
-        nodes |= {k: nodes[k].view(np.uint64) for k in "pq"}
-        u, v = proposals(nodes, *_sides(table), radius, both, similarity, every)
+        nodes = {k: table.column(k).to_numpy() for k in "fpqrn"}
+        nodes |= {k: nodes[k].view(np.uint64) for k in "pqr"}
+        u, v = proposals(nodes, *_sides(table), radius, most, similarity)
         return pa.table({"u": nodes["f"][u], "v": nodes["f"][v]})
 
     return run
@@ -198,7 +185,7 @@ def _text_key(words: list[bytes]) -> int:
 
 
 def wide_prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, f (hash of the lower-cased words), n (distinct shingles) and two SimHashes p, q of the distinct shingles."""
+    """doc_id, th, f (hash of the lower-cased words), n (distinct shingles) and three SimHashes p, q, r of the distinct shingles."""
 
     def bits(hashes: np.ndarray) -> int:
         counts = np.zeros(BITS, np.int64)
@@ -209,58 +196,31 @@ def wide_prints(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = [t.lower().split() for t in raw_texts(batch)]
-            shingles = [_hashes(w, width) for w in words]
-            prints = [[_text_key(w) for w in words], *([bits(x) if w else 0 for x, w in zip(part, words, strict=True)] for part in (shingles, map(mix, shingles)))]
-            f, p, q = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), f, p, q, pa.array(list(map(len, shingles)), pa.int64())], ["doc_id", "f", "p", "q", "n"])
+            first = [_hashes(w, width) for w in words]
+            second = list(map(mix, first))
+            third = [mix(x ^ THIRD) for x in second]
+            prints = [[_text_key(w) for w in words], *([bits(x) if w else 0 for x, w in zip(part, words, strict=True)] for part in (first, second, third))]
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in prints]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns, pa.array(list(map(len, first)), pa.int64())], ["doc_id", "th", *"fpqrn"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, f long, p long, q long, n long")
+    return keyed(docs).mapInArrow(run, "doc_id long, th long, f long, p long, q long, r long, n long")
 
 
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            f, found = [], []
-            for key, text in zip(batch.column("f").to_numpy().view(np.uint64).tolist(), raw_texts(batch), strict=True):
-                words = text.lower().split()
-                if _text_key(words) == key:  # another text may have the same doc_id
-                    f.append(key)
-                    found.append(_hashes(words, width).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(found, pa.binary())], ["f", "shingles"])
-
-    return run
-
-
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-                good.append(both >= similarity * (len(a) // 8 + len(b) // 8 - both))
-            yield batch.filter(pa.array(good)).select(["u", "v"])
+            sets = [_hashes(t.lower().split(), width).tobytes() for t in raw_texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(sets, pa.binary())], ["f", "shingles"])
 
     return run
 
 
-def _verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The edges whose texts share ``similarity`` of their shingles (Jaccard); a node's text is read under its least doc_id."""
-    used = edges.select(F.explode(F.array("u", "v")).alias("g")).distinct()
-    shown = nodes.join(used, nodes["f"] == used["g"]).select("f", "least")
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(shown, texts["i"] == shown["least"]).select("f", "text").mapInArrow(_shingles(width), "f long, shingles binary")
-    texts = scratch.keep("shingles", texts.dropDuplicates(["f"]))
-    a, b = (texts.select(F.col("f").alias(f"f{c}"), F.col("shingles").alias(c)) for c in "ab")
-    return edges.join(a, edges["u"] == a["fa"]).join(b, edges["v"] == b["fb"]).select("u", "v", "a", "b").mapInArrow(_alike(similarity), "u long, v long")
-
-
-def _beside(keyed: DataFrame, reach: int, tile_rows: int) -> DataFrame | None:
-    """Rows of ``keyed`` (f, k, ...) once per pair of tiles t1, t2 they meet in, ``first`` for those of t1; None without rows.
+def _beside(placed: DataFrame, reach: int, tile_rows: int) -> DataFrame | None:
+    """Rows of ``placed`` (f, k, ...) once per pair of tiles t1, t2 they meet in, ``first`` for those of t1; None without rows.
 
     Keys k are cut by the hash of f in tiles of about ``tile_rows``; tiles meet whose keys differ by ``reach`` at most.
     """
-    slots = {r["k"]: -(-r["n"] // tile_rows) for r in keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    slots = {r["k"]: -(-r["n"] // tile_rows) for r in placed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     first_tile, total = {}, 0
     for k in sorted(slots):
         first_tile[k], total = total, total + slots[k]
@@ -277,15 +237,15 @@ def _beside(keyed: DataFrame, reach: int, tile_rows: int) -> DataFrame | None:
             out = F.when(F.col("k") == k, F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).otherwise(out)
         return out
 
-    own = [c for c in keyed.columns if c != "k"]
-    dealt = keyed.select("*", (per_count(first_tile) + F.pmod(F.xxhash64("f"), per_count(slots))).cast("int").alias("tile"))
+    own = [c for c in placed.columns if c != "k"]
+    dealt = placed.select("*", (per_count(first_tile) + F.pmod(F.xxhash64("f"), per_count(slots))).cast("int").alias("tile"))
     pairs = dealt.select(*own, "tile", F.explode(per_count(beside)).alias("other")).select(
         *own, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") <= F.col("other")).alias("first"))
     # comparing costs far more than its few bytes tell, so the number of tasks is set and not merged
     return pairs.repartition(min(2048, max(1, sum(map(len, beside.values())))), "t1", "t2")
 
 
-def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int = 1 << 20, similarity: float | None = None, both: int = BOTH) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int = 1 << 20) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document.
 
     Texts are lower-cased (A-Z), split into words and ``width``-word shingles; fingerprints link at ``radius`` or
@@ -293,52 +253,54 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, tile_rows: int
     out as often as they come in; a null doc_id names a component only where all its ids are null. An empty table
     gives an empty result; further columns are not read.
 
-    With ``similarity`` the fingerprints, then of the distinct shingles, only propose, and texts link whose shingle
-    sets have at least that Jaccard similarity. Proposed is what differs in ``radius`` of the 64 bits and in ``both``
-    of 128, a second fingerprint counted in. Every proposed link between texts that are not linked in another way is
-    held against the texts: first a forest and each node's nearest, then all that join different components of these.
-    Documents without an id then link by equal texts only.
-
-    Equal fingerprints (with ``similarity`` equal words) are one node, so groups of copies cost nothing. Nodes are
-    dealt to tiles of about ``tile_rows`` by bit count (by size) and, inside it, by hash. Two tiles meet only if their
-    bit counts differ by ``radius`` at most (their sizes allow the similarity); one group per pair of tiles compares
-    all that its blocks' quarter counts (sizes) do not rule out and returns a spanning forest, never all pairs, so a
-    clique of near copies stays linear. Only what the texts then refuse is proposed pair by pair. No fingerprint
-    goes to the driver; it sees the numbers of rows by bit count or size class.
+    Equal fingerprints are one node, so groups of copies cost nothing. Nodes are dealt to tiles of about ``tile_rows``
+    by bit count and, inside it, by hash. Two tiles meet only if their bit counts differ by ``radius`` at most; one group per pair of
+    tiles compares all that its blocks' quarter counts do not rule out and returns a spanning forest, never
+    all pairs, so a clique of near copies stays linear. No fingerprint goes to the driver; it sees the numbers of
+    rows by bit count.
     """
     scratch = Scratch(docs.sparkSession)
-    if similarity is None:
-        marked = scratch.keep("marked", fingerprints(docs, width).withColumn("p", F.col("f")))
-        nodes = scratch.keep("nodes", marked.groupBy("f").agg(F.min("doc_id").alias("least")))
-        pairs = _beside(nodes.select("f", F.bit_count("f").alias("k")), radius, tile_rows)
-    else:
-        marked = scratch.keep("marked", wide_prints(docs, width))
-        nodes = scratch.keep("nodes", marked.groupBy("f").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in "pqn"]))
-        step = math.log(1 / min(similarity, 0.99))
-        sized = nodes.select(*"fpqn", F.floor(F.log("n") / step + 1e-9).cast("int").alias("k"))
-        pairs = _beside(sized.withColumn("c", F.col("f")), 1, tile_rows)
+    marked = scratch.keep("marked", fingerprints(docs, width))
+    nodes = scratch.keep("nodes", marked.groupBy("f").agg(F.min("doc_id").alias("least")))
+    print_ = F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint")
+    pairs = _beside(nodes.select("f", F.bit_count("f").alias("k")), radius, tile_rows)
     if pairs is None:
-        return marked.select("doc_id", F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), F.col("doc_id").alias("component_id"))
-
-    if similarity is None:
-        edges = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius), "u long, v long"))
-    else:
-        edges = None
-        for every in (False, True):
-            found = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_proposals(radius, both, similarity, every), "u long, v long"))
-            found = found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-            held = scratch.keep("held", _verified(found, nodes, docs, width, similarity, scratch))
-            if every:
-                edges = edges.unionByName(held)
-            else:
-                stars = scratch.keep("first", components(held, scratch, "first-stars"))
-                edges = stars.select(F.col("node").alias("u"), F.col("root").alias("v"))
-                named = stars.select(F.col("node").alias("x"), F.col("root").alias("c"))
-                pairs = _beside(sized.join(named, sized["f"] == named["x"], "left").select(*"fpqn", "k", F.coalesce("c", "f").alias("c")), 1, tile_rows)
+        return marked.select("doc_id", print_, F.col("doc_id").alias("component_id"))
+    edges = scratch.keep("links", pairs.groupBy("t1", "t2").applyInArrow(_pair_links(radius), "u long, v long"))
     roots = scratch.keep("roots", components(edges, scratch))
     named = roots.join(nodes, roots["node"] == nodes["f"]).groupBy("root").agg(F.min("least").alias("component_id"))
     label = roots.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", "component_id")
     of_node = nodes.join(label, nodes["f"] == label["node"], "left").select(
         F.col("f").alias("g"), F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of_node, marked["f"] == of_node["g"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("p"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(of_node, marked["f"] == of_node["g"]).select("doc_id", print_, "component_id")
+
+
+def near_copies(docs: DataFrame, similarity: Similarity = Similarity(8, 10), radius: int = 22, most: int = ALL, width: int = 5, tile_rows: int = 1 << 20, **limits: int) -> DataFrame:
+    """doc_id, th, component_id and ``stays`` of every document; texts link whose ``width``-word shingle sets have ``similarity`` or more (Jaccard).
+
+    th is the hash of the text; doc_id and th together name a document, as a doc_id may be null or stand for several texts. component_id is
+    the smallest doc_id reachable by links, null only where all its ids are null. Of a component the document with the smallest
+    doc_id stays (known ids first; of one id, the smaller th); rows that repeat it stay with it. Texts with equal words link; null, empty
+    and blank texts are alike. An empty table gives an empty result; further columns are not read.
+
+    Fingerprints of the distinct shingles only propose: texts that differ in ``radius`` bits of 64 and ``most`` of 192, and
+    whose numbers of shingles allow the similarity. Tiles meet as in ``near_groups`` and return a spanning forest of the
+    proposals. What these connect is a cell; no true link leaves a cell but those the fingerprints miss. The cells are joined exactly by
+    ``metric_links``, which holds the shingles in the tasks that compare them and returns forests of verified links, never pairs.
+    """
+    scratch = Scratch(docs.sparkSession)
+    share = similarity.num / similarity.den
+    marked = scratch.keep("marked", wide_prints(docs, width))
+    nodes = scratch.keep("nodes", marked.groupBy("f").agg(F.min(who()).alias("who"), *[F.first(c).alias(c) for c in "pqrn"]))
+    step = math.log(1 / min(share, 0.99))
+    pairs = _beside(nodes.select(*"fpqrn", F.floor(F.log("n") / step + 1e-9).cast("int").alias("k")), 1, tile_rows)
+    if pairs is None:
+        return marked.select("doc_id", "th", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    forest = scratch.keep("forest", pairs.groupBy("t1", "t2").applyInArrow(_pair_proposals(radius, most, share), "u long, v long"))
+    cells = scratch.keep("cells", components(forest, scratch).select(F.col("node").alias("x"), F.col("root").alias("cell")))
+    wanted = nodes.join(cells, nodes["f"] == cells["x"]).select("f", "who")
+    sets = texts_of(docs, wanted).mapInArrow(_shingles(width), "f long, shingles binary")
+    members = scratch.keep("sets", sets.join(cells, sets["f"] == cells["x"]).select("cell", "f", "shingles"))
+    rows = group_rows(marked, nodes, metric_links(members, similarity, scratch, **limits), scratch, "doc_id", "th", F.col("first").alias("w"))
+    stays = F.col("doc_id").eqNullSafe(F.col("w.id")) & (F.col("th") == F.col("w.th"))
+    return rows.select("doc_id", "th", "component_id", stays.alias("stays"))
