@@ -206,6 +206,38 @@ def test_language_model(docs, rows, limit):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("limits", [{"head_bits": 1 << 26}, {"head_bits": 1 << 10, "max_frequent": 5, "part_bytes": 2000}, {"head_bits": 1 << 19, "max_frequent": 50}])
+def test_language_model_scores(docs, rows, limits):
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    texts = [(held(r[0]), (r[1] or "").encode().lower().split() + [b"\n"]) for r in rows]
+    words = Counter(w for out, ws in texts if not out for w in ws)
+    both = Counter(p for out, ws in texts if not out for p in zip([None, *ws], ws, strict=False))
+    n, v, trained = sum(words.values()), len(words), sum(not out for out, _ in texts)
+    about = lambda c: ngram_lm.MIDDLES[np.searchsorted(ngram_lm.LEVELS, c, side="right")]
+
+    def score(ws, prior, less):
+        total = 0.0
+        for w0, w1 in zip([None, *ws], ws, strict=False):
+            before, word = trained if w0 is None else about(words[w0]), about(words[w1])
+            joint = min(about(both[w0, w1]), before, word)
+            joint, before, word = (max(x - less, 0) for x in (joint, before, word))
+            total += math.log10((joint + prior * (word + 0.5) / (n + 0.5 * (v + 1))) / (before + prior))
+        return total
+
+    best = max(ngram_lm.PRIORS, key=lambda p: sum(score(ws, p, 1) for out, ws in texts if not out))
+    want = sorted((round(score(ws, best, 0), 6) for _, ws in texts))
+    got = sorted(round(r.score, 6) for r in ngram_lm.score_documents(docs, bits_per_entry=400, **limits).collect())
+    close = 0.05 if limits["head_bits"] == 1 << 19 else 1e-6  # the head has few bits there, and some probes hit by chance
+    assert got == pytest.approx(want, rel=close, abs=2e-6)
+
+
+@pytest.mark.parametrize("head_bits", [1 << 26, 1 << 21, 1 << 12])
+def test_language_model_beats_its_base(spark, head_bits):
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    got = ngram_lm.score_documents(docs, head_bits=head_bits).filter("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"}).first()
+    assert got["sum(score)"] / got["sum(n_tokens)"] > got["sum(base_score)"] / got["sum(n_tokens)"] + 0.3
+
+
 def test_language_model_learns(spark, empty):
     rows = [(i, " ".join(f"{'abcdefgh'[k % 8]}{(i + k) % 40}" for k in range(60))) for i in range(300)]
     got = ngram_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()

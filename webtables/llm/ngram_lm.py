@@ -1,4 +1,8 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast and probed level by level."""
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, probed level by level.
+
+The filter grows with the training texts. Its head, the highest counts within a fixed number of bits, is broadcast; every
+segment keeps the levels below, and keys that the head does not settle are sent to their segment, once per chunk of texts.
+"""
 
 from __future__ import annotations
 
@@ -15,11 +19,14 @@ from webtables.llm._tables import Scratch, pieces, raw_texts
 
 END = b"\n"  # no word holds a line break
 START = np.uint64(0x9E3779B97F4A7C15)
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 PROBES = 3
 BITS_PER_ENTRY = 8
-MAX_FILTER_BITS = 1 << 29
-MAX_FREQUENT = 1 << 20
+HEAD_BITS = 1 << 26
+MAX_FREQUENT = 1 << 17
+CHUNK_BYTES = 2 << 20
+#: Training text per segment.
+PART_BYTES = 1 << 25
 #: Smallest count of each level, and the mean of the whole numbers of a level.
 LEVELS = np.ceil(1.5 ** np.arange(100)).astype(np.int64)
 MIDDLES = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2])
@@ -84,8 +91,7 @@ class LogBloom:
     def segment(cls, keys: np.ndarray, counts: np.ndarray, part_bits: int) -> tuple[np.ndarray, int]:
         """Bits of one segment and the lowest level it holds.
 
-        The size of the filter is fixed, so where a segment would fill up, the lowest counts are left to the
-        smoothing: the smallest cut is taken that leaves ``BITS_PER_ENTRY`` bits to every entry.
+        The smallest cut is taken that leaves ``BITS_PER_ENTRY`` bits to every entry; lower levels belong elsewhere.
         """
         levels, cut = level_of(counts), 1
         while len(keys) and levels[levels >= cut].sum() * BITS_PER_ENTRY > part_bits:
@@ -162,8 +168,8 @@ def _merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return k[starts], np.add.reduceat(c, starts)
 
 
-def _built(part_bits: int):
-    """One part: its unigrams with exact counts, and its segment of the filter."""
+def _built(head_bits: int, bits_per_entry: int):
+    """One part: its unigrams with exact counts, its segment of the head, and of the levels below that cut."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -171,11 +177,15 @@ def _built(part_bits: int):
         one, pair = ([i for i, k in enumerate(kind) if k == x] for x in (0, 1))
         uk, uc = _merged([keys[i] for i in one], [counts[i] for i in one])
         bk, bc = _merged([keys[i] for i in pair], [counts[i] for i in pair])
-        bits, cut = LogBloom.segment(np.concatenate([salted(uk), bk]), np.concatenate([uc, bc]), part_bits)
+        every, all_counts = np.concatenate([salted(uk), bk]), np.concatenate([uc, bc])
+        head, cut = LogBloom.segment(every, all_counts, head_bits)
+        levels = level_of(all_counts)
+        low = levels < cut
+        tail, _ = LogBloom.segment(every[low], all_counts[low], max(64, -(-int(levels[low].sum()) * bits_per_entry // 8) * 8))
         return pa.table({
-            "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": [bits.tobytes()], "cut": pa.array([cut], pa.int32()),
-            "keys": [uk.tobytes()], "counts": [uc.tobytes()], "n_types": pa.array([len(uk)], pa.int64()),
-            "n_tokens": pa.array([int(uc.sum())], pa.int64()), "n_pairs": pa.array([len(bk)], pa.int64())})
+            "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "head": [head.tobytes()], "cut": pa.array([cut], pa.int32()),
+            "tail": pa.array([tail.tobytes()], pa.binary()), "keys": [uk.tobytes()], "counts": [uc.tobytes()], "n_types": pa.array([len(uk)], pa.int64()),
+            "n_tokens": pa.array([int(uc.sum())], pa.int64())})
 
     return run
 
@@ -191,17 +201,6 @@ def _frequent(least: int):
     return run
 
 
-def _as_rows(below: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
-                rare = c < below
-                yield pa.RecordBatch.from_arrays([pa.array(k[rare].view(np.int64)), pa.array(c[rare])], ["key", "c"])
-
-    return run
-
-
 def _octaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers of unigrams per eighth of a doubling of their count."""
     sums = np.zeros(512, np.int64)
@@ -214,15 +213,15 @@ def _octaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Model:
-    """What a worker needs: the filter, the exact counts of the frequent words, and the totals."""
+class Head:
+    """What is broadcast, of fixed size: the head of the filter, its cut in each part, exact counts of frequent words, the totals."""
 
     filter: LogBloom
+    cuts: np.ndarray
     frequent: np.ndarray
     frequent_counts: np.ndarray
     n: int
     v: int
-    least: int
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of the keys that are frequent, -1 for others."""
@@ -231,39 +230,77 @@ class Model:
         at = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
         return np.where(self.frequent[at] == keys, self.frequent_counts[at], -1)
 
+    def settled(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels, and whether they are final: at the cut of the key's part or above, or nothing lies below it."""
+        levels, cut = self.filter.levels(keys), self.cuts[(keys % np.uint64(self.filter.parts)).astype(np.int64)]
+        return levels, (levels >= cut) | (cut == 1)
+
     def log10_unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def log10_smoothed(self, own: np.ndarray, sizes: np.ndarray, estimate: np.ndarray, texts: int, left_out: np.ndarray) -> Iterator[np.ndarray]:
+
+class Chunk:
+    """Words and pairs of some texts, each once, and what the head does not know of them."""
+
+    def __init__(self, texts: list[bytes], head: Head):
+        own, self.sizes = tokens(texts)
+        self.words, self.word_at = np.unique(own, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(pairs(own, self.sizes), return_inverse=True)
+        self.exact = head.exact(self.words)
+        self.word_levels, self.word_settled = head.settled(salted(self.words))
+        self.pair_levels, known = head.settled(self.pairs)
+        parts = np.uint64(head.filter.parts)
+        self.asked = []  # of words, of pairs: places by part, and the part of each
+        for places, part in ((np.flatnonzero(~self.word_settled | (self.exact < 0)), salted(self.words) % parts), (np.flatnonzero(~known), self.pairs % parts)):
+            part = part[places].astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            self.asked.append((places[order], part[order]))
+
+    def requests(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """Part, words and pairs to ask it for."""
+        (words, wp), (joint, jp) = self.asked
+        for part in np.union1d(wp, jp).tolist():
+            yield part, *(k[a[slice(*np.searchsorted(p, [part, part + 1]))]].tobytes() for k, a, p in ((self.words, words, wp), (self.pairs, joint, jp)))
+
+    def answered(self, counts: bytes, levels: bytes, pair_levels: bytes) -> None:
+        """Takes the answers of all parts in their order."""
+        (words, _), (joint, _) = self.asked
+        self.exact[words] = np.frombuffer(counts, np.int64)
+        fresh = np.frombuffer(levels, np.uint8)
+        self.word_levels[words] = np.where(self.word_settled[words], self.word_levels[words], fresh)
+        self.pair_levels[joint] = np.frombuffer(pair_levels, np.uint8)
+
+    def log10_smoothed(self, head: Head, texts: int, left_out: np.ndarray) -> Iterator[np.ndarray]:
         """For each prior log10 of (pair count + prior x unigram probability) / (count of the word before + prior).
 
-        ``estimate``: quantised counts of the words. A pair is never taken to be more frequent than either word.
-        ``left_out``: 1 for tokens that were learned from and are to be judged as if they had not been.
+        Counts are quantised. A pair is never taken to be more frequent than either word. ``left_out``: 1 for
+        tokens that were learned from and are to be judged as if they had not been.
         """
-        before = np.empty(len(own))
-        before[1:] = estimate[:-1]
-        before[np.cumsum(sizes) - sizes] = texts
-        together = np.minimum(count_of(self.filter.levels(pairs(own, sizes))), np.minimum(before, estimate))
-        together, before, word = (np.maximum(x - left_out, 0) for x in (together, before, estimate))
-        unigram = (word + 0.5) / (self.n + 0.5 * (self.v + 1))
+        word = count_of(self.word_levels)[self.word_at]
+        before = np.empty(len(word))
+        before[1:] = word[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = texts
+        together = np.minimum(count_of(self.pair_levels)[self.pair_at], np.minimum(before, word))
+        together, before, word = (np.maximum(x - left_out, 0) for x in (together, before, word))
+        unigram = (word + 0.5) / (head.n + 0.5 * (head.v + 1))
         for prior in PRIORS:
             yield np.log10((together + prior * unigram) / (before + prior))
 
 
-def train(docs: DataFrame, scratch: Scratch, max_filter_bits: int = MAX_FILTER_BITS, max_frequent: int = MAX_FREQUENT) -> tuple[Model, DataFrame, int]:
-    """The model learned from all texts of ``docs``, the counts table (blobs per part) and the number of texts."""
+def train(docs: DataFrame, scratch: Scratch, head_bits: int = HEAD_BITS, max_frequent: int = MAX_FREQUENT, part_bytes: int = PART_BYTES,
+          bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Head, DataFrame, int]:
+    """The head of the model learned from all texts of ``docs``, the table of all segments and the number of texts."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    parts = int(min(max((size["b"] or 0) >> 24, 16), 1 << 14))
-    wanted = max(1 << 16, 2 * (size["b"] or 0))
-    part_bits = min(max_filter_bits, 1 << (wanted - 1).bit_length()) // parts // 8 * 8
+    parts = max((size["b"] or 0) // part_bytes, 16)
+    own_bits = max(head_bits // parts // 8 * 8, 64)
     counted = docs.select("text").mapInArrow(_count(parts), "part int, kind int, keys binary, counts binary")
     built = scratch.keep("counts", counted.groupBy("part").applyInArrow(
-        _built(part_bits), "part int, bits binary, cut int, keys binary, counts binary, n_types long, n_tokens long, n_pairs long"))
-    bits = np.zeros(parts * part_bits // 8, np.uint8)
+        _built(own_bits, bits_per_entry), "part int, head binary, cut int, tail binary, keys binary, counts binary, n_types long, n_tokens long"))
+    bits, cuts = np.zeros(parts * own_bits // 8, np.uint8), np.ones(parts, np.int64)
     n = v = 0
-    for row in built.select("part", "bits", "n_types", "n_tokens").toLocalIterator():  # one filter in all, of bounded size
-        bits[row["part"] * part_bits // 8 : (row["part"] + 1) * part_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-        n, v = n + row["n_tokens"], v + row["n_types"]
+    for row in built.select("part", "head", "cut", "n_types", "n_tokens").toLocalIterator():  # one head in all, of fixed size
+        bits[row["part"] * own_bits // 8 : (row["part"] + 1) * own_bits // 8] = np.frombuffer(row["head"], np.uint8)
+        n, v, cuts[row["part"]] = n + row["n_tokens"], v + row["n_types"], row["cut"]
     steps = built.select("counts").mapInArrow(_octaves, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
     held, step = 0, 512
     for row in steps:
@@ -276,41 +313,69 @@ def train(docs: DataFrame, scratch: Scratch, max_filter_bits: int = MAX_FILTER_B
     keys = np.frombuffer(b"".join(bytes(r["keys"]) for r in hot), np.uint64)
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in hot), np.int64)
     order = np.argsort(keys)
-    return Model(LogBloom(parts, part_bits, bits), keys[order], counts[order], n, v, least), built, size["n"]
+    return Head(LogBloom(parts, own_bits, bits), cuts, keys[order], counts[order], n, v), built, size["n"]
 
 
-def _score(shared, texts: int):
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of about ``CHUNK_BYTES`` of text in one row."""
+    for batch in pieces(batches, limit=CHUNK_BYTES):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([batch.column(c).to_pylist()], pa.list_(kind)) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+            + [pa.array([raw_texts(batch)], pa.list_(pa.binary()))], ["ids", "held", "texts"])
+
+
+def _ask(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for batch in pieces(batches, limit=2 << 20):
-            own, sizes = tokens(raw_texts(batch))
-            types, where = np.unique(own, return_inverse=True)
-            exact = model.exact(types)
-            estimate = count_of(model.filter.levels(salted(types)))
-            starts = np.cumsum(sizes) - sizes
-            known = exact[where] >= 0
-            base = np.where(known, model.log10_unigram(np.maximum(exact, 0))[where], 0.0)
-            learned = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            by_prior = lambda out: np.stack([np.add.reduceat(x, starts) for x in model.log10_smoothed(own, sizes, estimate[where], texts, out)], 1)
-            score, unseen = by_prior(0.0), by_prior(np.repeat(learned, sizes).astype(float)) * learned[:, None]
-            rare_keys, rare_counts = [], []
-            for a, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                k, c = np.unique(own[a : a + size][~known[a : a + size]], return_counts=True)
-                rare_keys.append(k.view(np.int64))
-                rare_counts.append(c.astype(np.int32))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in rare_keys])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (rare_keys, rare_counts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes.astype(np.int64)),
-                 pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
-                 pa.array(list(score)), pa.array(list(unseen)), *lists],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "scores", "unseen", "rare", "times"])
+        for batch in batches:
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                rows = list(Chunk(texts.as_py(), shared.value).requests())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary())))],
+                    ["chunk", "part", "words", "pairs"])
+
+    return run
+
+
+def _answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
+    """Exact counts of the words, levels of words and pairs, for every request to one part."""
+    keys, counts, tail = np.empty(0, np.uint64), np.empty(0, np.int64), None
+    if segments.num_rows:
+        keys, counts = (np.frombuffer(segments.column(c)[0].as_py(), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
+        bits = np.frombuffer(segments.column("tail")[0].as_py(), np.uint8)
+        tail = LogBloom(1, 8 * len(bits), bits)
+    levels = lambda k: tail.levels(k) if tail else np.zeros(len(k), np.int64)
+    out: list[list] = [[], [], []]
+    for words, joint in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
+        words, joint = np.frombuffer(words, np.uint64), np.frombuffer(joint, np.uint64)
+        found = np.zeros(len(words), np.int64)
+        if len(keys) and len(words):
+            at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+            found = np.where(keys[at] == words, counts[at], 0)
+        for column, value in zip(out, (found, levels(salted(words)).astype(np.uint8), levels(joint).astype(np.uint8)), strict=True):
+            column.append(value.tobytes())
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), **{c: pa.array(x, pa.binary()) for c, x in zip(("counts", "levels", "pair_levels"), out, strict=True)}})
+
+
+def _score(shared, texts: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        head: Head = shared.value
+        chunk = Chunk(rows.column("texts")[0].as_py(), head)
+        answers = answers.sort_by("part")
+        chunk.answered(*(b"".join(answers.column(c).to_pylist()) for c in ("counts", "levels", "pair_levels")))
+        starts = np.cumsum(chunk.sizes) - chunk.sizes
+        held = np.array(rows.column("held")[0].as_py(), bool)
+        by_prior = lambda out: np.stack([np.add.reduceat(x, starts) for x in chunk.log10_smoothed(head, texts, out)], 1)
+        score, unseen = by_prior(0.0), by_prior(np.repeat(~held, chunk.sizes).astype(float)) * ~held[:, None]
+        base = head.log10_unigram(chunk.exact)[chunk.word_at]
+        return pa.table({
+            "doc_id": pa.array(rows.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(chunk.sizes.astype(np.int64)),
+            "n_known": pa.array(np.add.reduceat((chunk.exact > 0)[chunk.word_at].astype(np.int64), starts)), "base": pa.array(np.add.reduceat(base, starts)),
+            "scores": pa.array(list(score), pa.list_(pa.float64())), "unseen": pa.array(list(unseen), pa.list_(pa.float64()))})
 
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, max_filter_bits: int = MAX_FILTER_BITS,
-                    max_frequent: int = MAX_FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, **limits: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     Tokens are the lower-cased (A-Z) words and one end per text. The model learns from the documents whose
@@ -324,27 +389,25 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, max_fil
     and returned as often as they come; an empty table gives an empty result; further columns are not read.
 
     Counting sums per task before the shuffle, so a word or pair that holds a third of all tokens is one number
-    per task. Words are known by 64-bit hashes. Broadcast: at most ``max_filter_bits`` bits and ``max_frequent``
-    counts of frequent words; the exact counts of all other words are joined, through a shuffle. A segment of
-    the filter that would fill up leaves its lowest counts to the smoothing (``cut`` in the counts table).
+    per task. Words are known by 64-bit hashes. The filter has ``bits_per_entry`` bits for every level of every word and
+    pair, in one segment per ``part_bytes`` of training text. Broadcast are ``head_bits`` bits of it, of the highest counts, and exact
+    counts of at most ``max_frequent`` words (``limits`` of ``train``). A chunk of texts asks the segments, through a shuffle and once
+    for each word and pair, what the head leaves open.
     """
     scratch = Scratch(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == held_fold).alias("held_out"))
-    model, counts, texts = train(docs.filter("NOT held_out"), scratch, max_filter_bits, max_frequent)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.mapInArrow(
-        _score(shared, texts), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, unseen array<double>, rare array<long>, times array<int>")
-    scored = scratch.keep("scored", scored.withColumn("row", F.monotonically_increasing_id()))
+    head, segments, texts = train(docs.filter("NOT held_out"), scratch, **limits)
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+    chunks = docs.mapInArrow(_chunks, "ids array<long>, held array<boolean>, texts array<binary>")
+    chunks = scratch.keep("chunks", chunks.select(F.monotonically_increasing_id().alias("chunk"), "*"))
+    asked = chunks.select("chunk", "texts").mapInArrow(_ask(shared), "chunk long, part int, words binary, pairs binary")
+    answers = scratch.keep("answers", asked.groupBy("part").cogroup(segments.select("part", "tail", "keys", "counts").groupBy("part")).applyInArrow(
+        _answer, "chunk long, part int, counts binary, levels binary, pair_levels binary"))
+    scored = scratch.keep("scored", chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _score(shared, texts), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, scores array<double>, unseen array<double>"))
+    scratch.drop("chunks", "answers", "counts")
+    shared.unpersist()
     fit = scored.agg(*[F.sum(F.col("unseen")[i]).alias(f"p{i}") for i in range(len(PRIORS))]).first()
     best = max(range(len(PRIORS)), key=lambda i: fit[i] or 0.0)
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("own"), F.col("x.times").alias("times"))
-    rows = counts.select("keys", "counts").mapInArrow(_as_rows(model.least), "key long, c long")
-    at_zero = float(model.log10_unigram(np.zeros(1))[0])
-    shift = float(np.log10(model.n + 0.5 * (model.v + 1)))
-    sums = rare.join(rows, rare["own"] == rows["key"], "left").groupBy(F.col("row").alias("of")).agg(
-        F.sum(F.when(F.col("c").isNull(), F.col("times") * at_zero).otherwise(F.col("times") * (F.log10(F.col("c") + 0.5) - shift))).alias("rare_base"),
-        F.sum(F.when(F.col("c").isNull(), 0).otherwise(F.col("times"))).alias("rare_known"))
-    return scored.join(sums, scored["row"] == sums["of"], "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), F.col("scores")[best].alias("score"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(head.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("scores")[best].alias("score"))
