@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from webtables.llm._tables import Scratch, pieces, raw_texts
 from webtables.llm.components import components
-from webtables.llm.metric_join import Similarity, group_rows, keyed, metric_links, texts_of, who
+from webtables.llm.metric_join import Similarity, group_rows, keyed, metric_labels, texts_of, who
 from webtables.llm.ngram_lm import mix
 
 BITS = 64
@@ -286,7 +286,7 @@ def near_copies(docs: DataFrame, similarity: Similarity = Similarity(8, 10), rad
     Fingerprints of the distinct shingles only propose: texts that differ in ``radius`` bits of 64 and ``most`` of 192, and
     whose numbers of shingles allow the similarity. Tiles meet as in ``near_groups`` and return a spanning forest of the
     proposals. What these connect is a cell; no true link leaves a cell but those the fingerprints miss. The cells are joined exactly by
-    ``metric_links``, which holds the shingles in the tasks that compare them and returns forests of verified links, never pairs.
+    ``metric_labels``, which holds the shingles in the tasks that compare them and returns forests of verified links, never pairs.
     """
     scratch = Scratch(docs.sparkSession)
     share = similarity.num / similarity.den
@@ -301,6 +301,6 @@ def near_copies(docs: DataFrame, similarity: Similarity = Similarity(8, 10), rad
     wanted = nodes.join(cells, nodes["f"] == cells["x"]).select("f", "who")
     sets = texts_of(docs, wanted).mapInArrow(_shingles(width), "f long, shingles binary")
     members = scratch.keep("sets", sets.join(cells, sets["f"] == cells["x"]).select("cell", "f", "shingles"))
-    rows = group_rows(marked, nodes, metric_links(members, similarity, scratch, **limits), scratch, "doc_id", "th", F.col("first").alias("w"))
+    rows = group_rows(marked, nodes, metric_labels(members, similarity, scratch, **limits), "doc_id", "th", F.col("first").alias("w"))
     stays = F.col("doc_id").eqNullSafe(F.col("w.id")) & (F.col("th") == F.col("w.th"))
     return rows.select("doc_id", "th", "component_id", stays.alias("stays"))
