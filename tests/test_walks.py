@@ -51,3 +51,19 @@ def test_bodies(spark):
     starts = spark.createDataFrame([(1,), (10,), (20,)], "page_id long")
     got = {r["root"]: (r["content"], r["error"]) for r in assemble_bodies(starts, links, bodies).collect()}
     assert got == {1: ("a\nb\nc", None), 10: ("", "empty body"), 20: ("", "timeout")}
+
+
+def test_chains_circles_and_forks(spark):
+    links = [(i, i + 1, 0) for i in range(1, 1184)] + [(2000, 2001, 0), (2001, 2002, 0), (2002, 2001, 0), (3000, 3001, 1), (3001, 3002, 0), (3001, 3003, 1), (3002, 3003, 0), (3003, 3000, 0)]
+    table = spark.createDataFrame(links, "page_id long, next_page_id long, pos int")
+    starts = spark.createDataFrame([(1,), (1100,), (2000,), (3000,), (9,), (9,), (7777,)], "page_id long")
+    by_page = {}
+    for p, n, _ in links:
+        by_page.setdefault(p, []).append(n)
+    for limit in (3, 200, None):
+        got, cut = {}, {}
+        for r in walk_pages(starts, table, limit).orderBy("root", "visit").collect():
+            got.setdefault(r["root"], []).append(r["page_id"])
+            cut[r["root"]] = r["truncated"]
+        assert got == {p: plain_walk(p, by_page, limit or 5000) for p in (1, 1100, 2000, 3000, 9, 7777)}
+        assert cut == {p: len(plain_walk(p, by_page, 5000)) > (limit or 5000) for p in got}

@@ -55,7 +55,11 @@ def json_values(body: ColumnLike, path: Sequence[str | int]) -> Column:
 
     A member step maps over the elements of an array; arrays left at the end are expanded once.
     """
-    root = F.try_parse_json(as_col(body))
+    return variant_values(F.try_parse_json(as_col(body)), path)
+
+
+def variant_values(root: Column, path: Sequence[str | int]) -> Column:
+    """The same for a value that is parsed already."""
     values = F.filter(F.array(root), lambda v: v.isNotNull())
     for step in path:
         values = _step(values, step)
@@ -83,7 +87,12 @@ def json_first(body: ColumnLike, path: Sequence[str | int]) -> Column:
 
 def json_strings(body: ColumnLike, path: Sequence[str | int]) -> Column:
     """All scalars of a path as text."""
-    return F.filter(F.transform(json_values(body, path), _scalar), lambda s: s.isNotNull())
+    return variant_scalars(F.try_parse_json(as_col(body)), path)
+
+
+def variant_scalars(root: Column, path: Sequence[str | int]) -> Column:
+    """The same for a value that is parsed already."""
+    return F.filter(F.transform(variant_values(root, path), _scalar), lambda s: s.isNotNull())
 
 
 def json_descend(df: DataFrame, body: str, name: str, depth: int | None = None, value: str = "item") -> DataFrame:

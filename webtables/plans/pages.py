@@ -10,6 +10,7 @@ from webtables.functions import urls as U
 from webtables.operators import extract as E
 from webtables.operators import lint as L
 from webtables.operators import nodes as N
+from webtables.operators import records as R
 from webtables.operators.joins import reachable_hosts, usable
 from webtables.operators.walk import assemble_bodies, walk_pages
 from webtables.session import settle
@@ -218,16 +219,73 @@ def extract_toc(spark, sf):
     return toc.select("page_id", F.col("idx").cast("long").alias("idx"), "name", "url", "vip")
 
 
-@catalog.add("x17_walk_pages", """
-SELECT a.page_id AS root, CAST(v AS BIGINT) AS visit, a.page_id + 3 * v AS page_id, false AS truncated
-FROM pages a, range(50) AS r(v), (SELECT max(page_id) AS top FROM pages)
-WHERE a.page_id + 3 * v <= top AND (a.page_id + 3 * v) // 150 = a.page_id // 150""")
+@catalog.add("x13_routed_records", f"""
+WITH {_NAV_SQL}
+SELECT page_id, 'html' AS kind, pos::BIGINT AS pos, {_LABEL} AS name, {_ORIGIN} || href AS url FROM flat
+UNION ALL
+SELECT -event_id - 1, 'json', i, CASE i WHEN 0 THEN event_type || ' ' || event_id ELSE 'none ' || event_id END, 'http://e.example.org/e/' || event_id || '/' || i
+FROM events, range(2) AS r(i) WHERE event_id % 2 = 0
+UNION ALL
+SELECT -event_id - 1, 'pattern', i, event_type || '-' || (event_id + i), 'http://e.example.org/t/' || (event_id + i)
+FROM events, range(3) AS r(i) WHERE event_id % 2 = 1""")
+def routed_records(spark, sf):
+    events = table(spark, sf, "events").filter("event_type IS NOT NULL")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.col("event_type"), F.lit("#"), (F.col("event_id") + i).cast("string"), F.lit(";\n"))), "")
+    listed = F.to_json(F.struct(F.struct(F.array(
+        F.struct(F.col("event_id").alias("id"), F.lit(0).alias("n"), F.struct(F.array("event_type").alias("names")).alias("kind")),
+        F.struct(F.col("event_id").alias("id"), F.lit(1).alias("n"), F.lit(None).cast("struct<names:array<string>>").alias("kind"))).alias("list")).alias("data")))
+    made = events.select(
+        (-F.col("event_id") - 1).alias("page_id"), F.lit("http://e.example.org/x").alias("url"), F.when(F.col("event_id") % 2 == 0, listed).otherwise(text).alias("html"))
+    bodies = _pages(spark, sf).select("page_id", "url", "html").unionByName(made)
+    kind = R.AnyOf((R.Json(("kind", "names", 0)), R.Literal("none")))
+    return R.read_records(
+        bodies,
+        html=R.Branch(R.HtmlRows((N.Step("nav"),), N.Step("a")), {"name": R.Css(), "url": R.Css(kind="href")}),
+        json=R.Branch(R.JsonRows(("data", "list")), {"name": R.Concat((kind, R.Literal(" "), R.Json(("id",)))), "url": R.Fill("/e/{$.id}/{$.n}")}),
+        pattern=R.Branch(R.PatternRows("([a-z_]+)#(\\d+);", 2), {"name": R.Fill("$1-$2"), "url": R.Fill("/t/$2")}),
+        url_fields=["url"], name_fields=["name"])
+
+
+def _lines(items: str) -> str:
+    return f"array_to_string(list_filter({items}, lambda x: x <> ''), chr(10))"
+
+
+_CLEAN = collapse_sql(entities_sql("x"))
+
+
+@catalog.add("x14_field_forms", f"""
+WITH {_NAV_SQL}, l AS (SELECT page_id, h, list_transform(t, lambda x: {_CLEAN}) AS t FROM links JOIN (SELECT page_id, seg FROM nav) USING (page_id) WHERE seg LIKE '%<ul>%')
+SELECT page_id, 0::BIGINT AS pos, coalesce(t[1], '') AS first, coalesce(h[-1], '') AS last_href,
+  {_lines("list_where(t, [i NOT IN (0, 2) FOR i IN range(len(t))])")} AS others,
+  coalesce(nullif(t[2], ''), t[1], '') AS second_or_first, array_to_string(list_filter(t, lambda x: x <> ''), '/') AS joined,
+  coalesce(t[1], '') || ' | ' || coalesce(t[-1], '') AS ends, regexp_replace({_lines("t")}, '[aeiou]+', '-', 'g') AS tail FROM l""")
+def field_forms(spark, sf):
+    a = (N.Step("li"), N.Step("a", child=True))
+    branch = R.Branch(R.HtmlRows((N.Step("nav"), N.Step("ul", child=True))), {
+        "first": R.Css(a, index=0), "last_href": R.Css(a, "href", index=-1), "others": R.Css(a, skip=(0, 2)),
+        "second_or_first": R.AnyOf((R.Css((N.Step("em"),)), R.Css(a, index=1), R.Css(a, index=0))), "joined": R.Joined(R.Css(a), "/"),
+        "ends": R.Concat((R.Css(a, index=0), R.Literal(" | "), R.Css(a, index=-1))), "tail": R.Replaced(R.Css(a), "[aeiou]+", "-")})
+    return R.read_records(_pages(spark, sf), html=branch).drop("kind")
+
+
+@catalog.add("x16_contents_over_pages", f"""
+WITH {_NAV_SQL}
+SELECT page_id % 3 AS root, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id, pos) - 1 AS idx, page_id, false AS truncated,
+       {_LABEL} AS name, 'http://list.example.org' || href AS url FROM flat WHERE {_LABEL} <> '' AND href <> ''""")
+def contents_over_pages(spark, sf):
+    link = F.concat(F.lit('<body><a class="next" href="/p/'), (F.col("page_id") + 3).cast("string"), F.lit('">next</a>'))
+    pages = _pages(spark, sf).select(
+        "page_id", F.concat(F.lit("http://list.example.org/p/"), F.col("page_id").cast("string")).alias("url"), F.replace(F.col("html"), F.lit("<body>"), link).alias("html"))
+    branch = R.Branch(R.HtmlRows((N.Step("nav"),), N.Step("a")), {"name": R.Css(), "url": R.Css(kind="href")})
+    return R.extract_contents(pages, pages.filter("page_id < 3").select("page_id"), branch, [N.Step("a", classes=("next",))])
+
+
+@catalog.add("x17_walk_pages", "SELECT page_id % 3 AS root, page_id // 3 AS visit, page_id, false AS truncated FROM pages")
 def walk(spark, sf):
     pages = _pages(spark, sf).select("page_id")
     nexts = pages.select(F.col("page_id"), (F.col("page_id") + 3).alias("next_page_id"), F.lit(0).alias("pos"))
-    links = nexts.join(pages.select(F.col("page_id").alias("next_page_id")), "next_page_id").filter(
-        F.expr("next_page_id div 150 = page_id div 150"))  # chains of up to 50 pages
-    return walk_pages(pages, links).select("root", F.col("visit").cast("long").alias("visit"), "page_id", "truncated")
+    links = nexts.join(pages.select(F.col("page_id").alias("next_page_id")), "next_page_id")
+    return walk_pages(pages.join(links.select(F.col("next_page_id").alias("page_id")), "page_id", "left_anti"), links)
 
 
 @catalog.add("x18_assemble_bodies", f"""
