@@ -55,23 +55,14 @@ def map_position(
     return placed.join(target, [*key, "mapped"], "left")
 
 
-def fallback_body(
-    failed: DataFrame, ranked: DataFrame, toc: DataFrame, bodies: DataFrame, tries: int = 3
-) -> DataFrame:
-    """First of the best alternatives that has a table of contents and a body at the mapped position.
+def fallback_body(tried: DataFrame, toc: DataFrame, bodies: DataFrame) -> DataFrame:
+    """First of the tried offers that has a table of contents and a body at the mapped position.
 
-    ``failed(key, source_url, book_url, chapter_index, n_chapters)``,
-    ``ranked(key, source_url, book_url, place)``, ``toc(source_url, book_url, n_chapters)``,
-    ``bodies(source_url, book_url, idx, content)``.
+    ``tried`` as :func:`webtables.operators.merge.fallback_offers` gives it, ``toc(source_url, book_url, n_chapters)``,
+    ``bodies(source_url, book_url, idx, content)``. Only the tried offers, a few per work, meet contents and bodies.
     """
-    gone = failed.select(
-        "key", "chapter_index", F.col("source_url").alias("_s"), F.col("book_url").alias("_b"),
-        F.col("n_chapters").alias("_n"),
-    )
-    others = ranked.join(gone, "key").filter((F.col("source_url") != F.col("_s")) & (F.col("book_url") != F.col("_b")))
-    tried = top_k(others, ["key", "chapter_index"], [F.col("place")], tries, ["source_url", "book_url"], name="try")
     listed = tried.join(toc.withColumnRenamed("n_chapters", "_m"), ["source_url", "book_url"]).filter("_m > 0")
-    placed = listed.withColumn("idx", position_of(F.col("chapter_index"), F.col("_n"), F.col("_m")))
+    placed = listed.withColumn("idx", position_of(F.col("chapter_index"), F.col("n_chapters"), F.col("_m")))
     found = placed.join(bodies.filter("content <> ''"), ["source_url", "book_url", "idx"])
     best = found.groupBy("key", "chapter_index").agg(
         F.min_by(F.struct("source_url", "book_url", "idx", "try", "content"), F.col("try")).alias("o")

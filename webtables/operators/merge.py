@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webtables.functions.text import title_key
 from webtables.operators.scan import ordinal, time_bucket
+from webtables.session import settle
 
 
 def _valid_hits(hits: DataFrame, name: str, url: str) -> DataFrame:
@@ -96,19 +97,55 @@ def rank_offers(
     return placed.drop("_b", "other")
 
 
-def _first_offer(ranked: DataFrame, values: Column, arrival: str, tie: tuple[str, ...]) -> DataFrame:
-    order = F.struct("reading_rank", "other", arrival, *tie)
-    return ranked.groupBy("key").agg(F.min_by(values, order).alias("o"))
+def best_offers(
+    members: DataFrame, ranks: DataFrame, source: str = "source_url", url: str = "book_url", arrival: str = "arrival", tie: tuple[str, ...] = (),
+) -> DataFrame:
+    """Each (key, site, url) once, with its reading class and ``order``: class, first arrival, tie.
+
+    The first arrival is a minimum with map-side combine, so a title with a third of all offers is down to its
+    sites and urls before anything is joined.
+    """
+    first = members.groupBy("key", source, url).agg(F.min(F.struct(arrival, *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)])).alias("_first"))
+    ranked = first.join(ranks.select(source, "reading_rank"), source, "left").withColumn("reading_rank", F.coalesce("reading_rank", F.lit(2)))
+    return ranked.select("key", source, url, "reading_rank", F.struct("reading_rank", "_first").alias("order"))
+
+
+def short_lists(offers: DataFrame, k: int, source: str = "source_url", url: str = "book_url") -> DataFrame:
+    """Of each work enough of :func:`best_offers` for the first ``k`` that avoid any one site and any one url: 3k + 2 at most.
+
+    Of one site, and then of one url, k + 1 are enough: the excluded url, or site, is that of at most one of them. What is
+    left has at most k + 1 offers on either excluded side, so 3k + 2 of them hold k others. Each limit is a rank below a
+    constant, which Spark applies inside every task before the shuffle, so no task sees all offers of a title.
+    """
+    for by, most in ((("key", source), k + 1), (("key", url), k + 1), (("key",), 3 * k + 2)):
+        at = F.row_number().over(Window.partitionBy(*by).orderBy("order"))
+        offers = offers.withColumn("_at", at).filter(F.col("_at") <= most).drop("_at")
+    return offers
+
+
+def _avoiding(short: DataFrame, failed: DataFrame, source: str, url: str, *columns: str) -> DataFrame:
+    """The offers of the short lists beside the failed site and url of their work."""
+    gone = failed.select("key", F.col(source).alias("_fs"), F.col(url).alias("_fu"), *columns)
+    return short.join(gone, "key").filter((F.col(source) != F.col("_fs")) & (F.col(url) != F.col("_fu"))).drop("_fs", "_fu")
 
 
 def primary_offer(
     members: DataFrame, ranks: DataFrame, current: DataFrame | None = None, source: str = "source_url",
     arrival: str = "arrival", tie: tuple[str, ...] = (), url: str = "book_url",
 ) -> DataFrame:
-    """The first offer of each work by the order of :func:`rank_offers`, as one aggregate."""
-    ranked = _ranked(members, ranks, current, source)
-    picked = _first_offer(ranked, F.struct(source, url, "reading_rank"), arrival, tie)
-    return picked.select("key", "o.*")
+    """The first offer of each work by the order of :func:`rank_offers`.
+
+    That is the best offer of all, or the best of the current site where its class is as good. ``current`` is joined by
+    work and site, never by the work alone.
+    """
+    offers = best_offers(members, ranks, source, url, arrival, tie)
+    values = F.struct(source, url, "reading_rank")
+    best = offers.groupBy("key").agg(F.min_by(values, "order").alias("o"))
+    if current is None:
+        return best.select("key", "o.*")
+    own = offers.join(current.select("key", source), ["key", source]).groupBy(F.col("key").alias("_k")).agg(F.min_by(values, "order").alias("c"))
+    joined = best.join(own, F.col("key") == F.col("_k"), "left")
+    return joined.select("key", F.when(F.col("c.reading_rank") == F.col("o.reading_rank"), F.col("c")).otherwise(F.col("o")).alias("p")).select("key", "p.*")
 
 
 def rank_results(groups: DataFrame, best: DataFrame, keyword: str) -> DataFrame:
@@ -123,14 +160,17 @@ def rank_results(groups: DataFrame, best: DataFrame, keyword: str) -> DataFrame:
     return placed.select("pos", "key", "name", "exact", "best_rank", "offers")
 
 
-def top_results(groups: DataFrame, best: DataFrame, primary: DataFrame, keyword: str, k: int = 6) -> DataFrame:
-    """The first ``k`` works with their primary offer."""
+def top_results(
+    groups: DataFrame, best: DataFrame, members: DataFrame, ranks: DataFrame, keyword: str, k: int = 6, current: DataFrame | None = None, **offer,
+) -> DataFrame:
+    """The first ``k`` works with their primary offer, which is looked for among the offers of these works only (``offer``: see :func:`primary_offer`)."""
     joined = groups.join(best, "key", "left")
     exact = F.col("key") == title_key(F.lit(keyword))
-    head = joined.withColumn("exact", exact).orderBy(
+    head = settle(joined.withColumn("exact", exact).orderBy(
         F.col("exact").desc(), F.coalesce("best_rank", F.lit(99)), F.col("offers").desc(), "name", "key"
-    ).limit(k)
-    return head.join(primary.drop("reading_rank"), "key", "left")
+    ).limit(k))
+    few = members.join(head.select("key"), "key", "left_semi")
+    return head.join(primary_offer(few, ranks, current, **offer).drop("reading_rank"), "key", "left")
 
 
 def next_alternative(
@@ -139,11 +179,25 @@ def next_alternative(
 ) -> DataFrame:
     """The next offer to try for each failed work: not the failed site or url, still registered.
 
-    ``failed(key, source_url, book_url)``. Class 4 comes last, whatever its order otherwise.
+    ``failed(key, source_url, book_url)``. Class 4 comes last, whatever its order otherwise. Works shrink to short lists
+    before the failures are joined to them.
     """
-    gone = failed.select("key", F.col(source).alias("_fs"), F.col(url).alias("_fu"))
-    others = members.join(gone, "key").filter((F.col(source) != F.col("_fs")) & (F.col(url) != F.col("_fu")))
-    others = others.join(registry.select(source).distinct(), source, "left_semi").drop("_fs", "_fu")
-    ranked = _ranked(others, ranks, None, source)
-    picked = _first_offer(ranked, F.struct(source, url, "reading_rank"), arrival, tie)
+    known = members.join(registry.select(source).distinct(), source, "left_semi")
+    short = short_lists(best_offers(known, ranks, source, url, arrival, tie), 1, source, url)
+    picked = _avoiding(short, failed, source, url).groupBy("key").agg(F.min_by(F.struct(source, url, "reading_rank"), "order").alias("o"))
     return picked.select("key", "o.*")
+
+
+def fallback_offers(
+    members: DataFrame, ranks: DataFrame, failed: DataFrame, registry: DataFrame, tries: int = 3, source: str = "source_url",
+    url: str = "book_url", arrival: str = "arrival", tie: tuple[str, ...] = (),
+) -> DataFrame:
+    """The first ``tries`` registered offers of each failed work beside the failed site and url, with ``try`` from 1.
+
+    ``failed(key, source_url, book_url, chapter_index, n_chapters)``; the last two go with the offers.
+    """
+    known = members.join(registry.select(source).distinct(), source, "left_semi")
+    short = short_lists(best_offers(known, ranks, source, url, arrival, tie), tries, source, url)
+    left = _avoiding(short, failed, source, url, "chapter_index", "n_chapters")
+    place = F.row_number().over(Window.partitionBy("key", "chapter_index").orderBy("order"))
+    return left.withColumn("try", place).filter(F.col("try") <= tries).drop("order")

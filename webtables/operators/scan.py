@@ -25,12 +25,11 @@ def ordinal(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: S
 
     One plan for every size: rows are dealt by ranges of (keys, buckets, order), numbered inside a range, and
     shifted by the rows of their key in the ranges before. A hot key, or all rows where there are no keys, spans
-    as many ranges as its rows need. The input is computed once; the only window that sees a whole key sees one
-    row per range.
+    as many ranges as its rows need. Shuffles below are read twice, for the sample of the ranges and for the rows; the only
+    window that sees a whole key sees one row per range.
     """
-    given = settle(df)
     # stored, because the ranges are drawn from a sample and must not be drawn again
-    ranged = settle(given.repartitionByRange(*keys, *buckets, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = settle(df.repartitionByRange(*keys, *buckets, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(

@@ -155,7 +155,7 @@ FROM res JOIN ranked ON ranked.key = res.key AND place = 1 WHERE pos <= 6""")
 def top_results(spark, sf):
     found, ranks = _keyed(spark, sf), _ranks(spark, sf)
     groups, best = M.merge_hits(found), M.best_rank(found, ranks)
-    top = M.top_results(groups, best, M.primary_offer(found, ranks, _current(found), tie=TIE), KEYWORD)
+    top = M.top_results(groups, best, found, ranks, KEYWORD, current=_current(found), tie=TIE)
     return top.select("key", "name", "offers", "exact", "best_rank", "source_url", "book_url")
 
 
@@ -179,11 +179,11 @@ def _books(found):
     return placed.withColumn("idx", F.col("n") - 1).drop("_b", "n")
 
 
-_FALLBACK = f"""{HITS}, d AS (SELECT key, source_url, book_url, min((arrival, {_TIE_SQL})) AS o FROM hits GROUP BY 1, 2, 3), pl AS (
-  SELECT key, source_url, book_url, row_number() OVER (PARTITION BY key ORDER BY o) AS place FROM d), fl AS (
-  SELECT key, source_url AS fs, book_url AS fb FROM pl WHERE place = 1), tr AS (
-  SELECT pl.*, row_number() OVER (PARTITION BY pl.key ORDER BY place) AS try FROM pl JOIN fl ON fl.key = pl.key
-   AND pl.source_url <> fs AND pl.book_url <> fb), ch AS (
+_FALLBACK = f"""{_BASE[5:]}, {_CURRENT}, {_RANKED}, fl AS (SELECT key, source_url AS fs, book_url AS fb FROM ranked WHERE place = 1), d AS (
+  SELECT h.key, h.source_url, h.book_url, coalesce(min(reading_rank), 2) AS rank, min((arrival, {_TIE_SQL.replace('source_url', 'h.source_url')})) AS o
+  FROM hits h JOIN (SELECT source_url FROM registry WHERE enabled) e ON e.source_url = h.source_url LEFT JOIN ranks r ON r.source_url = h.source_url GROUP BY 1, 2, 3), tr AS (
+  SELECT d.key, d.source_url, d.book_url, row_number() OVER (PARTITION BY d.key ORDER BY rank, o) AS try FROM d JOIN fl ON fl.key = d.key
+   AND d.source_url <> fs AND d.book_url <> fb), ch AS (
   SELECT *, row_number() OVER (PARTITION BY source_url, book_url ORDER BY {_ORDER}) - 1 AS idx FROM hits), tc AS (
   SELECT source_url, book_url, count(*) AS m FROM ch GROUP BY 1, 2), at3 AS (
   SELECT key, tr.source_url, tr.book_url, try, greatest(least(CAST(floor(2.5 / 7 * m) AS BIGINT), m - 1), 0) AS idx
@@ -199,16 +199,13 @@ FROM ok WHERE content <> '' GROUP BY key""")
 def fallback_body(spark, sf):
     found = _keyed(spark, sf)
     chapters = _books(found)
-    distinct = found.groupBy("key", "source_url", "book_url").agg(F.min(F.struct("arrival", *TIE)).alias("o"))
-    sliced = distinct.withColumn("_arrival", F.col("o.arrival")).withColumn("_b", time_bucket("_arrival", 86400))
-    ranked = settle(ordinal(sliced, ["key"], ["_b"], ["o"], "place").select("key", "source_url", "book_url", "place"))
-    failed = ranked.filter("place = 1").select(
-        "key", "source_url", "book_url", F.lit(2).alias("chapter_index"), F.lit(7).alias("n_chapters")
-    )
+    ranks = settle(_ranks(spark, sf))
+    failed = M.primary_offer(found, ranks, _current(found), tie=TIE).select("key", "source_url", "book_url", F.lit(2).alias("chapter_index"), F.lit(7).alias("n_chapters"))
+    tried = M.fallback_offers(found, ranks, failed, registry(spark, sf).filter("enabled"), tie=TIE)
     toc = found.groupBy("source_url", "book_url").agg(F.count(F.lit(1)).alias("n_chapters"))
     text = F.when(F.col("run_id") % 2 == 0, "").otherwise(F.concat(F.lit("body "), F.col("run_id").cast("string")))
     bodies = chapters.select("source_url", "book_url", "idx", text.alias("content"))
-    out = J.fallback_body(failed, ranked, toc, bodies)
+    out = J.fallback_body(tried, toc, bodies)
     return out.withColumn("idx", F.col("idx").cast("int"))
 
 
