@@ -126,7 +126,7 @@ def test_health_stream_over_batches(spark, tmp_path):
 
 def test_dead_stream_over_batches(spark, tmp_path):
     rows = make_log(9, 900, lambda r: 1)
-    out = ST.dead_host_stream(split_stream(spark, tmp_path, rows, SCHEMA, 3), str(tmp_path / "s"))
+    out = ST.dead_host_stream(split_stream(spark, tmp_path, rows, SCHEMA, 3), str(tmp_path / "s"), 3600)
     assert {r["seq"]: (r["dead"], r["plain_http"]) for r in out.collect()} == plain_dead(rows, 300, 1800)
 
 
@@ -138,7 +138,7 @@ def test_dead_stream_with_late_rows_and_restart(spark, tmp_path):
     stream = split_stream(spark, tmp_path, rows, SCHEMA, 4)
     want = {0: False, 1: False, 2: True, 3: False}
     for _ in range(2):  # the second run has no new data
-        assert {r["seq"]: r["dead"] for r in ST.dead_host_stream(stream, folder).collect()} == want
+        assert {r["seq"]: r["dead"] for r in ST.dead_host_stream(stream, folder, 3600).collect()} == want
 
 
 def test_health_stream_restarts(spark, tmp_path):
@@ -177,3 +177,75 @@ def test_progress_stream_over_batches(spark, tmp_path):
     want = J.recent_items(spark.createDataFrame(rows, schema), 3, **opts)
     key = lambda df: sorted((r["user_id"], r["item"], r["chapter_index"], r["place"]) for r in df.collect())
     assert key(out) == key(want) and len(key(want)) == 12
+
+
+def test_merge_state_ends_with_the_watermark(spark, tmp_path):
+    from webtables.operators.merge import merge_hits
+
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [(at(h), f"Title {h % 7}", f"u{h}") for h in range(0, 400)]
+    late = [(at(1), "Title 1", "too late"), (at(405), "Title 0", "u405"), (at(398), "Title 6", "in time"), (at(406), "", "blank")]
+    schema = "arrival timestamp, name string, book_url string"
+    stream, progress = split_stream(spark, tmp_path, rows, schema, 4), []
+    merge = lambda: ST.merge_hits_stream(stream, str(tmp_path / "s"), lateness="2 hours", span="1 day", progress=progress)
+    merge()
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "f9"))
+    for _ in range(2):  # a restart with late rows, and one without data
+        out = merge()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    want = merge_hits(spark.createDataFrame(rows + late[1:], schema))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert max(kept) <= 7 * 7 and kept[-1] <= 14  # a row per title and open day, of 17 days
+
+
+def test_streams_without_data(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = lambda schema: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    folder = lambda n: str(tmp_path / n)
+    reads = stream("source_url string, chapters boolean")
+    made = [
+        ST.health_stream(stream(SCHEMA), folder("a")), ST.health_stream(stream(SCHEMA), folder("b"), reads=reads),
+        ST.dead_host_stream(stream(SCHEMA), folder("c"), 60), ST.deadline_stream(stream(SCHEMA), folder("d")),
+        ST.merge_hits_stream(stream("arrival timestamp, name string, book_url string"), folder("e"), lateness="1 hour"),
+        ST.progress_stream(stream("user_id long, item string, updated_at timestamp"), folder("f"), item=["item"])]
+    assert [df.count() for df in made] == [0] * 6
+
+
+def test_health_and_reads_over_batches(spark, tmp_path):
+    rows = make_log(8, 600, lambda r: r.randrange(5000))
+    rng = random.Random(2)
+    opened = [(rng.choice([rows[0][1], rows[5][1], "only read"]), rng.random() < 0.5) for _ in range(200)]
+    stream = split_stream(spark, tmp_path, rows, SCHEMA, 5)
+    reads = split_stream(spark, tmp_path / "r", opened, "source_url string, chapters boolean", 3)
+    got = {r["source_url"]: r for r in ST.health_stream(stream, str(tmp_path / "s"), reads=reads, every=2).collect()}
+    columns = spark.createDataFrame(rows, SCHEMA)
+    health = {r["source_url"]: r for r in H.fold_health(columns).collect()}
+    read = {r["source_url"]: r for r in H.fold_reads(spark.createDataFrame(opened, "source_url string, chapters boolean")).collect()}
+    assert set(got) == set(health) | set(read)
+    for site, row in got.items():
+        assert (row["read_ok"], row["read_fail"]) == ((read[site]["read_ok"], read[site]["read_fail"]) if site in read else (0, 0))
+        assert (row["ok"], row["fail"], row["avg_ms"]) == ((health[site]["ok"], health[site]["fail"], health[site]["avg_ms"]) if site in health else (0, 0, 0))
+    kept = sorted(p.name for p in (tmp_path / "s" / "state").iterdir())
+    assert len(kept) < 8 and any(n.startswith("full=") for n in kept)
+
+
+def test_short_lists_answer_every_exclusion(spark):
+    from webtables.operators import merge as M
+
+    rng = random.Random(5)
+    rows = [(k, f"s{rng.randrange(6)}", f"u{rng.randrange(5)}", rng.randrange(40)) for k in range(12) for _ in range(rng.randrange(1, 25))]
+    members = spark.createDataFrame(rows, "key long, source_url string, book_url string, arrival long")
+    ranks = spark.createDataFrame([(f"s{i}", i % 3) for i in range(5)], "source_url string, reading_rank int")
+    failed = [(k, f"s{s}", f"u{u}", 100 * s + u, 9) for k in range(12) for s in range(6) for u in range(5)]
+    lost = spark.createDataFrame(failed, "key long, source_url string, book_url string, chapter_index int, n_chapters int")
+    registry = spark.createDataFrame([(f"s{i}",) for i in range(5)], "source_url string")
+    got = {(r["key"], r["chapter_index"], r["try"]): (r["source_url"], r["book_url"]) for r in M.fallback_offers(members, ranks, lost, registry, 3, tie=("source_url", "book_url")).collect()}
+    want = {}
+    for k, s, u, case, _ in failed:
+        best = {}
+        for key, site, url, at in rows:
+            if key == k and site not in (s, "s5") and url != u:
+                best[site, url] = min(best.get((site, url), (99, 99)), (int(site[1]) % 3, at))
+        for n, (o, offer) in enumerate(sorted((o, offer) for offer, o in best.items())[:3], 1):
+            want[k, case, n] = offer
+    assert got == want

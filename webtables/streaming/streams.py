@@ -1,9 +1,10 @@
 """Streaming forms of the merge, health, dead-host, deadline and progress operators.
 
-Keyed state lives either in Spark's state store (merge) or in a snapshot table written once per
-micro-batch: batch ``n`` reads the snapshot of batch ``n - 1`` and overwrites its own folder, so a
-batch replayed after a failure gives the same result. A batch is reduced with the batch operators,
-which split hot keys; no per-key Python state is involved.
+Keyed state lives in Spark's state store (merge), where it ends with the watermark, or in tables written once per
+micro-batch. Large states are delta logs: a batch writes the keys it changed, and every few batches the log is compacted. A batch
+replayed after a failure reads what was there before it and overwrites its own folder, so it gives the same result. A
+batch is reduced with the batch operators, which split hot keys; no per-key Python state is involved. A run that
+finds no data gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from webtables.functions.text import title_key
-from webtables.operators.health import apply_deadline, flag_dead, fold_health, open_windows
+from webtables.operators.health import apply_deadline, flag_dead, fold_health, fold_reads, open_windows
 from webtables.operators.joins import recent_items
 from webtables.session import ensure_checkpoint_dir
 
@@ -35,22 +37,69 @@ def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     return spark.read.parquet(target) if fs.exists(location) else None
 
 
-def newest_batch(spark: SparkSession, path: str) -> DataFrame:
-    """The table of the newest batch that was written to its end; a run without new data writes none."""
+def _listed(spark: SparkSession, path: str, kind: str = "batch") -> dict[int, str]:
+    """Folders ``kind=n`` under a path that were written to their end, by n; none if there is no such path."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath().getName() for f in fs.listStatus(root)]
-    done = [int(n[6:]) for n in found if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/batch={max(done)}")
+    if not fs.exists(root):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(root)]
+    found = {int(n.split("=")[1]): f"{path}/{n}" for n in names if n.startswith(f"{kind}=")}
+    return {n: f for n, f in found.items() if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))}
 
 
-def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+def read_all(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All batches of a table with their number; an empty table before the first."""
+    schema = StructType([*schema.fields, *StructType.fromDDL("batch int").fields])
+    return spark.read.schema(schema).option("basePath", path).parquet(*_listed(spark, path).values()) if _listed(spark, path) else spark.createDataFrame([], schema)
+
+
+class DeltaLog:
+    """Rows of keys that change batch by batch: a batch writes all rows of the keys it changed, ``delta=n``.
+
+    The rows of a key are those of the newest batch that wrote it. Every ``every`` batches the log is written whole, ``full=n``,
+    and what lies before the full table before that one goes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, every: int = 10):
+        self.spark, self.path, self.keys, self.schema, self.every = spark, path, list(keys), schema, every
+
+    def before(self, batch: int, touched: DataFrame | None = None) -> DataFrame:
+        """The rows as they were before a batch, of the ``touched`` keys only where these are given."""
+        full = {n: f for n, f in _listed(self.spark, self.path, "full").items() if n < batch}
+        base = max(full, default=-1)
+        deltas = {n: f for n, f in _listed(self.spark, self.path, "delta").items() if base < n < batch}
+        used = deltas | ({base: full[base]} if full else {})
+        parts = [self.spark.read.schema(self.schema).parquet(f).withColumn("_batch", F.lit(n).cast("long")) for n, f in used.items()]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        if touched is not None:
+            rows = rows.join(touched, self.keys, "left_semi")
+        newest = rows.groupBy(*self.keys).agg(F.max("_batch").alias("_newest"))
+        return rows.join(newest, self.keys).filter("_batch = _newest").select(*self.schema.names)
+
+    def write(self, batch: int, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/delta={batch}")
+        if batch % self.every == self.every - 1:
+            self.before(batch + 1).write.mode("overwrite").parquet(f"{self.path}/full={batch}")
+            older = sorted(n for n in _listed(self.spark, self.path, "full") if n < batch)
+            for kind in ("full", "delta"):
+                drop_batches(self.spark, self.path, older[-1] if older else 0, kind)
+
+    def now(self) -> DataFrame:
+        return self.before(1 << 62)
+
+
+def drop_batches(spark: SparkSession, path: str, before: int, kind: str = "batch") -> None:
     """Remove snapshots older than batch ``before``; a repeated batch still finds the one it builds on."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for found in fs.listStatus(root):
         name = found.getPath().getName()
-        if name.startswith("batch=") and int(name[6:]) < before:
+        if name.startswith(f"{kind}=") and int(name.split("=")[1]) < before:
             fs.delete(found.getPath(), True)
 
 
@@ -59,65 +108,93 @@ def _write(df: DataFrame, path: str, batch: int) -> None:
 
 
 def run_available(
-    stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, mode: str = "append"
-) -> int:
-    """Process everything available through ``step`` and return the number of the last batch."""
+    stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, mode: str = "append", progress: list | None = None
+) -> None:
+    """Process everything available through ``step``; ``progress`` receives what Spark says of each batch."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(step)
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    progress = query.lastProgress
-    return progress["batchId"] if progress else 0
+    if progress is not None:
+        progress.extend(query.recentProgress)
 
 
 def merge_hits_stream(
     hits: DataFrame, folder: str, arrival: str = "arrival", name: str = "name", url: str = "book_url",
-    by: Sequence[str] = (), lateness: str | None = None,
+    by: Sequence[str] = (), lateness: str | None = None, span: str = "1 day", progress: list | None = None,
 ) -> DataFrame:
-    """Works growing as sites report, in update mode: the name stays that of the first arrival.
+    """Works growing as sites report: the name stays that of the first arrival.
 
-    With ``lateness`` the arrival column is watermarked and grouped by run, which bounds the state.
+    With ``lateness`` a work is kept as one state row per ``span`` of arrivals; the row leaves the state once the watermark, ``lateness`` behind
+    the newest arrival, has passed its span, and its last update stays in the table of results. Hits that come later than that are
+    left out. Without ``lateness`` the state has a row per work for good, and nothing is late.
     """
     spark = hits.sparkSession
     usable = (F.coalesce(F.col(name), F.lit("")) != "") & (F.coalesce(F.col(url), F.lit("")) != "")
     valid = hits.filter(usable).withColumn("key", title_key(name)).filter("key <> ''")
+    spans = []
     if lateness:
         valid = valid.withWatermark(arrival, lateness)
-    grouped = valid.groupBy(*by, "key").agg(
+        spans = [F.window(arrival, span).alias("span")]
+    grouped = valid.groupBy(*by, "key", *spans).agg(
         F.min_by(F.col(name), F.struct(arrival, name)).alias("name"),
         F.count(F.lit(1)).alias("offers"),
         F.min(arrival).alias("first_arrival"),
     )
     out = f"{folder}/out"
-    run_available(grouped, lambda df, n: _write(df, out, n), folder, "update")
-    return latest(spark, out, [*by, "key"])
+    run_available(grouped, lambda df, n: _write(df, out, n), folder, "update", progress)
+    newest = latest(read_all(spark, out, grouped.schema), [*by, "key", *(["span"] if lateness else [])])
+    if not lateness:
+        return newest
+    return newest.groupBy(*by, "key").agg(
+        F.min_by("name", F.struct("first_arrival", "name")).alias("name"), F.sum("offers").alias("offers"), F.min("first_arrival").alias("first_arrival"))
 
 
-def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest row per key of a table of updates."""
-    updates = spark.read.parquet(path)
     values = [c for c in updates.columns if c not in (*keys, "batch")]
     newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("v"))
     return newest.select(*keys, "v.*")
 
 
-def health_stream(attempts: DataFrame, folder: str, seconds: int = 3600) -> DataFrame:
-    """Health of every site kept across batches; the result is the last snapshot."""
-    spark, out = attempts.sparkSession, f"{folder}/out"
+HEALTH = StructType([StructField(n, t) for n, t in (
+    ("source_url", StringType()), ("ok", LongType()), ("fail", LongType()), ("last_ok", TimestampType()), ("last_try", TimestampType()),
+    ("avg_ms", LongType()), ("read_ok", LongType()), ("read_fail", LongType()))])
+
+
+def health_stream(attempts: DataFrame, folder: str, seconds: int = 3600, reads: DataFrame | None = None, every: int = 10, progress: list | None = None) -> DataFrame:
+    """Health of every site kept across batches, from a stream of attempts and, with ``reads(source_url, chapters)``, one of read outcomes.
+
+    Both streams change one state, a row per site: the counts, last times and average of ``fold_health`` and the outcomes of ``fold_reads``. A
+    batch reads and writes the sites it has rows of. Attempts of a later batch are taken to be later.
+    """
+    spark = attempts.sparkSession
+    own = ["source_url", "ts", "seq", "reachable", "had_results", "ms"]
+    log = DeltaLog(spark, f"{folder}/state", ["source_url"], HEALTH, every)
+    rows = attempts.select(*own, F.lit(None).cast("boolean").alias("chapters"))
+    if reads is not None:
+        rows = rows.unionByName(reads.select("source_url", F.coalesce("chapters", F.lit(False)).alias("chapters")), allowMissingColumns=True)
 
     def step(df: DataFrame, n: int) -> None:
-        _write(fold_health(df, read_batch(df.sparkSession, out, n - 1), seconds=seconds), out, n)
-        drop_batches(df.sparkSession, out, n - 1)
+        touched = df.select("source_url").distinct()
+        prior = log.before(n, touched)
+        folded = fold_health(df.filter("chapters IS NULL").select(*own), prior.select(*HEALTH.names[:6]), seconds=seconds)
+        opened = fold_reads(df.filter("chapters IS NOT NULL").select("source_url", "chapters")).unionByName(prior.select("source_url", "read_ok", "read_fail"))
+        opened = opened.groupBy("source_url").agg(F.sum("read_ok").alias("read_ok"), F.sum("read_fail").alias("read_fail"))
+        joined = folded.join(opened, "source_url", "full_outer")
+        log.write(n, joined.select("source_url", *[F.coalesce(c, F.lit(0)).alias(c) if c not in ("last_ok", "last_try") else F.col(c) for c in HEALTH.names[1:]]))
 
-    run_available(attempts, step, folder)
-    return newest_batch(spark, out)
+    run_available(rows, step, folder, progress=progress)
+    now = log.now()
+    return now if reads is not None else now.drop("read_ok", "read_fail")
 
 
-def dead_host_stream(attempts: DataFrame, folder: str, lateness: int = 3600) -> DataFrame:
+def dead_host_stream(attempts: DataFrame, folder: str, lateness: int) -> DataFrame:
     """Attempts flagged against earlier failures of this and earlier batches.
 
-    The state holds the windows that can still matter to attempts up to ``lateness`` seconds late.
+    The state holds the windows that can still matter to attempts up to ``lateness`` seconds late; a later attempt misses
+    those already dropped.
     """
     spark, out, state = attempts.sparkSession, f"{folder}/out", f"{folder}/state"
 
@@ -136,13 +213,15 @@ def dead_host_stream(attempts: DataFrame, folder: str, lateness: int = 3600) ->
         drop_batches(session, state, n - 1)
 
     run_available(attempts, step, folder)
-    return spark.read.parquet(out).drop("batch", "opens_dead", "opens_http")
+    flags = StructType.fromDDL("dead boolean, plain_http boolean, opens_dead timestamp, opens_http timestamp")
+    return read_all(spark, out, StructType([*attempts.schema.fields, *flags.fields])).drop("batch", "opens_dead", "opens_http")
 
 
-def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: int | None = None) -> DataFrame:
+def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: int = 86400) -> DataFrame:
     """Attempts marked timed out against the start of their run, which may lie in an earlier batch.
 
-    With ``idle`` a run without an attempt for so many seconds ends and leaves the state.
+    A run without an attempt for ``idle`` seconds beyond its budget, by the newest attempt of any run, ends and leaves the state; an
+    attempt after that starts a new one.
     """
     spark, out, state = attempts.sparkSession, f"{folder}/out", f"{folder}/state"
 
@@ -153,7 +232,7 @@ def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: in
         if before is not None:
             now = now.unionByName(before).groupBy("run_id").agg(F.min("started").alias("started"), F.max("seen").alias("seen"))
         newest = df.agg(F.max("ts")).first()[0]
-        if idle is not None and newest is not None:
+        if newest is not None:
             now = now.filter(F.col("seen") >= F.lit(newest) - F.expr(f"interval {int(idle + budget)} seconds"))
         _write(now, state, n)
         begun = session.read.parquet(f"{state}/batch={n}").select("run_id", "started")
@@ -163,18 +242,19 @@ def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: in
         drop_batches(session, state, n - 1)
 
     run_available(attempts, step, folder)
-    return spark.read.parquet(out).drop("batch")
+    first = [f for f in attempts.schema.fields if f.name == "run_id"]
+    rest = [f for f in attempts.schema.fields if f.name != "run_id"]
+    return read_all(spark, out, StructType([*first, *rest, *StructType.fromDDL("started timestamp, outcome string").fields])).drop("batch")
 
 
-def progress_stream(log: DataFrame, folder: str, k: int = 200, **columns) -> DataFrame:
-    """Latest position per item, the newest ``k`` per user; the result is the last snapshot."""
-    spark, out = log.sparkSession, f"{folder}/out"
+def progress_stream(log: DataFrame, folder: str, k: int = 200, user: str = "user_id", every: int = 10, progress: list | None = None, **columns) -> DataFrame:
+    """Latest position per item, the newest ``k`` per user, kept across batches. A batch reads and writes the users it has rows of."""
+    schema = StructType([*log.schema.fields, *StructType.fromDDL("place int").fields])
+    state = DeltaLog(log.sparkSession, f"{folder}/state", [user], schema, every)
 
     def step(df: DataFrame, n: int) -> None:
-        before = read_batch(df.sparkSession, out, n - 1)
-        merged = df if before is None else df.unionByName(before.select(*df.columns))
-        _write(recent_items(merged, k, **columns), out, n)
-        drop_batches(df.sparkSession, out, n - 1)
+        prior = state.before(n, df.select(user).distinct())
+        state.write(n, recent_items(df.unionByName(prior.select(*df.columns)), k, user=user, **columns))
 
-    run_available(log, step, folder)
-    return newest_batch(spark, out)
+    run_available(log, step, folder, progress=progress)
+    return state.now()
