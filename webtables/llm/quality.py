@@ -89,7 +89,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     """
     sizes = rows.filter("NOT base_failed").groupBy("l", "s").agg(F.count(F.lit(1)).alias("n"))
     in_language, in_all = Window.partitionBy("l"), Window.partitionBy(F.lit(1))
-    whole, corpus = F.concat_ws("\x01", F.lit("whole"), "l"), F.when(F.sum("n").over(in_all) >= MIN_ROWS, F.lit("corpus"))
+    whole, corpus = F.concat_ws("\x01", F.lit("whole"), "l"), F.lit("corpus")
     own = sizes.withColumn("g", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\x01", F.lit("source"), "l", "s")))
     left = F.sum(F.when(F.col("g").isNull(), F.col("n")))
     rest = own.select("*", left.over(in_language).alias("left"), F.sum("n").over(in_language).alias("language")).withColumn("g", F.coalesce("g", F.when(
@@ -176,8 +176,7 @@ def verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     concentration steps towards the 75 % of a group with the smallest covariance determinant. Each dimension has
     a least spread, so a group whose core agrees in a statistic still has an inverse. Languages and sources with
     under ``MIN_ROWS`` such documents are judged with the rest of their language; where the rest is that small too, by
-    all documents of the language, else by the rest of all languages, else by all documents. Only in a table
-    with fewer in all no document is rejected by distance.
+    all documents of the language, else by the rest of all languages, else by all documents, however few these are.
 
     Null texts have no words; null languages and sources are groups of their own; repeated rows count as often as
     they come. An empty table gives an empty result; columns but doc_id, text, lang and source are not read.

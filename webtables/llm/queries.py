@@ -126,7 +126,7 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_line_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return line_runs.drop_repeated_runs(table(spark, sf, "documents"), min_lines=2).select(
+    return line_runs.drop_repeated_runs(table(spark, sf, "documents"), min_lines=2, long_words=20).select(
         "doc_id", "_lines.n_lines", "_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -136,7 +136,10 @@ l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 p AS (SELECT doc_id, s, line, lead(line) OVER (PARTITION BY doc_id ORDER BY s) AS following FROM c),
 r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, s) AS n FROM p WHERE following IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS s FROM r WHERE n > 1),
+o AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY line ORDER BY doc_id, s) AS n FROM c
+  WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20),
+gone AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS s FROM r WHERE n > 1 UNION SELECT doc_id, s FROM o WHERE n > 1),
 lost AS (SELECT doc_id, i FROM c JOIN gone USING (doc_id, s)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM l ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, len(ls)::BIGINT AS n_lines, len(ls) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
