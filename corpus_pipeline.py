@@ -19,15 +19,27 @@ NEAR = {"width": 5, "radius": 22, "most": 54, "similarity": Similarity(8, 10)}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, unchanged."""
+    """The documents that the quality rules keep, unchanged.
+
+    Documents are known by doc_id and text. Null, empty and blank texts have under ten words and go. Null ids, languages
+    and sources are values like others; rows that repeat a doc_id and a text stay or go together, also where their
+    language or source differs. Texts of any length are read whole. Ties cannot arise: a verdict is a threshold. An empty table gives an
+    empty result; other columns pass as they are, whatever their names.
+    """
     out = quality.verdicts(docs).filter("kept").select(F.col("doc_id").alias("v_id"), F.col("th").alias("v_th")).distinct().hint("merge")
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(out, docs["doc_id"].eqNullSafe(out["v_id"]) & (th == out["v_th"]), "left_semi")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; the later copies of repeated line runs are gone from their texts."""
-    return line_runs.drop_repeated_runs(docs, min_lines=2).drop("_lines").withColumn("n_chars", F.length("text").cast("long"))
+    """All documents; the later copies of repeated line runs and long lines are gone from their texts, n_chars is that of the text left.
+
+    Null texts stay null, with a null n_chars; empty and blank ones have no line to lose. Of equal runs the one in the smallest doc_id stays
+    (null ids last; of one id, the text with the smaller hash; inside a text, the first). Rows that repeat a doc_id and a text are one document
+    and keep the same lines. A text may end up empty and stays a row. An empty table gives an empty result; other
+    columns pass as they are, whatever their names.
+    """
+    return line_runs.drop_repeated_runs(docs, min_lines=2, long_words=20).drop("_lines").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +55,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
+    """Every document as many times as the mix takes it.
+
+    Null texts have size 0; documents of size 0 are never taken. Null sources are one source, the last. Documents of one place in the order of hashes are
+    taken together. Rows that repeat a doc_id and source are each taken as often as the mix says. Texts of any length count whole. An empty
+    table gives an empty result; other columns pass as they are, whatever their names.
+    """
     taken = mixing.mix(docs).filter("taken > 0").select(
         F.col("doc_id").alias("v_id"), F.col("source").alias("v_source"), F.expr("taken div size").cast("int").alias("v_times")).distinct().hint("merge")
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of theirs clashes
@@ -53,7 +70,11 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes; one row per document taken."""
+    """Token counts and digests of the ids and of the decoded bytes; one row per document taken.
+
+    Null and empty texts have no tokens; ids may be null or repeat and come out as often as they come in; texts of any length are encoded
+    whole; of two merges of one rank the left one is first. An empty table gives an empty result; other columns are not read.
+    """
     return bpe.round_trip(docs, tokenizer())
 
 
