@@ -235,44 +235,91 @@ def extract_records(
     return out.withColumn("pos", spot).select("page_id", "pos", *fields)
 
 
+#: Columns of a rule step and their types; those a rules table lacks are null.
+RULE_COLUMNS = {
+    "site": "string", "field": "string", "step": "int", "child": "boolean", "tag": "string", "cls": "string", "id": "string", "attr": "string",
+    "op": "string", "value": "string", "kind": "string", "nth": "int", "skip": "array<int>", "absolute": "boolean",
+}
+
+
+def site_rules(rules: DataFrame) -> DataFrame:
+    """One row per site: its steps, and an index from what a step asks of a node (id, else class, else tag, else anything) to steps."""
+    have = rules.select(*[(F.col(c) if c in rules.columns else F.lit(None)).cast(t).alias(c) for c, t in RULE_COLUMNS.items()])
+    longest = have.groupBy("site", "field").agg(F.max("step").alias("last_step"))
+    key = F.coalesce(
+        F.concat(F.lit("#"), "id"), F.concat(F.lit("."), F.lower("cls")), F.when(F.col("tag") != "*", F.concat(F.lit("t"), F.lower("tag"))), F.lit("*"))
+    parts = [c for c in RULE_COLUMNS if c != "site"]
+    steps = F.array_sort(F.collect_list(F.struct(*parts, "last_step", key.alias("key"))))
+    listed = have.join(longest, ["site", "field"]).groupBy("site").agg(steps.alias("_steps"))
+    keys = F.array_distinct(F.col("_steps.key"))
+    places = F.transform(F.col("_keys"), lambda k: F.filter(F.transform("_steps", lambda s, i: F.when(s["key"] == k, i)), lambda i: i.isNotNull()))
+    return listed.withColumn("_keys", keys).select("site", "_steps", F.map_from_arrays("_keys", places).alias("_index"))
+
+
+def _matching_steps() -> Column:
+    """The steps of a node's site that the node passes: looked up by its id, classes and tag, then tested in full."""
+    keys = F.concat(
+        F.array(F.lit("*"), F.concat(F.lit("t"), "tag")), F.array_compact(F.array(F.concat(F.lit("#"), "id"))),
+        F.transform(F.array_distinct("classes"), lambda c: F.concat(F.lit("."), F.lower(c))))
+    found = F.flatten(F.transform(F.array_distinct(keys), lambda k: F.coalesce(F.try_element_at("_index", k), F.array().cast("array<int>"))))
+
+    def fits(s: Column) -> Column:
+        value = F.try_element_at("attrs", F.lower(F.coalesce(s["attr"], F.lit(""))))
+        attr = (
+            F.when(s["attr"].isNull(), True)
+            .when(s["op"].isNull(), value.isNotNull())
+            .when(s["op"] == "=", value == s["value"])
+            .when(s["op"] == "*=", F.contains(value, s["value"]))
+            .when(s["op"] == "^=", F.startswith(value, s["value"]))
+            .when(s["op"] == "$=", F.endswith(value, s["value"]))
+        )
+        tag = s["tag"].isNull() | (s["tag"] == "*") | (F.lower(s["tag"]) == F.col("tag"))
+        cls = s["cls"].isNull() | F.exists("classes", lambda c: F.lower(c) == F.lower(s["cls"]))
+        return tag & cls & (s["id"].isNull() | F.coalesce(s["id"] == F.col("id"), F.lit(False))) & F.coalesce(attr, F.lit(False))
+
+    return F.filter(F.transform(found, lambda i: F.get("_steps", i)), fits)
+
+
+def _picked(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Rows left by ``nth`` (negative from the end) and ``skip`` of their rule, by position inside the scope."""
+    group = Window.partitionBy(*scope)
+    placed = rows.withColumn("_at", F.row_number().over(group.orderBy("pre")) - 1).withColumn("_of", F.count(F.lit(1)).over(group))
+    wanted = F.when(F.col("nth").isNotNull(), F.col("_at") == F.when(F.col("nth") < 0, F.col("nth") + F.col("_of")).otherwise(F.col("nth")))
+    return placed.filter(wanted.otherwise(~F.coalesce(F.array_contains("skip", F.col("_at")), F.lit(False)))).drop("_at", "_of")
+
+
 def extract_many(
     pages: DataFrame,
     rules: DataFrame,
     fields: Sequence[str],
     site: ColumnLike | None = None,
-    text_for: Sequence[str] = ("*",),
+    text_for: Sequence[str] | None = None,
     page_id: str = "page_id",
     html: str = "html",
     url: str = "url",
 ) -> DataFrame:
     """Records of many sites, each with its own rules, in one job.
 
-    ``rules`` holds one row per step: site, field, step, child, tag, cls, attr, op, value, kind. The field
-    ``row`` selects the record nodes; the others are read inside each record (or from the record itself).
-    The number of rounds is the length of the longest selector, whatever the number of sites.
+    ``rules`` holds one row per step (``RULE_COLUMNS``). The field ``row`` selects the record nodes; the others are read inside each record (or
+    from the record itself), all values a line each. ``nth`` and ``skip`` of a field's last step pick by position: of rows in the page, of values in
+    the record. ``absolute`` values are made absolute against the page's url.
+
+    Pages meet the rules once, by site, before they are parsed; every node looks its steps up in the index of its page's row, so no
+    join of nodes with steps takes place, and nodes that pass no step are gone before the first shuffle. The number of rounds is the
+    length of the longest selector, whatever the number of sites. Subtree texts are kept for the tags that some rule reads the text
+    of (``text_for`` sets them).
     """
     rules = settle(rules)  # a stored table has a true size: Spark broadcasts it below its threshold only
-    routed = pages.withColumn("site", host_of(url) if site is None else as_col(site))
-    wanted = rules.select("site").distinct()
-    nodes = shred(routed.join(wanted, "site", "left_semi"), page_id, html, text_for=text_for, keep=["site"])
-    longest = rules.groupBy("site", "field").agg(F.max("step").alias("last_step"))
-    steps = rules.join(longest, ["site", "field"])
-    has = F.exists("classes", lambda c: F.lower(c) == F.lower(F.col("cls")))
-    found = F.try_element_at("attrs", F.coalesce("attr", F.lit("")))
-    attr_ok = (
-        F.when(F.col("attr").isNull(), True)
-        .when(F.col("op").isNull(), found.isNotNull())
-        .when(F.col("op") == "=", found == F.col("value"))
-        .when(F.col("op") == "*=", F.contains(found, F.col("value")))
-        .when(F.col("op") == "^=", F.startswith(found, F.col("value")))
-        .when(F.col("op") == "$=", F.endswith(found, F.col("value")))
-    )
-    fits = (F.col("rule_tag").isNull() | (F.col("rule_tag") == F.col("tag"))) & (F.col("cls").isNull() | has)
-    matched = nodes.join(steps.withColumnRenamed("tag", "rule_tag"), "site").filter(
-        fits & F.coalesce(attr_ok, F.lit(False))
-    )
+    if text_for is None:  # the distinct tags of all rules
+        read = rules.filter("lower(kind) = 'text'").select(F.lower(F.coalesce("tag", F.lit("*"))).alias("t")).distinct()
+        text_for = sorted(r["t"] for r in read.collect())
+    routed = pages.withColumn("site", host_of(url) if site is None else as_col(site)).join(site_rules(rules), "site")
+    nodes = shred(routed, page_id, html, text_for=text_for, keep=["site", url, "_steps", "_index"])
+    own = [c for c in nodes.columns if c not in ("_steps", "_index")]
+    roles = nodes.select(*own, F.explode(_matching_steps()).alias("_role")).select(
+        *[F.col(c).alias("url_of_page" if c == url else c) for c in own], *[F.col(f"_role.{c}").alias(c) for c in ("field", "step", "last_step", "child", "kind", "nth", "skip", "absolute")])
     rounds = rules.agg(F.max("step")).first()[0] or 0
-    done = chain(matched, ["page_id", "field"], rounds, [F.col("child")] * (rounds + 1))
+    done = chain(roles, ["page_id", "field"], rounds, [F.coalesce("child", F.lit(False))] * (rounds + 1))
     final = done.filter(F.col("_hit") & (F.col("step") == F.col("last_step")))
     parts = F.transform("own_text_parts", lambda p: p["txt"])
     value = (
@@ -280,11 +327,12 @@ def extract_many(
         .when(F.lower("kind") == "owntext", collapse_ws(F.array_join(parts, "")))
         .otherwise(F.coalesce(F.try_element_at("attrs", F.lower("kind")), F.lit("")))
     )
-    final = settle(final.select("page_id", "site", "field", "pre", "post", value.alias("v")))
-    records = final.filter("field = 'row'").select("page_id", "site", F.col("pre").alias("row_pre"),
-                                                   F.col("post").alias("row_post"))
+    value = F.when(F.coalesce("absolute", F.lit(False)) & (value != ""), abs_url("url_of_page", value)).otherwise(value)
+    final = settle(final.select("page_id", "site", "field", "pre", "post", "nth", "skip", value.alias("v")))
+    records = _picked(final.filter("field = 'row'"), ["page_id"]).select("page_id", "site", F.col("pre").alias("row_pre"), F.col("post").alias("row_post"))
     inside = enclosing(
-        final.filter("field <> 'row' and v <> ''").select("page_id", "field", "pre", "v"), records, ["site", "row_pre"], "row_pre", "row_post", itself=True)
+        final.filter("field <> 'row'").select("page_id", "field", "pre", "nth", "skip", "v"), records, ["site", "row_pre"], "row_pre", "row_post", itself=True)
+    inside = _picked(inside, ["page_id", "row_pre", "field"]).filter("v <> ''")
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("pre", "v"))), lambda x: x["v"]), "\n"
     )

@@ -210,6 +210,33 @@ def extract_many_sites(spark, sf):
     return E.extract_many(pages, rules, ["name", "url"], text_for=["a", "h1"]).select("page_id", "site", "name", "url")
 
 
+def _lines(items: str) -> str:
+    return f"array_to_string(list_filter({items}, lambda x: x <> ''), chr(10))"
+
+
+_CLEAN = collapse_sql(entities_sql("x"))
+
+
+@catalog.add("x15_positions_and_urls", f"""
+WITH {_NAV_SQL}, h AS (SELECT *, {_HOST} AS site FROM flat),
+l AS (SELECT page_id, {_ORIGIN} AS origin, {_HOST} AS site, h, list_transform(t, lambda x: {_CLEAN}) AS t FROM links
+      JOIN (SELECT page_id, seg FROM nav) USING (page_id) WHERE seg LIKE '%<ul>%')
+SELECT page_id, site, {_LABEL} AS name, {_ORIGIN} || href AS url FROM h WHERE site LIKE '%.com' AND pos NOT IN (0, 2)
+UNION ALL
+SELECT page_id, site, coalesce(t[-1], ''), coalesce(origin || h[1], '') FROM l WHERE site NOT LIKE '%.com'""")
+def positions_and_urls(spark, sf):
+    pages = _pages(spark, sf)
+    sites = pages.select(U.host_of("url").alias("site")).distinct()
+    shape = "com boolean, field string, step int, child boolean, tag string, kind string, nth int, skip array<int>, absolute boolean"
+    rules = spark.createDataFrame([
+        (True, "row", 0, False, "nav", None, None, None, None), (True, "row", 1, False, "li", None, None, [0, 2], None),
+        (True, "name", 0, False, "a", "text", None, None, None), (True, "url", 0, False, "a", "href", None, None, True),
+        (False, "row", 0, False, "nav", None, None, None, None), (False, "row", 1, True, "ul", None, None, None, None),
+        (False, "name", 0, False, "a", "text", -1, None, None), (False, "url", 0, False, "a", "href", 0, None, True)], shape)
+    rules = sites.join(rules, F.col("site").endswith(".com") == F.col("com")).drop("com")
+    return E.extract_many(pages, rules, ["name", "url"]).select("page_id", "site", "name", "url")
+
+
 @catalog.add("x16_extract_toc", f"""
 WITH {_NAV_SQL}, n AS (SELECT page_id, pos, {_LABEL} AS name, {_ORIGIN} || href AS url FROM flat)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) - 1 AS idx, name, url, false AS vip
@@ -246,13 +273,6 @@ def routed_records(spark, sf):
         url_fields=["url"], name_fields=["name"])
 
 
-def _lines(items: str) -> str:
-    return f"array_to_string(list_filter({items}, lambda x: x <> ''), chr(10))"
-
-
-_CLEAN = collapse_sql(entities_sql("x"))
-
-
 @catalog.add("x14_field_forms", f"""
 WITH {_NAV_SQL}, l AS (SELECT page_id, h, list_transform(t, lambda x: {_CLEAN}) AS t FROM links JOIN (SELECT page_id, seg FROM nav) USING (page_id) WHERE seg LIKE '%<ul>%')
 SELECT page_id, 0::BIGINT AS pos, coalesce(t[1], '') AS first, coalesce(h[-1], '') AS last_href,
