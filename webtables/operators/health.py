@@ -20,11 +20,13 @@ _PREFIX = 96  # steps after which the start value no longer matters, up to a few
 _SPREAD = 64
 
 
-def classify_failure(error: ColumnLike, error_class: ColumnLike, code: ColumnLike) -> Column:
-    """``ok``, ``unreachable`` (says something about the site) or ``page``."""
+def classify_failure(error: ColumnLike, error_class: ColumnLike, code: ColumnLike, body: ColumnLike | None = None) -> Column:
+    """``ok``, ``unreachable`` (says something about the site) or ``page``. With ``body`` a fetch without one is not ok."""
     failed = as_col(error).isNotNull()
     network = failed & F.coalesce(as_col(error_class).rlike(UNREACHABLE), F.lit(False))
     usable = ~failed & (as_col(code) > 0) & (as_col(code) < 400)
+    if body is not None:
+        usable = usable & as_col(body).isNotNull()
     return F.when(network, "unreachable").when(F.coalesce(usable, F.lit(False)), "ok").otherwise("page")
 
 
@@ -40,6 +42,12 @@ def probe_summary(fetches: DataFrame, url: str = "url", ok: str = "ok", reason:
     )
 
 
+def probe_totals(fetches: DataFrame, ok: str = "ok") -> DataFrame:
+    """One row over all urls: usable answers, failures and tries."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    return fetches.agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("fail"), F.count(F.lit(1)).alias("total"))
+
+
 def fold_health(
     attempts: DataFrame, initial: DataFrame | None = None, source: str = "source_url", seconds: int = 3600,
     slice_rows: int = 100_000,
@@ -179,19 +187,22 @@ def prune_health(health: DataFrame, keep: int = 3000, source: str = "source_url"
 
 def flag_dead(
     attempts: DataFrame, host: str = "host", ts: str = "ts", seq: str = "seq", error_class: str = "error_class",
-    ttl: int = DEAD_TTL, https_ttl: int = HTTPS_BROKEN_TTL, initial: DataFrame | None = None,
+    ttl: int = DEAD_TTL, https_ttl: int = HTTPS_BROKEN_TTL, initial: DataFrame | None = None, message: str | None = None, cause: str | None = None,
 ) -> DataFrame:
     """Flag attempts made while an earlier failure of the host still counts.
 
     Refused, unreachable and slow hosts are ``dead`` for ``ttl`` seconds (expiry exclusive); a failed
-    handshake only sets ``plain_http`` for ``https_ttl``. Unresolved hosts are never remembered.
+    handshake only sets ``plain_http`` for ``https_ttl``. Unresolved hosts are never remembered. ``message`` may name a
+    handshake or certificate that the class does not; ``cause`` is the class of the wrapped failure, which tells unresolved and
+    refused hosts.
     ``initial(host, ts, seq, opens_dead, opens_http)``, the failures of earlier batches as :func:`open_windows` gives
     them, count like rows of this one: for later attempts only, up to their expiry.
     """
     cls = F.coalesce(F.col(error_class), F.lit(""))
-    unresolved = F.contains(cls, F.lit("UnknownHost"))
-    down = ~unresolved & cls.rlike("ConnectException|NoRouteToHost|SocketException")
-    tls = ~unresolved & ~down & F.contains(cls, F.lit("SSL"))
+    inner, said = (F.coalesce(F.col(c), F.lit("")) if c else F.lit("") for c in (cause, message))
+    unresolved = F.contains(cls, F.lit("UnknownHost")) | F.contains(inner, F.lit("UnknownHost"))
+    down = ~unresolved & (cls.rlike("ConnectException|NoRouteToHost|SocketException") | F.contains(inner, F.lit("ConnectException")))
+    tls = ~unresolved & ~down & (F.contains(cls, F.lit("SSL")) | said.rlike("SSL|Certificate"))
     slow = ~unresolved & ~down & ~tls & F.contains(cls, F.lit("SocketTimeout"))
     until = lambda cond, s: F.when(cond, F.col(ts) + F.expr(f"interval {int(s)} seconds"))
     width = max(ttl, https_ttl)

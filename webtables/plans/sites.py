@@ -282,6 +282,17 @@ def dead_intervals(spark, sf):
     return H.flag_dead(_attempts(spark, sf), ttl=21600, https_ttl=43200).select("seq", "host", "dead", "plain_http")
 
 
+@catalog.add("j07_dead_by_message_and_cause", f"WITH {DEAD_SQL} SELECT seq, host, dead, plain_http FROM flagged")
+def dead_by_message(spark, sf):
+    """The same failures told by message (handshakes) and by the wrapped failure (refused and unresolved hosts)."""
+    cls = F.coalesce("error_class", F.lit(""))
+    wrapped = cls.rlike("ConnectException|UnknownHost")
+    told = _attempts(spark, sf).select(
+        "*", F.when(F.contains(cls, F.lit("SSL")), "Certificate expired").alias("message"), F.when(wrapped, F.col("error_class")).alias("cause")).withColumn(
+        "error_class", F.when(wrapped | F.contains(cls, F.lit("SSL")), "java.io.IOException").otherwise(F.col("error_class")))
+    return H.flag_dead(told, ttl=21600, https_ttl=43200, message="message", cause="cause").select("seq", "host", "dead", "plain_http")
+
+
 @catalog.add("r08_defer_dead_hosts", f"""
 WITH {ATTEMPTS}, dead AS (SELECT DISTINCT host FROM attempts WHERE error_class LIKE '%UnknownHost%')
 SELECT run_id, seq, CAST(host IN (FROM dead) AS INT) AS deferred,
@@ -310,15 +321,22 @@ def probe_summary(spark, sf):
     return H.probe_summary(log, "source_url", "reachable", "reason").withColumnRenamed("reachable", "ok")
 
 
+@catalog.add("a13_probe_totals", f"""
+WITH {ATTEMPTS} SELECT count(*) FILTER (reachable) AS ok, count(*) FILTER (NOT reachable) AS fail, count(*) AS total FROM attempts""")
+def probe_totals(spark, sf):
+    return H.probe_totals(_attempts(spark, sf), "reachable")
+
+
 @catalog.add("a14_failure_classes", """
-SELECT CASE WHEN event_type = 'error' THEN 'unreachable' WHEN event_type = 'signup' THEN 'page' ELSE 'ok' END AS class,
+SELECT CASE WHEN event_type = 'error' THEN 'unreachable' WHEN event_type = 'signup' OR event_id % 7 = 0 THEN 'page' ELSE 'ok' END AS class,
        count(*) AS fetches FROM events GROUP BY 1""")
 def failure_classes(spark, sf):
     events = table(spark, sf, "events")
     log = attempts(events).withColumn("code", F.when(F.col("seq") >= 0, 200))
     kinds = log.join(events.select(F.col("event_id").alias("seq"), "event_type"), "seq")
     code = F.when(F.col("event_type") == "signup", 404).otherwise(200)
-    cls = H.classify_failure(F.when(~F.col("reachable"), F.col("error_class")), "error_class", code)
+    body = F.when(F.col("seq") % 7 != 0, F.lit("body"))
+    cls = H.classify_failure(F.when(~F.col("reachable"), F.col("error_class")), "error_class", code, body)
     return kinds.groupBy(cls.alias("class")).agg(F.count(F.lit(1)).alias("fetches"))
 
 
