@@ -438,11 +438,10 @@ def order_sections(entries: DataFrame, manifest: DataFrame, spine: DataFrame, mi
         F.struct(F.lit(4).alias("way"), F.lower(base(F.col("path"))).alias("k")),
     )
     left = refs.select("book_id", "pos", F.inline(ways))
-    right = entries.select("book_id", "path", "text", F.inline(names))
-    hit = left.join(right, ["book_id", "way", "k"]).groupBy("book_id", "pos").agg(
-        F.min_by(F.struct("path", "text"), F.struct("way", "path")).alias("s")
-    )
-    listed = hit.select("book_id", F.col("pos").cast("long").alias("pos"), "s.path", "s.text")
+    right = entries.select("book_id", "path", F.inline(names))  # paths only: texts join once, when the path is known
+    hit = left.join(right, ["book_id", "way", "k"]).groupBy("book_id", "pos").agg(F.min(F.struct("way", "path"))["path"].alias("path"))
+    texts = entries.select("book_id", "path", "text").dropDuplicates(["book_id", "path"])
+    listed = hit.join(texts, ["book_id", "path"]).select("book_id", F.col("pos").cast("long").alias("pos"), "path", "text")
     markup = F.lower("path").rlike("\\.(?:x?html?)$")
     plain = entries.join(refs.select("book_id").distinct(), "book_id", "left_anti").filter(markup)
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.lower("path"), "path"))
