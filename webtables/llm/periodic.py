@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -185,10 +184,6 @@ def collapse(words: list, runs: list[tuple[int, int, int]]) -> list:
     return [w for w, k in zip(words, kept.tolist(), strict=True) if k]
 
 
-def _digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
-
-
 def periodic_runs(docs: DataFrame, times: int = TIMES, min_length: int = MIN_LENGTH) -> DataFrame:
     """doc_id, n_words, runs (start, length, period by start, then period) and collapsed (text without repetitions) of every document.
 
