@@ -16,7 +16,7 @@ from webtables.plans import all_queries  # noqa: E402
 
 HEADLINE = [
     "x14_r03_nav_links_ranked", "x01_shred_tag_counts", "x02_select_nav_links", "x09_path_select", "x14_extract_records",
-    "x15_extract_many_sites", "x16_extract_toc", "x17_walk_pages", "x18_assemble_bodies", "x20_flatten_pages",
+    "x13_routed_records", "x14_field_forms", "x15_extract_many_sites", "x15_positions_and_urls", "x16_extract_toc", "x16_contents_over_pages", "x17_walk_pages", "x18_assemble_bodies", "x20_flatten_pages",
     "p10_clean_text", "p11_whitespace", "p12_format_paragraphs", "d01_decode_corpus", "d02_decode_quality",
     "d03_split_by_heading", "d04_split_by_chunk", "d05_split_documents", "d06_number_chapters", "d07_locate_positions",
     "s11_chapter_byte_index", "s07_upsert_registry", "a01_merge_hits", "a01_ordered_members", "a02_search_accounting",
