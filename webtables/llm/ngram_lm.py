@@ -26,7 +26,7 @@ HEAD_BITS = 1 << 26
 MAX_FREQUENT = 1 << 17
 CHUNK_BYTES = 2 << 20
 #: Training text per segment.
-PART_BYTES = 1 << 25
+PART_BYTES = 1 << 23
 #: Smallest count of each level, and the mean of the whole numbers of a level.
 LEVELS = np.ceil(1.5 ** np.arange(100)).astype(np.int64)
 MIDDLES = np.concatenate([[0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2])
@@ -141,7 +141,7 @@ def _count(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         n = 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=CHUNK_BYTES):
             own, sizes = tokens(raw_texts(batch))
             held[0].append(own)
             held[1].append(pairs(own, sizes))
