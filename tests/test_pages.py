@@ -207,3 +207,23 @@ def test_flatten_skips_and_headings(spark):
     row = N.flatten(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
     assert row["heading"] == "Head two"
     assert row["text"] == "Head\n\ntwo\n\none two\nthree"
+
+
+def test_records_of_odd_bodies(spark):
+    from webtables.operators import records as R
+
+    step = lambda tag, **k: N.Step(tag, **k)
+    bodies = spark.createDataFrame([
+        (1, "http://a.b/x/", '<div><p class="t">one <b>two</b></p><p>three</p></div><div><p></p></div>'), (2, "http://a.b/", ' \n{"list": [{"n": "x", "u": ["/1", "/2"]}, null, {"n": null}, "plain"]}'),
+        (3, "http://a.b/", "{not json"), (4, "http://a.b/", ""), (5, "http://a.b/", None), (6, "http://a.b/", "k=1;k=22;k="), (7, None, "<div><div><p>deep</p></div></div>"),
+    ], "page_id long, url string, html string")
+    p = (step("p"),)
+    html = R.Branch(R.HtmlRows((step("div"),)), {
+        "name": R.AnyOf((R.Css(p, index=5), R.Css((step("i"),)), R.Css(p, index=-1))), "url": R.Concat((R.Literal("n"), R.Replaced(R.Joined(R.Css(p), "+"), "[", "bad pattern")))})
+    json = R.Branch(R.JsonRows(("list",)), {"name": R.Json(("n",)), "url": R.Joined(R.Json(("u",)), "|")})
+    pattern = R.Branch(R.PatternRows("k=(\\d+)", 1), {"name": R.Fill("$1/$2"), "url": R.Fill("$0")})
+    got = sorted((r["page_id"], r["pos"], r["name"], r["url"]) for r in R.read_records(bodies, html, json, pattern).collect())
+    assert got == [
+        (1, 0, "three", "none two+three"), (1, 1, "", "n"), (2, 0, "x", "/1|/2"), (2, 1, "", ""), (2, 2, "", ""),
+        (6, 0, "1/$2", "k=1"), (6, 1, "22/$2", "k=22"), (7, 0, "deep", "ndeep"), (7, 1, "deep", "ndeep")]
+    assert R.read_records(bodies.limit(0), html, json, pattern).count() == 0
