@@ -249,3 +249,15 @@ def test_short_lists_answer_every_exclusion(spark):
         for n, (o, offer) in enumerate(sorted((o, offer) for offer, o in best.items())[:3], 1):
             want[k, case, n] = offer
     assert got == want
+
+
+def test_deadline_stream_counts_from_a_start_long_before_the_batch_ends(spark, tmp_path):
+    day = lambda d, h=0: T0 + timedelta(days=d, hours=h)
+    row = lambda run, at, seq: (run, "a", "a", at, seq, True, True, 0, None)
+    rows = [row(0, day(0), 0), row(1, day(0, 1), 1), row(0, day(0, 3), 2), row(2, day(10), 3)]
+    outcomes = lambda df: {r["seq"]: r["outcome"] for r in df.collect()}
+    out = ST.deadline_stream(split_stream(spark, tmp_path, rows, SCHEMA, 2), str(tmp_path / "s"), 7200)
+    assert outcomes(out) == {0: "run", 1: "run", 2: "timed out", 3: "run"}
+    again = rows + [row(0, day(20), 4), row(0, day(20, 3), 5)]
+    out = ST.deadline_stream(split_stream(spark, tmp_path / "idle", again, SCHEMA, 3), str(tmp_path / "t"), 7200, idle=86400)
+    assert outcomes(out) == {0: "run", 1: "run", 2: "timed out", 3: "run", 4: "run", 5: "timed out"}

@@ -89,6 +89,10 @@ class DeltaLog:
             for kind in ("full", "delta"):
                 drop_batches(self.spark, self.path, older[-1] if older else 0, kind)
 
+    def written(self, batch: int) -> DataFrame:
+        """The rows a batch wrote: all of the keys it changed."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/delta={batch}")
+
     def now(self) -> DataFrame:
         return self.before(1 << 62)
 
@@ -217,29 +221,27 @@ def dead_host_stream(attempts: DataFrame, folder: str, lateness: int) -> DataFra
     return read_all(spark, out, StructType([*attempts.schema.fields, *flags.fields])).drop("batch", "opens_dead", "opens_http")
 
 
-def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: int = 86400) -> DataFrame:
+def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: int | None = None, every: int = 10) -> DataFrame:
     """Attempts marked timed out against the start of their run, which may lie in an earlier batch.
 
-    A run without an attempt for ``idle`` seconds beyond its budget, by the newest attempt of any run, ends and leaves the state; an
-    attempt after that starts a new one.
+    The state has a row per run; a batch reads and writes the runs it has attempts of. A start that comes after attempts of its run were
+    marked does not change them. With ``idle`` a run without an attempt for so many seconds beyond its budget has ended: an attempt
+    after that starts a new one.
     """
-    spark, out, state = attempts.sparkSession, f"{folder}/out", f"{folder}/state"
+    spark, out = attempts.sparkSession, f"{folder}/out"
+    kinds = {f.name: f.dataType for f in attempts.schema.fields}
+    schema = StructType([StructField("run_id", kinds["run_id"]), StructField("started", kinds["ts"]), StructField("seen", kinds["ts"])])
+    log = DeltaLog(spark, f"{folder}/state", ["run_id"], schema, every)
 
     def step(df: DataFrame, n: int) -> None:
-        session = df.sparkSession
-        now = df.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("seen"))
-        before = read_batch(session, state, n - 1)
-        if before is not None:
-            now = now.unionByName(before).groupBy("run_id").agg(F.min("started").alias("started"), F.max("seen").alias("seen"))
-        newest = df.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            now = now.filter(F.col("seen") >= F.lit(newest) - F.expr(f"interval {int(idle + budget)} seconds"))
-        _write(now, state, n)
-        begun = session.read.parquet(f"{state}/batch={n}").select("run_id", "started")
-        own = df.groupBy("run_id").agg(F.min("ts").alias("_own"))
-        starts = own.join(begun, "run_id", "left").select("run_id", F.coalesce("started", "_own").alias("started"))
+        own = df.groupBy("run_id").agg(F.min("ts").alias("started"), F.max("ts").alias("seen"))
+        prior = log.before(n, own.select("run_id"))
+        if idle is not None:
+            first = own.select("run_id", F.col("started").alias("_own"))
+            prior = prior.join(first, "run_id").filter(F.col("_own") <= F.col("seen") + F.expr(f"interval {int(idle + budget)} seconds")).drop("_own")
+        log.write(n, own.unionByName(prior).groupBy("run_id").agg(F.min("started").alias("started"), F.max("seen").alias("seen")))
+        starts = log.written(n).select("run_id", "started")
         _write(apply_deadline(df, budget, starts=starts), out, n)
-        drop_batches(session, state, n - 1)
 
     run_available(attempts, step, folder)
     first = [f for f in attempts.schema.fields if f.name == "run_id"]
