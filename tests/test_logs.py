@@ -261,3 +261,38 @@ def test_deadline_stream_counts_from_a_start_long_before_the_batch_ends(spark, t
     again = rows + [row(0, day(20), 4), row(0, day(20, 3), 5)]
     out = ST.deadline_stream(split_stream(spark, tmp_path / "idle", again, SCHEMA, 3), str(tmp_path / "t"), 7200, idle=86400)
     assert outcomes(out) == {0: "run", 1: "run", 2: "timed out", 3: "run", 4: "run", 5: "timed out"}
+
+
+def stream_parts(tmp_path, monkeypatch, spark, df, order):
+    """The files of each part that ``read_stream`` made of a table of twelve files, and the rows of each batch."""
+    from webtables.plans import streams
+
+    df.repartition(12).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(streams.ST, "stream_folder", lambda spark, name: str(tmp_path / name))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        stream = streams.read_stream(spark, str(tmp_path), "t", order, df.columns)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    batches = []
+    ST.run_available(stream, lambda d, n: batches.append(sorted(map(tuple, d.collect()))), str(tmp_path / "run"))
+    parts = sorted((tmp_path / "in-t").iterdir())
+    return [sorted(p.glob("part-*")) for p in parts], batches
+
+
+def test_stream_parts_have_as_many_files_as_splits(spark, tmp_path, monkeypatch):
+    df = spark.range(400).selectExpr("id", "if(id < 397, id, null) AS at")
+    files, batches = stream_parts(tmp_path, monkeypatch, spark, df, "at")
+    assert len({len(f) for f in files}) == 1 and len(files[0]) > 1
+    assert len(batches) == 4 and sum(map(len, batches)) == 400
+    seen = [[r[1] for r in b if r[1] is not None] for b in batches]
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:], strict=False))
+    assert {397, 398, 399} <= {r[0] for r in batches[0]}
+
+
+def test_stream_parts_with_fewer_rows_than_files(spark, tmp_path, monkeypatch):
+    df = spark.range(100).selectExpr("id", "if(id < 99, 5, 6) AS at")
+    files, batches = stream_parts(tmp_path, monkeypatch, spark, df, "at")
+    assert len({len(f) for f in files}) == 1 and len(files[0]) > 1
+    assert [len({r[1] for r in b}) <= 1 for b in batches] == [True] * len(batches) and sum(map(len, batches)) == 100

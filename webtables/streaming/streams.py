@@ -27,6 +27,17 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{run}"
 
 
+def write_part(part: DataFrame, path: str, files: int) -> None:
+    """Write a table as exactly ``files`` files."""
+    spark = part.sparkSession
+    part.repartition(files).write.parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = lambda: [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("part-")]
+    for _ in range(files - len(made())):  # fewer rows than files: partitions without rows leave none
+        spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     """The table written by one micro-batch, if there is one."""
     if batch < 0:
