@@ -296,3 +296,9 @@ def test_stream_parts_with_fewer_rows_than_files(spark, tmp_path, monkeypatch):
     files, batches = stream_parts(tmp_path, monkeypatch, spark, df, "at")
     assert len({len(f) for f in files}) == 1 and len(files[0]) > 1
     assert [len({r[1] for r in b}) <= 1 for b in batches] == [True] * len(batches) and sum(map(len, batches)) == 100
+
+
+def test_stream_parts_come_in_order_whatever_the_clocks(spark, tmp_path, monkeypatch):
+    files, _ = stream_parts(tmp_path, monkeypatch, spark, spark.range(40).selectExpr("id", "id AS at"), "at")
+    stamps = [{f.stat().st_mtime for f in part} for part in files]
+    assert all(max(a) + 1 < min(b) for a, b in zip(stamps, stamps[1:], strict=False))

@@ -20,7 +20,8 @@ def read_stream(spark, sf, name, order, columns):
     """Columns of a given table as a stream, one part of :data:`PARTS` a batch, in the order of a column.
 
     A part has as many files as its share of the splits of the table, so no task writes or reads a part alone; a batch takes that number
-    of files. Rows without a value of the column come first.
+    of files. The files of a part are stamped two seconds after those of the part before: batches come in order whatever the clocks of
+    the executors say. Rows without a value of the column come first.
     """
     given = spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
     files = -(-given.rdd.getNumPartitions() // PARTS)
@@ -30,7 +31,7 @@ def read_stream(spark, sf, name, order, columns):
         above = F.lit(True) if low is None else F.col(order) > F.lit(low)
         below = F.lit(True) if high is None else F.col(order) <= F.lit(high)
         part = given.filter(above & (below | F.col(order).isNull() if low is None else below))
-        ST.write_part(part, f"{folder}/part={i}", files)
+        ST.write_part(part, f"{folder}/part={i}", files, i)
     return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/part=*")
 
 

@@ -20,6 +20,8 @@ from webtables.operators.health import apply_deadline, flag_dead, fold_health, f
 from webtables.operators.joins import recent_items
 from webtables.session import ensure_checkpoint_dir
 
+FIRST_STAMP = 1_000_000_000_000  # milliseconds; only the order of the stamps counts
+
 
 def stream_folder(spark: SparkSession, name: str) -> str:
     """A folder for a stream under the shared checkpoint folder."""
@@ -27,8 +29,8 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{run}"
 
 
-def write_part(part: DataFrame, path: str, files: int) -> None:
-    """Write a table as exactly ``files`` files."""
+def write_part(part: DataFrame, path: str, files: int, number: int) -> None:
+    """Write a table as exactly ``files`` files, stamped two seconds after those of the part ``number`` before it."""
     spark = part.sparkSession
     part.repartition(files).write.parquet(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,6 +38,8 @@ def write_part(part: DataFrame, path: str, files: int) -> None:
     made = lambda: [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("part-")]
     for _ in range(files - len(made())):  # fewer rows than files: partitions without rows leave none
         spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(path)
+    for file in made():
+        fs.setTimes(file, FIRST_STAMP + 2000 * number, -1)
 
 
 def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
