@@ -227,3 +227,19 @@ def test_records_of_odd_bodies(spark):
         (1, 0, "three", "none two+three"), (1, 1, "", "n"), (2, 0, "x", "/1|/2"), (2, 1, "", ""), (2, 2, "", ""),
         (6, 0, "1/$2", "k=1"), (6, 1, "22/$2", "k=22"), (7, 0, "deep", "ndeep"), (7, 1, "deep", "ndeep")]
     assert R.read_records(bodies.limit(0), html, json, pattern).count() == 0
+
+
+def test_pairing_keeps_few_pages_as_objects(monkeypatch):
+    import pyarrow as pa
+
+    from webtables.operators import _pairing as P
+
+    pages = [["<ul", "<li", "t", "/ul"], None, [], ["<p", "t"] * 5, [".br", "/x", "", "!script"]] * 40
+    want = [dict(zip(P.PAIR_FIELDS, P.pair_page(p), strict=True)) for p in pages]
+    sizes = []
+    for limit in (1, 20, 20_000):
+        monkeypatch.setattr(P, "SLICE_TOKENS", limit)
+        assert P.pair_marks(pa.array(pages, pa.list_(pa.string()))).to_pylist() == want
+        sizes.append(max(b - a for a, b in P._slices([len(p or ()) for p in pages])))
+    assert sizes[0] <= 2 and sizes[1] <= 9 and sizes[2] == 200
+    assert len(P.pair_marks(pa.array([], pa.list_(pa.string())))) == 0

@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 PAIR_FIELDS = ["pre", "post", "parent", "depth", "sib", "tail", "own", "closers"]
 PAIRS_TYPE = (
     "pre array<int>, post array<int>, parent array<int>, depth array<int>, sib array<int>, "
     "tail array<int>, own array<array<int>>, closers array<string>"
 )
+#: Tokens turned into Python objects at once, one page at least.
+SLICE_TOKENS = 20_000
 
 
-def pair_marks(codes: pd.Series) -> pd.DataFrame:
+def pair_marks(codes: pa.Array) -> pa.Array:
     """Pair opening and closing marks of each page.
 
     Codes: ``<tag`` opens, ``/tag`` closes, ``.tag`` is a leaf, ``!tag`` a leaf with raw text, ``t`` is
     text, an empty code is skipped. A closing mark pops to the nearest open node of its name or is ignored.
+
+    However many pages Spark puts into a batch, only a few are Python objects at a time: the rest is packed Arrow data.
     """
-    return pd.DataFrame([pair_page(page) for page in codes], columns=PAIR_FIELDS)
+    numbers = pa.list_(pa.int32())
+    kinds = dict.fromkeys(PAIR_FIELDS, numbers) | {"own": pa.list_(numbers), "closers": pa.list_(pa.string())}
+    sizes = codes.value_lengths().to_pylist()  # null: no page
+    made = []
+    for start, stop in _slices(sizes):
+        tokens = codes.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False).tolist()
+        pages, at = [], 0
+        for size in sizes[start:stop]:
+            pages.append(pair_page(None if size is None else tokens[at:at + size]))
+            at += size or 0
+        columns = [pa.array(values, kinds[field]) for field, values in zip(PAIR_FIELDS, zip(*pages, strict=True), strict=True)]
+        made.append(pa.StructArray.from_arrays(columns, fields=[pa.field(f, kinds[f]) for f in PAIR_FIELDS]))
+    return pa.concat_arrays(made) if made else pa.array([], pa.struct(list(kinds.items())))
+
+
+def _slices(sizes: list[int | None]) -> Iterator[tuple[int, int]]:
+    """First page and end of each slice of at most :data:`SLICE_TOKENS` tokens, or of one page."""
+    start = tokens = 0
+    for at, size in enumerate(sizes):
+        if at > start and tokens + (size or 0) > SLICE_TOKENS:
+            yield start, at
+            start, tokens = at, 0
+        tokens += size or 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def pair_page(codes) -> tuple | list:

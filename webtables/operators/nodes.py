@@ -103,7 +103,7 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     staged = staged.withColumn("texts", _texts(F.col("tokens"), F.col("codes")))
     arrays = {c: F.col(c) for c in ("tokens", "codes", "texts")}
     staged = staged.select("page_id", *keep, once(**arrays))
-    return staged.withColumn("pairs", F.pandas_udf(pair_marks, PAIRS_TYPE)(F.col("codes")))
+    return staged.withColumn("pairs", F.arrow_udf(pair_marks, PAIRS_TYPE)(F.col("codes")))
 
 
 def _span(values: Column, first: Column, last: Column) -> Column:
