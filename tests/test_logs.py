@@ -302,3 +302,23 @@ def test_stream_parts_come_in_order_whatever_the_clocks(spark, tmp_path, monkeyp
     files, _ = stream_parts(tmp_path, monkeypatch, spark, spark.range(40).selectExpr("id", "id AS at"), "at")
     stamps = [{f.stat().st_mtime for f in part} for part in files]
     assert all(max(a) + 1 < min(b) for a, b in zip(stamps, stamps[1:], strict=False))
+
+
+def test_first_offers_are_found_without_shuffling_offers(spark):
+    import re
+
+    from webtables.operators import merge as M
+    from webtables.session import settle
+
+    rows = [(k, f"s{i % 5}", f"u{i % 7}", i) for k in range(3) for i in range(30)]
+    members = settle(spark.createDataFrame(rows, "key long, source_url string, book_url string, arrival long"))
+    ranks = settle(spark.createDataFrame([(f"s{i}", i % 3) for i in range(5)], "source_url string, reading_rank int"))
+    tie = ("source_url", "book_url")
+    first = settle(M.primary_offer(members, ranks, ranks.selectExpr("1L AS key", "source_url").filter("source_url = 's3'"), tie=tie))
+    following = M.next_alternative(members, ranks, first, ranks.select("source_url"), tie=tie)
+    assert {r["key"]: r["source_url"] for r in first.collect()} == {0: "s0", 1: "s3", 2: "s0"}
+    assert {r["key"]: r["source_url"] for r in following.collect()} == {0: "s3", 1: "s0", 2: "s3"}
+    for df in (M.primary_offer(members, ranks, first, tie=tie), following):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+        assert dealt and not [e for e in dealt if "book_url" in e]

@@ -105,9 +105,20 @@ def best_offers(
     The first arrival is a minimum with map-side combine, so a title with a third of all offers is down to its
     sites and urls before anything is joined.
     """
-    first = members.groupBy("key", source, url).agg(F.min(F.struct(arrival, *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)])).alias("_first"))
-    ranked = first.join(ranks.select(source, "reading_rank"), source, "left").withColumn("reading_rank", F.coalesce("reading_rank", F.lit(2)))
-    return ranked.select("key", source, url, "reading_rank", F.struct("reading_rank", "_first").alias("order"))
+    own = [t for t in tie if t not in (source, url)]  # the others are the same in a whole group
+    first = members.groupBy("key", source, url).agg(F.min(F.struct(arrival, *own)).alias("_first"))
+    ranked = _classed(first, ranks, source)
+    placed = F.struct("reading_rank", F.struct(*[F.col(t) if t in (source, url) else F.col("_first")[t] for t in (arrival, *tie)]))
+    return ranked.select("key", source, url, "reading_rank", placed.alias("order"))
+
+
+def _classed(members: DataFrame, ranks: DataFrame, source: str) -> DataFrame:
+    return members.join(ranks.select(source, "reading_rank"), source, "left").withColumn("reading_rank", F.coalesce("reading_rank", F.lit(2)))
+
+
+def _ordered(members: DataFrame, ranks: DataFrame, source: str, arrival: str, tie: tuple[str, ...]) -> DataFrame:
+    """Offers with their class and the ``order`` of :func:`best_offers`, each as often as it arrived: a minimum needs no distinct offers."""
+    return _classed(members, ranks, source).withColumn("order", F.struct("reading_rank", F.struct(arrival, *tie)))
 
 
 def short_lists(offers: DataFrame, k: int, source: str = "source_url", url: str = "book_url") -> DataFrame:
@@ -138,7 +149,7 @@ def primary_offer(
     That is the best offer of all, or the best of the current site where its class is as good. ``current`` is joined by
     work and site, never by the work alone.
     """
-    offers = best_offers(members, ranks, source, url, arrival, tie)
+    offers = _ordered(members, ranks, source, arrival, tie)
     values = F.struct(source, url, "reading_rank")
     best = offers.groupBy("key").agg(F.min_by(values, "order").alias("o"))
     if current is None:
@@ -179,12 +190,12 @@ def next_alternative(
 ) -> DataFrame:
     """The next offer to try for each failed work: not the failed site or url, still registered.
 
-    ``failed(key, source_url, book_url)``. Class 4 comes last, whatever its order otherwise. Works shrink to short lists
-    before the failures are joined to them.
+    ``failed(key, source_url, book_url)``. Class 4 comes last, whatever its order otherwise. The first of the offers that are left is
+    a minimum per work with map-side combine: no offer is shuffled where sites and failures are small enough to be broadcast.
     """
     known = members.join(registry.select(source).distinct(), source, "left_semi")
-    short = short_lists(best_offers(known, ranks, source, url, arrival, tie), 1, source, url)
-    picked = _avoiding(short, failed, source, url).groupBy("key").agg(F.min_by(F.struct(source, url, "reading_rank"), "order").alias("o"))
+    left = _avoiding(_ordered(known, ranks, source, arrival, tie), failed, source, url)
+    picked = left.groupBy("key").agg(F.min_by(F.struct(source, url, "reading_rank"), "order").alias("o"))
     return picked.select("key", "o.*")
 
 

@@ -25,8 +25,9 @@ _ORDER = f"arrival, {_TIE_SQL}"
 
 
 def _ranks(spark, sf):
+    """Classes of the sites, stored: a table of known size joins without a shuffle of the hits while it is small."""
     events = table(spark, sf, "events")
-    return health_ranks(registry(spark, sf), fold_health(attempts(events)), fold_reads(reads(events)))
+    return settle(health_ranks(registry(spark, sf), fold_health(attempts(events)), fold_reads(reads(events))))
 
 
 _BASE = f"WITH {HITS}, {REGISTRY}, {HEALTH}"
@@ -41,8 +42,8 @@ _RANKED = f"""ranked AS (
 
 
 def _current(found):
-    """The site in use for each work: here the one that arrived last."""
-    return found.groupBy("key").agg(F.max_by("source_url", F.struct("arrival", *TIE)).alias("source_url"))
+    """The site in use for each work: here the one that arrived last; stored, as the classes are."""
+    return settle(found.groupBy("key").agg(F.max_by("source_url", F.struct("arrival", *TIE)).alias("source_url")))
 
 
 def _keyed(spark, sf):
@@ -168,7 +169,7 @@ def top_results(spark, sf):
 SELECT key, source_url, book_url, reading_rank FROM alt WHERE n = 1""")
 def next_alternative(spark, sf):
     found, ranks = _keyed(spark, sf), _ranks(spark, sf)
-    failed = M.primary_offer(found, ranks, _current(found), tie=TIE)
+    failed = settle(M.primary_offer(found, ranks, _current(found), tie=TIE))
     return M.next_alternative(found, ranks, failed, registry(spark, sf).filter("enabled"), tie=TIE)
 
 
@@ -198,11 +199,13 @@ WITH {_FALLBACK} SELECT key, CAST(2 AS INT) AS chapter_index, arg_min(source_url
 FROM ok WHERE content <> '' GROUP BY key""")
 def fallback_body(spark, sf):
     found = _keyed(spark, sf)
-    chapters = _books(found)
-    ranks = settle(_ranks(spark, sf))
-    failed = M.primary_offer(found, ranks, _current(found), tie=TIE).select("key", "source_url", "book_url", F.lit(2).alias("chapter_index"), F.lit(7).alias("n_chapters"))
-    tried = M.fallback_offers(found, ranks, failed, registry(spark, sf).filter("enabled"), tie=TIE)
-    toc = found.groupBy("source_url", "book_url").agg(F.count(F.lit(1)).alias("n_chapters"))
+    ranks = _ranks(spark, sf)
+    failed = settle(M.primary_offer(found, ranks, _current(found), tie=TIE).select("key", "source_url", "book_url", F.lit(2).alias("chapter_index"), F.lit(7).alias("n_chapters")))
+    tried = settle(M.fallback_offers(found, ranks, failed, registry(spark, sf).filter("enabled"), tie=TIE))
+    # chapters are numbered inside a book, so only the books of the tried offers are put in order
+    wanted = found.join(tried.select("source_url", "book_url").distinct(), ["source_url", "book_url"], "left_semi")
+    chapters = _books(wanted)
+    toc = wanted.groupBy("source_url", "book_url").agg(F.count(F.lit(1)).alias("n_chapters"))
     text = F.when(F.col("run_id") % 2 == 0, "").otherwise(F.concat(F.lit("body "), F.col("run_id").cast("string")))
     bodies = chapters.select("source_url", "book_url", "idx", text.alias("content"))
     out = J.fallback_body(tried, toc, bodies)
