@@ -90,6 +90,26 @@ def test_line_runs(docs, rows, min_lines):
     assert Counter((r.doc_id, r.text, r._lines.n_removed, r.source, r.f) for r in got) == expected
 
 
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_suffix_order_of_lines(spark, ranges, request):
+    if ranges:  # groups go on from one range to the next
+        for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", str(ranges))):
+            request.addfinalizer(lambda key=key, old=spark.conf.get(key): spark.conf.set(key, old))
+            spark.conf.set(key, value)
+    r = random.Random(11)
+    docs = [[r.randrange(3) for _ in range(r.randrange(1, 30))] for _ in range(12)] + [[9]] + [list(range(20, 40)) * 2] * 2
+    docs += [docs[0], docs[1][:5], docs[2] + [99]]
+    places = [
+        (d, 0, s, h, line[s - 1] if s else None, len(line) - s) for d, line in enumerate(docs) for s, h in enumerate(line)]
+    often = Counter(h for line in docs for h in line)
+    suffixes = sorted((line[s:], d, s) for d, line in enumerate(docs) for s, h in enumerate(line) if often[h] > 1)
+    shared = [0] + [next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for (a, *_), (b, *_) in zip(suffixes, suffixes[1:], strict=False)]
+    rows = spark.createDataFrame(places + [p for p in places if p[0] == 3], "did long, th long, s int, h long, before long, left int").repartition(5)
+    got = line_runs.suffix_order(rows, Scratch(spark)).orderBy("at").collect()
+    assert [(x.did, x.s, x.lcp) for x in got] == [(d, s, n) for (_, d, s), n in zip(suffixes, shared, strict=True)]
+    assert [x["at"] for x in got] == list(range(1, len(suffixes) + 1)) and max(shared) == 40
+
+
 def plain_fingerprint(text, width):
     words = norm(text).split()
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
