@@ -243,3 +243,24 @@ def test_pairing_keeps_few_pages_as_objects(monkeypatch):
         sizes.append(max(b - a for a, b in P._slices([len(p or ()) for p in pages])))
     assert sizes[0] <= 2 and sizes[1] <= 9 and sizes[2] == 200
     assert len(P.pair_marks(pa.array([], pa.list_(pa.string())))) == 0
+
+
+def test_pairing_hands_on_slices(monkeypatch):
+    import pyarrow as pa
+
+    from webtables.operators import _pairing as P
+
+    monkeypatch.setattr(P, "SLICE_TOKENS", 20)
+    pages = [["<ul", "<li", "t", "/ul"], None, [], ["<p", "t"] * 5] * 40
+    asked = []
+
+    def batches():
+        for i in range(3):
+            asked.append(i)
+            yield pa.array(pages[:0] if i == 1 else pages, pa.list_(pa.string()))
+
+    made = P.pair_batches(batches())
+    first = next(made)
+    assert asked == [0] and len(first) < 10  # the rest of the batch is not paired yet
+    want = [dict(zip(P.PAIR_FIELDS, P.pair_page(p), strict=True)) for p in pages]
+    assert first.to_pylist() + [page for piece in made for page in piece.to_pylist()] == want * 2

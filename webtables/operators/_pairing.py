@@ -15,6 +15,15 @@ PAIRS_TYPE = (
 SLICE_TOKENS = 20_000
 
 
+def pair_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Pair opening and closing marks of each page, see :func:`pair_marks`; every slice is handed on before the next is paired.
+
+    Spark bounds the bytes of a batch that comes in; what goes out is several times larger and never whole in memory.
+    """
+    for codes in batches:
+        yield from _paired(codes)
+
+
 def pair_marks(codes: pa.Array) -> pa.Array:
     """Pair opening and closing marks of each page.
 
@@ -23,10 +32,18 @@ def pair_marks(codes: pa.Array) -> pa.Array:
 
     However many pages Spark puts into a batch, only a few are Python objects at a time: the rest is packed Arrow data.
     """
+    made = list(_paired(codes))
+    return pa.concat_arrays(made) if made else pa.array([], pa.struct(list(_kinds().items())))
+
+
+def _kinds() -> dict[str, pa.DataType]:
     numbers = pa.list_(pa.int32())
-    kinds = dict.fromkeys(PAIR_FIELDS, numbers) | {"own": pa.list_(numbers), "closers": pa.list_(pa.string())}
+    return dict.fromkeys(PAIR_FIELDS, numbers) | {"own": pa.list_(numbers), "closers": pa.list_(pa.string())}
+
+
+def _paired(codes: pa.Array) -> Iterator[pa.Array]:
+    kinds = _kinds()
     sizes = codes.value_lengths().to_pylist()  # null: no page
-    made = []
     for start, stop in _slices(sizes):
         tokens = codes.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False).tolist()
         pages, at = [], 0
@@ -34,8 +51,7 @@ def pair_marks(codes: pa.Array) -> pa.Array:
             pages.append(pair_page(None if size is None else tokens[at:at + size]))
             at += size or 0
         columns = [pa.array(values, kinds[field]) for field, values in zip(PAIR_FIELDS, zip(*pages, strict=True), strict=True)]
-        made.append(pa.StructArray.from_arrays(columns, fields=[pa.field(f, kinds[f]) for f in PAIR_FIELDS]))
-    return pa.concat_arrays(made) if made else pa.array([], pa.struct(list(kinds.items())))
+        yield pa.StructArray.from_arrays(columns, fields=[pa.field(f, kinds[f]) for f in PAIR_FIELDS])
 
 
 def _slices(sizes: list[int | None]) -> Iterator[tuple[int, int]]:

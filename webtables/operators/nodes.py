@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from webtables.functions._cols import bind, once
 from webtables.functions.text import collapse_ws, decode_entities, squash_line, tidy
 from webtables.operators import _pairing
-from webtables.operators._pairing import PAIR_FIELDS, PAIRS_TYPE, pair_marks
+from webtables.operators._pairing import PAIR_FIELDS, PAIRS_TYPE, pair_batches
 from webtables.session import settle
 
 cloudpickle.register_pickle_by_value(_pairing)  # executors need no copy of this package
@@ -103,7 +103,7 @@ def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     staged = staged.withColumn("texts", _texts(F.col("tokens"), F.col("codes")))
     arrays = {c: F.col(c) for c in ("tokens", "codes", "texts")}
     staged = staged.select("page_id", *keep, once(**arrays))
-    return staged.withColumn("pairs", F.arrow_udf(pair_marks, PAIRS_TYPE)(F.col("codes")))
+    return staged.withColumn("pairs", F.arrow_udf(pair_batches, PAIRS_TYPE)(F.col("codes")))
 
 
 def _span(values: Column, first: Column, last: Column) -> Column:
