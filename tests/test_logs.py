@@ -322,3 +322,19 @@ def test_first_offers_are_found_without_shuffling_offers(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
         assert dealt and not [e for e in dealt if "book_url" in e]
+
+
+def test_ordinal_shuffles_rows_twice(spark, request):
+    """Once by ranges, once to be numbered: shifts are one row per range, however many keys there are."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7", "spark.sql.autoBroadcastJoinThreshold": "20000"}
+    for key, value in conf.items():
+        request.addfinalizer(lambda key=key, old=spark.conf.get(key): spark.conf.set(key, old))
+        spark.conf.set(key, value)
+    keys = [None, *(f"k{i}" for i in range(3000)), *["k7"] * 5000, *["k2999"] * 3000, None, None]
+    df = spark.createDataFrame([(k, i % 5, i) for i, k in enumerate(keys)], "k string, b int, id int").repartition(3)
+    found = ordinal(df, ["k"], ["b"], ["id"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # the ranges are stored
+    seen, want = {}, {}
+    for k, _, i in sorted(((k, i % 5, i) for i, k in enumerate(keys)), key=lambda x: x[1:]):
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert {r["id"]: r["pos"] for r in found.collect()} == want

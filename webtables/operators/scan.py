@@ -25,22 +25,23 @@ def ordinal(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: S
 
     One plan for every size: rows are dealt by ranges of (keys, buckets, order), numbered inside a range, and
     shifted by the rows of their key in the ranges before. A hot key, or all rows where there are no keys, spans
-    as many ranges as its rows need. Shuffles below are read twice, for the sample of the ranges and for the rows; the only
-    window that sees a whole key sees one row per range.
+    as many ranges as its rows need. Shuffles below are read twice, for the sample of the ranges and for the rows. Only the first
+    key of a range can go on from ranges before, so the shifts are one row per range, and only they are seen as a whole.
     """
     # stored, because the ranges are drawn from a sample and must not be drawn again
     ranged = settle(df.repartitionByRange(*keys, *buckets, *order).withColumn("_part", F.spark_partition_id()))
+    whole = F.struct(F.lit(0).alias("_"), *keys)
     counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_part", *keys).orderBy(*buckets, *order)
-    numbered = ranged.withColumn("_row", F.row_number().over(inside))
-    same = numbered["_part"] == shifts["_p"]
-    for i, k in enumerate(keys):
-        same = same & numbered[k].eqNullSafe(shifts[f"_k{i}"])
-    joined = numbered.join(shifts, same, "left")
-    return joined.withColumn(name, (F.col("_row") + F.col("_off")).cast("long")).select(*df.columns, name)
+    ends = counts.groupBy("_part").agg(F.min(whole).alias("_first"), F.max(F.struct(whole.alias("key"), "_n")).alias("_last"))
+    upto = ends.withColumn("_upto", F.sum("_last._n").over(Window.partitionBy("_last.key").orderBy("_part")))
+    line = Window.orderBy("_part")
+    goes_on = F.lag("_last.key").over(line) == F.col("_first")
+    # stored: a table of known size joins without a shuffle of the rows
+    shifts = settle(upto.select(F.col("_part").alias("_p"), "_first", F.lag("_upto").over(line).alias("_off"), goes_on.alias("_goes_on")).filter("_goes_on"))
+    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*buckets, *order)))
+    joined = numbered.join(shifts, numbered["_part"] == shifts["_p"], "left")
+    before = F.when(whole == F.col("_first"), F.col("_off"))
+    return joined.withColumn(name, (F.col("_row") + F.coalesce(before, F.lit(0))).cast("long")).select(*df.columns, name)
 
 
 def top_k(

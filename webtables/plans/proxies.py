@@ -55,7 +55,8 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", title_key("p_name").alias("key")
     )
     site = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    joined = item.join(part, item.l_partkey == part.p_partkey).join(site, item.l_suppkey == site.s_suppkey)
+    # titles last: they are not dealt out again for the sites
+    joined = item.join(site, item.l_suppkey == site.s_suppkey).join(part, item.l_partkey == part.p_partkey)
     source = _site_url("l_suppkey")
     return joined.select(
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("arrival"),

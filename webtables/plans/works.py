@@ -89,7 +89,8 @@ def merge_hits(spark, sf):
 @catalog.add("a01_ordered_members", f"""
 WITH {HITS} SELECT key, run_id, line, source_url, book_url, row_number() OVER (PARTITION BY key ORDER BY {_ORDER}) AS member FROM hits""")
 def ordered_members(spark, sf):
-    return M.offers(hits(spark, sf), tie=TIE).select("key", "run_id", "line", "source_url", "book_url", "member")
+    used = hits(spark, sf).select("key", "run_id", "line", "arrival", "source_url", "book_url")  # nothing else is put in order
+    return M.offers(used, tie=TIE, name="key").select("key", "run_id", "line", "source_url", "book_url", "member")
 
 
 @catalog.add("a01_one_title", f"""
