@@ -264,3 +264,38 @@ def test_pairing_hands_on_slices(monkeypatch):
     assert asked == [0] and len(first) < 10  # the rest of the batch is not paired yet
     want = [dict(zip(P.PAIR_FIELDS, P.pair_page(p), strict=True)) for p in pages]
     assert first.to_pylist() + [page for piece in made for page in piece.to_pylist()] == want * 2
+
+
+def test_members_of_a_row_as_their_text_gives_them(spark):
+    rows = ['{"a":"x\\"y\\u00e9\\n","b":{"c":7}}', '{"a":1.50,"b":{"c":1e2}}', '{"a":true,"b":[{"c":1}]}', '{"a":null,"b":{"c":{"d":[1,"2"]}}}',
+            '{"a":[1],"b":{}}', '{"a":123456789012345678901234567890}', '{"a":"","a b":3}', '[{"a":1}]', '5', '"s"', "{}"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", F.parse_json("r").alias("item"))
+    paths = ["$.a", "$.b.c", "$.b", "$.b[0].c", "$['a b']", "$.none"]
+    text = df.select(*[F.get_json_object(F.to_json("item"), p).alias(f"w{n}") for n, p in enumerate(paths)],
+                     *[E.variant_member(F.col("item"), p).alias(f"g{n}") for n, p in enumerate(paths)])
+    for r in text.collect():
+        assert [r[f"g{n}"] for n in range(len(paths))] == [r[f"w{n}"] for n in range(len(paths))]
+    assert [r["g0"] for r in text.collect()][:3] == ['x"yé\n', "1.5", "true"]
+
+
+def test_templates_keep_what_names_no_group(spark):
+    df = spark.createDataFrame([(["all", "x", None],), (None,)], "g array<string>")
+    want = {"$1$2-$3": ["x-$3", "-$3"], "$$1$": ["$x$", "$$"], "": ["", ""], "a\n$012": ["a\nx2", "a\n2"], "$0/$123/$9": ["all/$123/$9", "/$123/$9"]}
+    for template, texts in want.items():
+        assert [r["f"] for r in df.select(E.fill_groups(template, "g", 2).alias("f")).collect()] == texts
+
+
+def test_leaves_and_bodies_are_read_once(spark):
+    from webtables.operators import records as R
+
+    bodies = spark.range(4).select(
+        F.col("id").alias("page_id"), F.lit("http://h/").alias("url"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"list":[{"deep":{"n":"'), F.repeat("id", 2), F.lit('"}}]}'))).otherwise(F.concat(F.lit("k="), F.repeat("id", 2))).alias("html"))
+    json = R.Branch(R.JsonRows(("list",)), {"name": R.AnyOf((R.Json(("deep", "n")), R.Literal("-"))), "url": R.Fill("/{$.deep.n}")})
+    pattern = R.Branch(R.PatternRows("k=(\\d+)", 1), {"name": R.Fill("$1!"), "url": R.Fill("/$1")})
+    found = R.read_records(bodies, json=json, pattern=pattern)
+    assert sorted((r["page_id"], r["name"], r["url"]) for r in found.collect()) == [(0, "00", "/00"), (1, "11!", "/11"), (2, "22", "/22"), (3, "33!", "/33")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.n, VariantType") == 1  # once for the field, however often its alternatives look at it
+    assert plan.count("repeat(") == 4  # both forms of a body, once for each branch
+    assert "try_cast" not in plan and plan.count("regexp_extract(") == 0  # templates are taken apart before

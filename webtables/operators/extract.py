@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -95,6 +96,16 @@ def variant_scalars(root: Column, path: Sequence[str | int]) -> Column:
     return F.filter(F.transform(variant_values(root, path), _scalar), lambda s: s.isNotNull())
 
 
+def variant_member(root: Column, path: str) -> Column:
+    """The member ``$.a.b`` of a value that is parsed already, as :func:`get_json_object` gives it from its text."""
+    text = F.get_json_object(F.to_json(root), path)
+    if not re.fullmatch("\\$(?:\\.[A-Za-z_][A-Za-z_0-9]*)+", path):
+        return text
+    # other kinds have more than one notation as text; a missing member, too, is looked for in the text
+    plain = F.schema_of_variant(F.try_variant_get(root, path, "variant")).isin("STRING", "BIGINT", "BOOLEAN")
+    return F.when(plain, F.try_variant_get(root, path, "string")).otherwise(text)
+
+
 def json_descend(df: DataFrame, body: str, name: str, depth: int | None = None, value: str = "item") -> DataFrame:
     """Every member called ``name`` at any nesting, in document order, one row each.
 
@@ -161,15 +172,17 @@ def regex_rows(df: DataFrame, text: str, pattern: str, groups: int, limit: int |
 
 
 def fill_groups(template: str, groups: ColumnLike, count: int) -> Column:
-    """``$n`` in a template replaced by group ``n``; numbers beyond the groups stay as written."""
-    out = F.lit(template)
-    pieces = F.regexp_extract_all(out, F.lit("\\$[0-9]{1,2}|\\$|[^$]++"), F.lit(0))
+    """``$n`` in a template replaced by group ``n``; numbers beyond the groups stay as written.
+
+    The template is taken apart once, while the plan is built.
+    """
+    listed = as_col(groups)
 
-    def fill(piece: Column) -> Column:
-        number = F.regexp_extract(piece, "^\\$([0-9]+)$", 1).try_cast("int")
-        return F.when(number <= count, F.try_element_at(as_col(groups), number + 1)).otherwise(piece)
+    def fill(piece: str) -> Column:
+        number = int(piece[1:]) if re.fullmatch("\\$[0-9]+", piece) else None
+        return F.lit(piece) if number is None or number > count else F.try_element_at(listed, F.lit(number + 1))
 
-    return F.array_join(F.transform(pieces, fill), "")
+    return F.concat_ws("", *[fill(piece) for piece in re.findall("\\$[0-9]{1,2}|\\$|[^$]+", template)])
 
 
 def body_kind(body: ColumnLike) -> Column:

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webtables.functions._cols import once
 from webtables.functions.text import collapse_ws, concat_all, first_of, join_list, replace_tail
-from webtables.functions.urls import abs_url, fill_fields
-from webtables.operators.extract import body_kind, fill_groups, regex_rows, variant_scalars, variant_values
+from webtables.functions.urls import abs_url
+from webtables.operators.extract import body_kind, fill_groups, regex_rows, variant_member, variant_scalars, variant_values
 from webtables.operators.nodes import Step, any_of, chain, exclude, nth, rows, select, shred, value_of, within
 from webtables.operators.scan import ordinal
 from webtables.operators.walk import walk_pages
@@ -231,20 +232,25 @@ def _inner_values(scopes: DataFrame, nodes: DataFrame, picks: Sequence[Css]) ->
 def json_records(bodies: DataFrame, branch: Branch, page_id: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
     """page_id, pos, url_of_page and the fields of every value of the path; a body that is no JSON has none.
 
-    A body is parsed once and its values stay variants; there is no shuffle.
+    A body is parsed once and its values stay variants; every leaf of the fields is read once for a row; there is no shuffle.
     """
     items = bodies.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url_of_page"),
         F.posexplode(variant_values(F.try_parse_json(F.col(body)), branch.rows.path)).alias("pos", "item"))
-    return items.select("page_id", F.col("pos").cast("long").alias("pos"), "url_of_page", *[
-        as_text(e, {x: variant_scalars(F.col("item"), x.path) if isinstance(x, Json) else _filled(x.template) for x in leaves(e)}).alias(n)
-        for n, e in branch.fields.items()])
+    used = list(dict.fromkeys(x for e in branch.fields.values() for x in leaves(e)))
+    if used:
+        read = {f"leaf{i}": variant_scalars(F.col("item"), x.path) if isinstance(x, Json) else _filled(x.template) for i, x in enumerate(used)}
+        items = items.select("page_id", "pos", "url_of_page", once(**read))
+    values = {x: F.col(f"leaf{i}") for i, x in enumerate(used)}
+    return items.select("page_id", F.col("pos").cast("long").alias("pos"), "url_of_page", *[as_text(e, values).alias(n) for n, e in branch.fields.items()])
 
 
 def _filled(template: str) -> Column:
     """Members named by ``{$.a.b}`` put into a template."""
-    paths = [part.split("}")[0] for part in template.split("{")[1:] if part.startswith("$") and "}" in part]
-    return fill_fields(F.lit(template), F.to_json("item"), paths) if paths else F.lit(template)
+    out = F.lit(template)
+    for path in [part.split("}")[0] for part in template.split("{")[1:] if part.startswith("$") and "}" in part]:
+        out = F.replace(out, F.lit("{" + path + "}"), F.coalesce(variant_member(F.col("item"), path), F.lit("")))
+    return out
 
 
 def pattern_records(bodies: DataFrame, branch: Branch, page_id: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
@@ -264,6 +270,8 @@ def read_records(
     branch of its kind a body takes the pattern branch, if there is one, and has no records otherwise. Blank and null bodies have none. ``url_fields`` are made absolute
     against the page's url, ``name_fields`` put on one line. Branches give the same fields.
     """
+    # made once a row: each branch would build a derived body again for every use in its filter
+    bodies = bodies.select(page_id, url, once(**{body: F.col(body)}))
     kind = body_kind(body)
     marked = bodies.withColumn("_kind", F.when((kind == "html") & ~F.contains(F.col(body), F.lit("<")), "text").otherwise(kind))
     taken = [(k, b) for k, b in (("json", json), ("html", html)) if b]

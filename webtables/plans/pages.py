@@ -13,7 +13,7 @@ from webtables.operators import nodes as N
 from webtables.operators import records as R
 from webtables.operators.joins import reachable_hosts, usable
 from webtables.operators.walk import assemble_bodies, walk_pages
-from webtables.session import settle
+from webtables.session import settle, spread
 from webtables.plans.proxies import Catalog, clean_sql, collapse_sql, entities_sql, table
 
 catalog = Catalog()
@@ -256,7 +256,7 @@ UNION ALL
 SELECT -event_id - 1, 'pattern', i, event_type || '-' || (event_id + i), 'http://e.example.org/t/' || (event_id + i)
 FROM events, range(3) AS r(i) WHERE event_id % 2 = 1""")
 def routed_records(spark, sf):
-    events = table(spark, sf, "events").filter("event_type IS NOT NULL")
+    events = spread(table(spark, sf, "events").select("event_id", "event_type")).filter("event_type IS NOT NULL")
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.col("event_type"), F.lit("#"), (F.col("event_id") + i).cast("string"), F.lit(";\n"))), "")
     listed = F.to_json(F.struct(F.struct(F.array(
         F.struct(F.col("event_id").alias("id"), F.lit(0).alias("n"), F.struct(F.array("event_type").alias("names")).alias("kind")),
