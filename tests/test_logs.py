@@ -324,6 +324,15 @@ def test_first_offers_are_found_without_shuffling_offers(spark):
         assert dealt and not [e for e in dealt if "book_url" in e]
 
 
+def test_ordinal_keeps_columns_named_like_its_own(spark):
+    names = ["_", "_part", "_row", "_n", "_first", "_last", "_upto", "_p", "_at", "_off", "_goes_on", "__part"]
+    df = spark.range(40).selectExpr("id", "id % 3 AS _n", "id % 2 AS _part", *[f"-id AS {c}" for c in names if c not in ("_part", "_n")]).repartition(5)
+    want = sorted(range(40), key=lambda i: (i % 3, i % 2, -i))
+    got = {r["id"]: r for r in ordinal(df, ["_n"], ["_part"], ["_first"]).collect()}
+    assert {i: (r["_n"], r["_part"], r["_row"], r["_first"], r["_off"]) for i, r in got.items()} == {i: (i % 3, i % 2, -i, -i, -i) for i in range(40)}
+    assert [got[i]["pos"] for i in want] == [n for k in range(3) for n in range(1, len(range(k, 40, 3)) + 1)]
+
+
 def test_ordinal_shuffles_rows_twice(spark, request):
     """Once by ranges, once to be numbered: shifts are one row per range, however many keys there are."""
     conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7", "spark.sql.autoBroadcastJoinThreshold": "20000"}

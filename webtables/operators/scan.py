@@ -28,20 +28,24 @@ def ordinal(df: DataFrame, keys: Sequence[str], buckets: Sequence[str], order: S
     as many ranges as its rows need. Shuffles below are read twice, for the sample of the ranges and for the rows. Only the first
     key of a range can go on from ranges before, so the shifts are one row per range, and only they are seen as a whole.
     """
+    tag = "_"
+    while any(c.startswith(tag) for c in df.columns):  # the helper columns below clash with none of the given ones
+        tag += "_"
+    part, row, n, first, last, upto, at, off, goes_on = (tag + c for c in ("part", "row", "n", "first", "last", "upto", "at", "off", "goes_on"))
     # stored, because the ranges are drawn from a sample and must not be drawn again
-    ranged = settle(df.repartitionByRange(*keys, *buckets, *order).withColumn("_part", F.spark_partition_id()))
-    whole = F.struct(F.lit(0).alias("_"), *keys)
-    counts = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.groupBy("_part").agg(F.min(whole).alias("_first"), F.max(F.struct(whole.alias("key"), "_n")).alias("_last"))
-    upto = ends.withColumn("_upto", F.sum("_last._n").over(Window.partitionBy("_last.key").orderBy("_part")))
-    line = Window.orderBy("_part")
-    goes_on = F.lag("_last.key").over(line) == F.col("_first")
+    ranged = settle(df.repartitionByRange(*keys, *buckets, *order).withColumn(part, F.spark_partition_id()))
+    whole = F.struct(F.lit(0).alias(tag), *keys)
+    counts = ranged.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(n))
+    ends = counts.groupBy(part).agg(F.min(whole).alias(first), F.max(F.struct(whole.alias("key"), n)).alias(last))
+    ends = ends.withColumn(upto, F.sum(F.col(last)[n]).over(Window.partitionBy(F.col(last)["key"]).orderBy(part)))
+    line = Window.orderBy(part)
+    same = F.lag(F.col(last)["key"]).over(line) == F.col(first)
     # stored: a table of known size joins without a shuffle of the rows
-    shifts = settle(upto.select(F.col("_part").alias("_p"), "_first", F.lag("_upto").over(line).alias("_off"), goes_on.alias("_goes_on")).filter("_goes_on"))
-    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*buckets, *order)))
-    joined = numbered.join(shifts, numbered["_part"] == shifts["_p"], "left")
-    before = F.when(whole == F.col("_first"), F.col("_off"))
-    return joined.withColumn(name, (F.col("_row") + F.coalesce(before, F.lit(0))).cast("long")).select(*df.columns, name)
+    shifts = settle(ends.select(F.col(part).alias(at), first, F.lag(upto).over(line).alias(off), same.alias(goes_on)).filter(F.col(goes_on)))
+    numbered = ranged.withColumn(row, F.row_number().over(Window.partitionBy(part, *keys).orderBy(*buckets, *order)))
+    joined = numbered.join(shifts, numbered[part] == shifts[at], "left")
+    before = F.when(whole == F.col(first), F.col(off))
+    return joined.withColumn(name, (F.col(row) + F.coalesce(before, F.lit(0))).cast("long")).select(*df.columns, name)
 
 
 def top_k(
