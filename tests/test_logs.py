@@ -263,6 +263,30 @@ def test_deadline_stream_counts_from_a_start_long_before_the_batch_ends(spark, t
     assert outcomes(out) == {0: "run", 1: "run", 2: "timed out", 3: "run", 4: "run", 5: "timed out"}
 
 
+def test_state_is_read_and_summed_without_unions(spark, tmp_path, monkeypatch):
+    """Adaptive plans broke unions of joins by key: the rows of a key came out of two batches at once."""
+    plans, write = [], ST.DeltaLog.write
+    monkeypatch.setattr(ST.DeltaLog, "write", lambda self, n, rows: (plans.append(rows._jdf.queryExecution().analyzed().toString()), write(self, n, rows)))
+    before = ST.DeltaLog.before
+    monkeypatch.setattr(ST.DeltaLog, "before", lambda self, n, touched=None: (found := before(self, n, touched), plans.append(found._jdf.queryExecution().analyzed().toString()))[0])
+    rows = make_log(8, 600, lambda r: r.randrange(5000))
+    got = ST.health_stream(split_stream(spark, tmp_path, rows, SCHEMA, 4), str(tmp_path / "s"), every=2)
+    assert as_health(got) == plain_health(rows)
+    ST.deadline_stream(split_stream(spark, tmp_path / "d", rows, SCHEMA, 4), str(tmp_path / "t"), every=2)
+    assert len(plans) > 16 and not [p for p in plans if "Union" in p]
+
+
+def test_delta_log_gives_the_newest_rows_of_a_key(spark, tmp_path):
+    log = ST.DeltaLog(spark, str(tmp_path / "full=7" / "log"), ["k"], spark.range(0).selectExpr("id AS k", "id AS v").schema, every=2)
+    for n, (low, high) in enumerate([(0, 50), (10, 30), (20, 60), (25, 26)]):
+        log.write(n, spark.range(low, high).selectExpr("id AS k", f"explode(array({n}L, {n}L + 100)) AS v"))
+        last = {k: max(i for i, (a, b) in enumerate([(0, 50), (10, 30), (20, 60), (25, 26)][: n + 1]) if a <= k < b) for k in range(high if n in (0, 2) else 50 if n < 2 else 60)}
+        want = sorted((k, v + more) for k, v in last.items() for more in (0, 100))
+        assert sorted(map(tuple, log.now().collect())) == want
+        some = log.before(n + 1, spark.range(22, 27).withColumnRenamed("id", "k"))
+        assert sorted(map(tuple, some.collect())) == [x for x in want if 22 <= x[0] < 27]
+
+
 def stream_parts(tmp_path, monkeypatch, spark, df, order):
     """The files of each part that ``read_stream`` made of a table of twelve files, and the rows of each batch."""
     from webtables.plans import streams

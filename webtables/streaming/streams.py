@@ -85,12 +85,11 @@ class DeltaLog:
         base = max(full, default=-1)
         deltas = {n: f for n, f in _listed(self.spark, self.path, "delta").items() if base < n < batch}
         used = deltas | ({base: full[base]} if full else {})
-        parts = [self.spark.read.schema(self.schema).parquet(f).withColumn("_batch", F.lit(n).cast("long")) for n, f in used.items()]
-        if not parts:
+        if not used:
             return self.spark.createDataFrame([], self.schema)
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
+        # one scan, never a union of scans: Spark takes a union of joins by key for grouped by that key, which adaptive plans may break
+        number = F.regexp_extract(F.col("_metadata.file_path"), "/(?:full|delta)=([0-9]+)/[^/]*$", 1).cast("long")
+        rows = self.spark.read.schema(self.schema).parquet(*used.values()).withColumn("_batch", number)
         if touched is not None:
             rows = rows.join(touched, self.keys, "left_semi")
         newest = rows.groupBy(*self.keys).agg(F.max("_batch").alias("_newest"))
@@ -199,9 +198,11 @@ def health_stream(attempts: DataFrame, folder: str, seconds: int = 3600, reads:
         touched = df.select("source_url").distinct()
         prior = log.before(n, touched)
         folded = fold_health(df.filter("chapters IS NULL").select(*own), prior.select(*HEALTH.names[:6]), seconds=seconds)
-        opened = fold_reads(df.filter("chapters IS NOT NULL").select("source_url", "chapters")).unionByName(prior.select("source_url", "read_ok", "read_fail"))
-        opened = opened.groupBy("source_url").agg(F.sum("read_ok").alias("read_ok"), F.sum("read_fail").alias("read_fail"))
-        joined = folded.join(opened, "source_url", "full_outer")
+        opened = fold_reads(df.filter("chapters IS NOT NULL").select("source_url", "chapters"))
+        counts = ("read_ok", "read_fail")
+        kept = prior.select("source_url", *[F.col(c).alias(f"_{c}") for c in counts])
+        joined = folded.join(opened, "source_url", "full_outer").join(kept, "source_url", "left")  # folded has all sites of the state before
+        joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0)) for c in counts})
         log.write(n, joined.select("source_url", *[F.coalesce(c, F.lit(0)).alias(c) if c not in ("last_ok", "last_try") else F.col(c) for c in HEALTH.names[1:]]))
 
     run_available(rows, step, folder, progress=progress)
@@ -254,7 +255,8 @@ def deadline_stream(attempts: DataFrame, folder: str, budget: int = 60, idle: in
         if idle is not None:
             first = own.select("run_id", F.col("started").alias("_own"))
             prior = prior.join(first, "run_id").filter(F.col("_own") <= F.col("seen") + F.expr(f"interval {int(idle + budget)} seconds")).drop("_own")
-        log.write(n, own.unionByName(prior).groupBy("run_id").agg(F.min("started").alias("started"), F.max("seen").alias("seen")))
+        kept = prior.select("run_id", F.col("started").alias("_started"), F.col("seen").alias("_seen"))
+        log.write(n, own.join(kept, "run_id", "left").select("run_id", F.least("started", "_started").alias("started"), F.greatest("seen", "_seen").alias("seen")))
         starts = log.written(n).select("run_id", "started")
         _write(apply_deadline(df, budget, starts=starts), out, n)
 
