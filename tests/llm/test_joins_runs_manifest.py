@@ -68,6 +68,17 @@ def test_metric_join_of_odd_rows(docs, rows, empty):
     assert metric_join.jaccard_groups(empty).count() == 0
 
 
+def test_metric_join_holds_little_on_disk(docs, rows, monkeypatch):
+    """Wide tables go before texts are dealt out, and these are dealt out once, however often a row repeats."""
+    there, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, name, df: (there.setdefault(name, set(self.paths)), keep(self, name, df))[1])
+    assert Counter(map(tuple, metric_join.jaccard_groups(docs).collect())) == brute_groups([r[:2] for r in rows])
+    assert not there["sets"] & {"marked", "nodes", "shared"} and "sets" in there["roots"]
+    named = docs.selectExpr("h AS f", "struct(doc_id IS NULL AS none, doc_id AS id, xxhash64(coalesce(text, '')) AS th) AS who")
+    plan = metric_join.texts_of(docs, named)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_leaf_and_grid_links_connect_the_same():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)]
